@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import encode_decode
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
 
@@ -20,6 +22,16 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier)}
+def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = encode_decode(_table(spark, sf_dir, "documents"))
+    return done.select(
+        "doc_id",
+        "n_tokens",
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op9_bpe)}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -326,5 +326,5 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         )
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_view(docs, "doc_id", "text"), run, f"doc_id {id_type}, n_tokens long, ids binary, decoded string", rows=500)
+    return map_batches(doc_view(docs, "doc_id", "text"), run, f"doc_id {id_type}, n_tokens long, ids binary, decoded string")
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,18 +50,29 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
 
 
 def map_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | list[pa.RecordBatch]], schema: str, rows: int = 1000
+    df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 4 << 20, rows: int = 2000
 ) -> DataFrame:
-    """mapInArrow in slices of at most `rows` rows, so that a batch of long texts stays small."""
+    """mapInArrow in slices of about `size` bytes and at most `rows` rows, so that a batch of long texts stays small."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                yield fn(batch.slice(at, rows))
+            for piece in sliced(batch, size, rows):
+                yield fn(piece)
 
     return df.mapInArrow(run, schema)
 
 
+def sliced(batch: pa.RecordBatch, size: int = 4 << 20, rows: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch by the bytes of its column `text`."""
+    weight = np.asarray(pc.fill_null(pc.binary_length(batch["text"]), 0), np.int64).cumsum()
+    at = 0
+    while at < batch.num_rows:
+        done = int(weight[at - 1]) if at else 0
+        end = min(max(int(np.searchsorted(weight, done + size, "right")), at + 1), at + rows, batch.num_rows)
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def texts_of(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text; null counts as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

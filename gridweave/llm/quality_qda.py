@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_view, map_batches
+from .common import doc_view, map_batches, sliced
 from .labelled import SAMPLE_ROWS, features_of, held_out, training_rows
 from .textstats import NAMES
 
@@ -120,7 +120,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_R
 
     def every(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                yield run(batch.slice(at, 1000))
+            for piece in sliced(batch):
+                yield run(piece)
 
     return docs.mapInArrow(every, docs.schema)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .bpe import encode_decode
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
+from .token_output import read_tokens, write_tokens
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +33,11 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op9_bpe)}
+def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_tokens(spark, write_tokens(_table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op9_bpe, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {}

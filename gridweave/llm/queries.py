@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .license_scan import license_matches
+from .mixing import mixed
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
 from .token_output import read_tokens, write_tokens
@@ -15,6 +17,22 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = license_matches(_table(spark, sf_dir, "documents"))
+    base = F.filter("matches", lambda m: m["phrase"])
+    labels = lambda m: F.array_join(F.array_sort(F.array_distinct(F.transform(m, lambda x: x["label"]))), ",")
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size(base).cast("long").alias("n_base"),
+        F.array_min(F.transform(base, lambda x: x["first"])).alias("first_word"),
+        F.array_max(F.transform(base, lambda x: x["first"])).alias("last_word"),
+        labels(base).alias("base_labels"),
+        labels(F.col("matches")).alias("labels"),
+        F.coalesce(F.array_max(F.transform("matches", lambda x: x["share"])), F.lit(0.0)).alias("score"),
+    )
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -23,6 +41,10 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(_table(spark, sf_dir, "documents"))
     return done.select(
@@ -38,6 +60,6 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_rules, op3_quality_classifier, op9_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op5_mixing, op9_bpe, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {}

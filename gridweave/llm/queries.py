@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .license_scan import license_matches
+from .line_dedup import dedup_lines, oracle_ctes
 from .mixing import mixed
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
@@ -41,6 +42,11 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = dedup_lines(_table(spark, sf_dir, "documents"))
+    return done.select("doc_id", F.col("__gw_lines").alias("n_lines"), F.col("__gw_gone").alias("n_removed"), "text")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -60,6 +66,8 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op5_mixing, op9_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op9_bpe, op10_token_output)}
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",
+}

@@ -10,6 +10,7 @@ from .jaccard_join import near_duplicates
 from .license_scan import license_matches
 from .line_dedup import dedup_lines, oracle_ctes
 from .mixing import mixed
+from .permutation_index import nearest
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
 from .token_output import read_tokens, write_tokens
@@ -56,6 +57,10 @@ def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = encode_decode(_table(spark, sf_dir, "documents"))
     return done.select(
@@ -71,7 +76,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op7_jaccard_join, op9_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",

@@ -11,6 +11,7 @@ from .license_scan import license_matches
 from .line_dedup import dedup_lines, oracle_ctes
 from .mixing import mixed
 from .permutation_index import nearest
+from .pii import KINDS, personal_data
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
 from .token_output import read_tokens, write_tokens
@@ -53,6 +54,24 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal_data(_table(spark, sf_dir, "documents"))
+    of = lambda k: lambda s: s["kind"] == k
+    text = lambda k: lambda s: F.concat_ws(":", F.lit(k), s["start"].cast("string"), s["end"].cast("string"))
+    count = lambda k: F.size(F.filter("base", of(k))).cast("long").alias(f"n_{k}")
+
+    def listed(spans):
+        by_kind = (F.array_sort(F.transform(F.filter(spans, of(k)), lambda s: F.struct(s["start"], s["end"]))) for k in KINDS)
+        return F.array_join(F.concat(*(F.transform(a, text(k)) for k, a in zip(KINDS, by_kind, strict=True))), ",")
+
+    return found.select(
+        "doc_id",
+        *(count(k) for k in KINDS),
+        F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
+        listed(F.concat("base", "added")).alias("spans"),
+    )
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -76,7 +95,7 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output)}
 
 ORACLE_SQL: dict[str, str] = {
     "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",

@@ -255,7 +255,8 @@ def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode
         return pa.Table.from_pandas(got[names].astype({"idx": "int32"}), preserve_index=False)
 
     need = [*keys, "side", "idx", "i", "j", "x", "y", "nx", "ny", *(["y_exact"] if mode != "marker" else [])]
-    fields = cells.select(*keys, "i", "j", "x", "y", "u", "v", F.col("Temperature").alias("T"), "p", "rho")
+    # new names' worth of columns: the points may come from the same cells
+    fields = cells.select(*(F.col(k).alias(k) for k in (*keys, "i", "j", "x", "y", "u", "v", "p", "rho")), F.col("Temperature").alias("T"))
     return surface.select(*need).groupBy(*keys).cogroup(fields.groupBy(*keys)).applyInArrow(run, schema)
 
 

@@ -86,7 +86,7 @@ def frames(spark: SparkSession, folder: str, extension: str = "png") -> DataFram
 
 def series_files(paths: DataFrame, prefix: str = "plt", column: str = "path") -> DataFrame:
     """path, name, ord of the snapshot folders among path strings: by prefix, without .old. ones, in natural order."""
-    name = F.element_at(F.split(F.rtrim(F.lit("/"), F.col(column)), "/"), -1)
+    name = F.element_at(F.split(F.rtrim(F.col(column), F.lit("/")), "/"), -1)
     kept = paths.select(F.col(column).alias("path"), name.alias("name")).filter(F.col("name").startswith(prefix) & ~F.col("name").contains(".old."))
     return kept.withColumn("key", natural_key("name"))
 

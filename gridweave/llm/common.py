@@ -28,10 +28,13 @@ def table_path(spark: SparkSession, tag: str) -> str:
 
 
 def stored(df: DataFrame, tag: str) -> DataFrame:
-    """Write df to the shared folder and read it back: lineage ends at files that outlive executors."""
+    """Write df to the shared folder and read it back: lineage ends at files that outlive executors.
+
+    Not compressed: these are hashes and packed arrays, and codecs hold buffers outside the heap for each file.
+    """
     spark = df.sparkSession
     path = table_path(spark, tag)
-    df.write.parquet(path)
+    df.write.option("compression", "none").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

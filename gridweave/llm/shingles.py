@@ -33,22 +33,33 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     used = ~_BLANK[raw]
     first = used.copy()
     first[1:] &= ~used[:-1]
-    begins = np.flatnonzero(first)
+    begins = np.flatnonzero(first).astype(np.int32 if len(raw) < 1 << 31 else np.int64)
     offsets = np.searchsorted(begins, edges)
     if not len(begins):
         return np.empty(0, np.uint64), offsets
-    at = np.flatnonzero(used)
-    word = np.cumsum(first)[at] - 1
-    place = at - begins[word]
-    hashes = np.add.reduceat(_TABLE[np.minimum(place, _PLACES - 1) * 256 + raw[at]], np.searchsorted(at, begins))
-    size = np.bincount(word, minlength=len(begins))
+    at = np.flatnonzero(used).astype(begins.dtype)
+    word = np.cumsum(first, dtype=begins.dtype)[at] - 1
+    place = np.minimum(at - begins[word], _PLACES - 1).astype(np.int16)
+    heads = np.flatnonzero(first[at])
+    size = np.diff(np.append(heads, len(at)))
+    hashes = np.add.reduceat(_TABLE[place * np.int16(256) + raw[at]], heads)
     for k in np.flatnonzero(size > _PLACES):
         hashes[k] = xxhash.xxh3_64_intdigest(data[begins[k] : begins[k] + size[k]])
     return hashes, offsets
 
 
-def shingle_sets(texts: list[bytes], size: int = 5) -> list[np.ndarray]:
-    """Sorted distinct shingles of each text; a shorter text with words is one shingle."""
+def shingle_sets(texts: list[bytes], size: int = 5, together: int = 1 << 20) -> list[np.ndarray]:
+    """Sorted distinct shingles of each text; a shorter text with words is one shingle. About `together`
+    bytes are hashed at a time."""
+    if len(texts) > 1 and sum(map(len, texts)) > together:
+        out, some, weight = [], [], 0
+        for t in texts:
+            if some and weight + len(t) > together:
+                out += shingle_sets(some, size, together)
+                some, weight = [], 0
+            some.append(t)
+            weight += len(t)
+        return out + shingle_sets(some, size, together + weight)
     words, offsets = word_hashes(texts)
     n = len(words)
     joined = np.zeros(max(n - size + 1, 0), np.uint64)

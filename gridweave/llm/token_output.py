@@ -37,8 +37,11 @@ BLOCK_IDS = 1 << 18
 #: Symbols of a shard about.
 SHARD_IDS = 1 << 23
 
+#: A run of these after letters is a pre-token of its own.
+MARKS = "!#$%&*.,:;?|"
+
 #: Entries of a worker's memory of words; it is emptied when full and changes no result.
-MEMORY = 700_000
+MEMORY = 600_000
 
 _LOADED: dict[str, WordCoder] = {}
 
@@ -48,7 +51,7 @@ class WordCoder:
 
     The file's pre-tokenizer drops white space and no token spans it, so a text's ids are those of
     its pieces between ASCII white space. Letters below U+0300 are their own normal form; of those a
-    piece of letters, or of letters and one mark, is looked up in lower case. All other pieces go to
+    piece of letters, or of letters and then marks, is looked up in lower case. All other pieces go to
     the library as they are.
     """
 
@@ -89,38 +92,42 @@ class WordCoder:
                 self.known[word] = blob[at:cut]
                 at = cut
 
-    def learn(self, pieces: list[str]) -> None:
+    def _values(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. Only words are remembered: they are fewer than the pieces made of them."""
         known = self.known
-        words: set[str] = set()
-        compound: list[tuple[str, str, str]] = []
+        if len(known) > MEMORY:
+            known.clear()
+        known[""] = b""
+        values: list[bytes | None] = []
+        split: list[tuple[int, str, str]] = []
+        fresh: set[str] = set()
         others: list[str] = []
-        for p in pieces:
-            word, mark = p.lower(), ""
-            if word[-1] in ".,:;!?|":
-                word, mark = word[:-1], word[-1]
-            if not word.isalpha() or not word.isascii() and max(word) >= "\u0300":
-                others.append(p)
+        for k, p in enumerate(pieces):
+            got = known.get(p)
+            values.append(got)
+            if got is not None:
                 continue
+            low = p.lower()
+            word = low.rstrip(MARKS)
+            mark = low[len(word) :]
+            if word and (not word.isalpha() or not word.isascii() and max(word) >= "\u0300"):
+                word, mark = "", p
             if word not in known:
-                words.add(word)
-            if word != p:
-                compound.append((p, word, mark))
-        self._library([*others, *(m for m in ".,:;!?|" if m not in known)])
-        self._words(list(words))
-        for p, word, mark in compound:
-            known[p] = known[word] + known[mark] if mark else known[word]
+                fresh.add(word)
+            if mark and mark not in known:
+                others.append(mark)
+            split.append((k, word, mark))
+        self._words(list(fresh))
+        self._library(list(dict.fromkeys(others)))
+        for k, word, mark in split:
+            values[k] = known[word] + known[mark] if mark else known[word]
+        return values
 
     def encode(self, texts: pa.Array) -> list[bytes]:
         offsets, codes, pieces = distinct_pieces(texts)
-        known = self.known
-        if len(known) > MEMORY:
-            known.clear()
-        fresh = [p for p in pieces if p and p not in known]
-        if fresh:
-            self.learn(fresh)
-        known[""] = b""
+        values = self._values(pieces)
         end = self._pack([END_ID])
-        return [x + end for x in joined(offsets, codes, [known[p] for p in pieces], self.dtype)]
+        return [x + end for x in joined(offsets, codes, values, self.dtype)]
 
 
 def coder(source: bytes) -> WordCoder:
@@ -191,10 +198,12 @@ def symbol_counts(tokens: DataFrame, size: int, dtype: str) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, np.int64)
         for batch in batches:
-            for blob in batch["ids"]:
-                total += np.bincount(np.frombuffer(blob.as_buffer(), dtype), minlength=size) if len(blob.as_buffer()) > 8 * size else 0
-                if len(blob.as_buffer()) <= 8 * size:
-                    np.add.at(total, np.frombuffer(blob.as_buffer(), dtype), 1)
+            column = batch["ids"]
+            _, offsets, data = column.buffers()
+            ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset)
+            if ends[-1] > ends[0]:
+                ids = np.frombuffer(data, dtype, (ends[-1] - ends[0]) // np.dtype(dtype).itemsize, ends[0])
+                total += np.bincount(ids, minlength=size)
         used = np.flatnonzero(total)
         yield pa.record_batch({"id": pa.array(used, pa.int32()), "n": pa.array(total[used], pa.int64())})
 

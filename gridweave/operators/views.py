@@ -7,6 +7,13 @@ from pyspark.sql import functions as F
 
 from .stencil import linspace
 
+# Colour stops of the palettes, by name; the last of the plain ones is transparent white.
+PALETTES = {
+    "reds": ["crimson", "red", "orangered", "salmon", "pink", "white", (1, 1, 1, 0.0)],
+    "blues": ["navy", "blue", "dodgerblue", "skyblue", "lightblue", "white", (1, 1, 1, 0.0)],
+    "blue_to_red": ["navy", "blue", "dodgerblue", "skyblue", "lightblue", (1, 1, 1, 0.0), "pink", "salmon", "orangered", "red", "crimson"],
+}
+
 # Shape factors of laminar and turbulent layers, drawn as reference lines.
 SHAPE_LINES = {"laminar": 2.59, "turbulent": 1.3}
 
@@ -68,3 +75,25 @@ def thinned(df: DataFrame, every: int, order: str = "ord") -> DataFrame:
 def padded(snapshot, width: int = 5) -> Column:
     """A snapshot number with leading zeros; longer numbers stay whole."""
     return F.format_string(f"%0{width}d", snapshot if isinstance(snapshot, Column) else F.col(snapshot))
+
+
+def palette(name: str) -> list:
+    """Colour stops by name; `_r` at its end reverses them."""
+    base = name.removesuffix("_r")
+    if base not in PALETTES:
+        raise ValueError(f"no palette {name!r}; there are {sorted(PALETTES)}, each also reversed by _r")
+    return PALETTES[base][::-1] if name.endswith("_r") else PALETTES[base]
+
+
+def geometry_view(surface: DataFrame, cells: DataFrame, field: str, low: float = 0.01, high: float = 0.99) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(surface points, the field's cells, its colour limits) of a body drawn over a field."""
+    from .fields import colour_limits
+
+    points = surface.select("side", "idx", "x", F.coalesce(*(F.col(c) for c in ("y_exact", "y_interp", "y") if c in surface.columns)).alias("y"))
+    return points, cells.select("i", "j", "x", "y", F.col(field).alias("value")), colour_limits(cells, field, low, high)
+
+
+def neighbourhood(cells: DataFrame, i: int, j: int, reach: int = 8) -> DataFrame:
+    """The cells within `reach` of one, as a boundary-layer diagnostic draws them, with their offsets."""
+    near = (F.abs(F.col("i") - i) <= reach) & (F.abs(F.col("j") - j) <= reach)
+    return cells.filter(near).withColumns({"di": F.col("i") - i, "dj": F.col("j") - j})

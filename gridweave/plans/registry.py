@@ -15,6 +15,7 @@ from ..operators import grid as g
 from ..operators import interp, numeric, probe, stencil, surface, theory, views
 from ..sources import text as src
 from . import bindings as b
+from . import controllers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -628,3 +629,35 @@ def profile_view(spark, d):
 @query(f"WITH {b.GRID} SELECT i, j, {s('ratio', 9, 'CASE WHEN j = 0 THEN NULL ELSE u / j END')} FROM grid")
 def ieee_division(spark, d):
     return b.grid(spark, d).select("i", "j", q("ratio", 9, fdiv("u", F.col("j").cast("double"))))
+
+
+# --- whole entries -----------------------------------------------------------------------------------
+
+
+@query(f"""WITH {b.GRID}, near AS (SELECT i FROM (SELECT DISTINCT i, x FROM grid) ORDER BY abs(x - 12.2), i LIMIT 1), pts AS (SELECT * FROM grid JOIN near USING (i) WHERE y >= 0.02)
+SELECT label, row_number() OVER (PARTITION BY label ORDER BY y) - 1 AS ord, x AS x_sampled, {s('distance', 9, 'y - sy')}, {s('value', 6, 'v')} FROM (SELECT 'first' AS label, x, y, p AS v, CAST(0.02 AS DOUBLE) AS sy FROM pts UNION ALL SELECT 'second', x, y, p * 2, CAST(0.05 AS DOUBLE) FROM pts WHERE y >= 0.05)""")
+def line_extraction(spark, d):
+    cells = b.grid(spark, d)
+    doubled = cells.withColumn("pressure", F.col("p") * 2.0).drop("p")
+    cases = [{"source": "one", "label": "first"}, {"source": "two", "label": "second", "surface_y": 0.05}]
+    out = controllers.line_extraction(cases, lambda c: cells if c["source"] == "one" else doubled, "p", 12.2, surface_y=0.02)
+    return out.select("label", F.col("ord").cast("long").alias("ord"), "x_sampled", q("distance", 9), q("value", 6))
+
+
+@query(f"""WITH {b.GRID} SELECT label, i, j, {s('color', 6, 'c')}, m AS mask FROM (SELECT 'a' AS label, i, j, sqrt(u*u + v*v) AS c, v < 0 AS m FROM grid UNION ALL SELECT 'b', i, j, p, v > 1 FROM grid)""")
+def streamline_sets(spark, d):
+    cells = b.grid(spark, d)
+    cases = [{"source": "a", "label": "a"}, {"source": "b", "label": "b", "color_key": "p", "mask_mode": "above", "mask_threshold": 1.0}]
+    out, _ = controllers.streamlines(spark, cases, lambda c: cells, color="speed", mask_key="v", threshold=0.0)
+    return out.select("label", "i", "j", q("color", 6), "mask")
+
+
+@query(f"WITH {b.GRID}, st AS (SELECT DISTINCT i, x FROM grid), near AS (SELECT t, arg_min(i, (abs(x - t), i)) AS i FROM st, (VALUES (10.2), (30.7)) v(t) GROUP BY t) SELECT CAST(t AS DOUBLE) AS station, j AS ord, y, {s('value', 6, 'rho')} FROM grid JOIN near USING (i) WHERE y BETWEEN 0.01 AND 0.08")
+def snapshot_lines(spark, d):
+    out = controllers.snapshot_views(b.grid(spark, d), "rho", stations=(10.2, 30.7), y_range=(0.01, 0.08), stream=STREAM)
+    return out["lines"].select("station", "ord", "y", q("value", 6))
+
+
+@query(f"WITH {b.GRID} SELECT i - 20 AS di, j - 5 AS dj, {s('p', 6)} FROM grid WHERE abs(i - 20) <= 3 AND abs(j - 5) <= 3")
+def cell_neighbourhood(spark, d):
+    return views.neighbourhood(b.grid(spark, d), 20, 5, 3).select("di", "dj", q("p", 6))

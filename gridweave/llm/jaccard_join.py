@@ -11,9 +11,10 @@ exact counts over all classes. Tokens found in one class are first in either ord
 more of them than its prefix has no partner; such classes go, frequencies are counted again over
 the others, and what stays has few tokens in its prefix.
 
-Candidates stay linear in a group of copies: each token first links its classes to the least one
-only (a star). The links that verify give components; then only pairs of classes in different
-components that share a prefix token are left to try, so no link between components is lost.
+What is written stays linear in a group of copies: each token first links its classes to its most
+central one only (a star). The links that verify give components. Classes that share a prefix token
+with a class of another component then meet in blocks, where all their pairs are tried in place and
+only links that join components leave, so no link between components is lost.
 
 Token lists travel as packed arrays, dealt by hash ranges of tokens or of classes whose number
 follows the input. A common token is kept to the prefixes where it is rare enough to matter.
@@ -39,6 +40,9 @@ SIZE, NUM = 5, 75
 #: Tokens of one bucket about, and classes of one.
 BUCKET_TOKENS, BUCKET_NODES = 500_000, 2_000
 
+#: Prefix tokens of one bucket about, and classes that meet with their tokens.
+BUCKET_PREFIX, BLOCK_NODES = 200_000, 8_192
+
 _PACKED = "bucket int, nodes binary, tokens binary"
 _COUNTED = "bucket int, nodes binary, tokens binary, freq binary"
 
@@ -115,7 +119,7 @@ class Join:
             columns = _split(bucket, buckets, nodes, six)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED_SCHEMA, strict=True)], schema=_PACKED_SCHEMA)
 
-        return map_batches(texts, run, _PACKED, size=16 << 20, rows=10_000)
+        return map_batches(texts, run, _PACKED, size=8 << 20, rows=10_000)
 
     def counted(self, packed: DataFrame, wide: bool) -> DataFrame:
         """Tokens of two classes or more with their frequency, packed by class. wide: tokens come with 8 bytes."""
@@ -189,63 +193,119 @@ class Join:
 
         return self._by_node(counted, emit, "node long, n long, tokens binary, first binary, second binary")
 
-    def postings(self, alive: DataFrame) -> tuple[DataFrame, int]:
-        """Prefix tokens of the first order, packed by token; and the number of buckets."""
-        total = alive.agg(F.coalesce(F.sum(F.length("first") / 8), F.lit(0))).head()[0]
-        buckets = max(8, int(total) // BUCKET_TOKENS)
+    def postings(self, alive: DataFrame) -> DataFrame:
+        """Prefix tokens of the first order, packed by token; with the classes' components and how many of
+        their tokens no other class has."""
+        buckets = self.prefix_buckets
 
-        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-            firsts = [np.frombuffer(x, np.uint64) for x in batch["first"].to_pylist()]
-            tokens = np.concatenate([np.empty(0, np.uint64), *firsts])
-            lengths = [len(x) for x in firsts]
-            nodes = np.repeat(np.asarray(batch["node"], np.int64), lengths)
-            comps = np.repeat(np.asarray(batch["component"], np.int64), lengths)
-            sizes = np.repeat(np.asarray(batch["n"], np.int64), lengths)
-            parts = _split((tokens % np.uint64(buckets)).astype(np.int32), buckets, nodes, tokens, comps, sizes)
-            return pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "nodes", "tokens", "comps", "sizes"])
-
-        def every(batches):
+        def run(batches):
             for batch in batches:
-                yield run(batch)
-
-        packed = alive.select("node", "n", "first", "component").mapInArrow(every, "bucket int, nodes binary, tokens binary, comps binary, sizes binary")
-        return packed, buckets
-
-    def pairs(self, alive: DataFrame, stars: bool) -> DataFrame:
-        """Candidates (a < b) of the first order's filter: each class with the least of a token, or all pairs
-        of different components whose sizes allow a link."""
-        num = self.num
+                firsts = [np.frombuffer(x, np.uint64) for x in batch["first"].to_pylist()]
+                tokens = np.concatenate([np.empty(0, np.uint64), *firsts])
+                lengths = [len(x) for x in firsts]
+                nodes, comps, own = (np.repeat(np.asarray(batch[k], np.int64), lengths) for k in ("node", "component", "own"))
+                parts = _split((tokens % np.uint64(buckets)).astype(np.int32), buckets, nodes, tokens, comps, own)
+                yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "nodes", "tokens", "comps", "own"])
+
+        own = (F.col("n") - F.length("tokens") / 8).cast("long").alias("own")
+        return alive.select("node", "first", "component", own).mapInArrow(run, "bucket int, nodes binary, tokens binary, comps binary, own binary")
+
+    def stars(self, alive: DataFrame) -> DataFrame:
+        """Candidates (a, b): each class of a token's list with the list's most central one, which is the one
+        with the fewest tokens of its own: variants of a text that link to any other mostly link to it."""
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def run(table: pa.Table) -> pa.Table:
-            nodes, tokens, comps, sizes = (_read(table, k, d) for k, d in (("nodes", np.int64), ("tokens", np.uint64), ("comps", np.int64), ("sizes", np.int64)))
-            order = np.lexsort((nodes, tokens))
-            nodes, tokens, comps, sizes = nodes[order], tokens[order], comps[order], sizes[order]
+            nodes, own, tokens = _read(table, "nodes", np.int64), _read(table, "own", np.int64), _read(table, "tokens", np.uint64)
+            order = np.lexsort((nodes, own, tokens))
+            nodes, tokens = nodes[order], tokens[order]
             begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, int)
+            hub = np.repeat(nodes[begin], np.diff(np.append(begin, len(tokens)))) if len(tokens) else nodes
+            pairs = np.stack([np.minimum(hub, nodes), np.maximum(hub, nodes)], 1)[hub != nodes]
+            pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
+            return _rows(schema, pairs[:, 0], pairs[:, 1])
+
+        return self.postings(alive.withColumn("component", F.col("node"))).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+
+    def across(self, placed: DataFrame) -> DataFrame:
+        """Links (a, b) between components that the stars left apart, as many as join them.
+
+        Classes that share prefix tokens with others of another component form families. A family meets with
+        its tokens, in blocks of at most about BLOCK_NODES, every pair of its blocks once; a family of one
+        block travels once. There both filters and the exact overlap are taken over inverted lists, for all
+        partners of a class at once, and only links that join two components leave: no more rows than
+        classes, whatever the size of a group.
+        """
+        num, size = self.num, BLOCK_NODES
+        pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def mixed(table: pa.Table) -> pa.Table:
+            nodes, comps, tokens = _read(table, "nodes", np.int64), _read(table, "comps", np.int64), _read(table, "tokens", np.uint64)
+            order = np.argsort(tokens, kind="stable")
+            nodes, comps, tokens = nodes[order], comps[order], tokens[order]
+            if not len(tokens):
+                return pair_schema.empty_table()
+            begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
             count = np.diff(np.append(begin, len(tokens)))
-            if stars:
-                a, b = np.repeat(nodes[begin], count) if len(begin) else nodes, nodes
-                pairs = np.unique(np.stack([a, b], 1)[a < b], axis=0) if len(a) else np.empty((0, 2), np.int64)
-                return _rows(schema, pairs[:, 0], pairs[:, 1])
-            found: set[tuple[int, int]] = set()
-            for at, m in zip(begin.tolist(), count.tolist(), strict=True):
-                c = comps[at : at + m]
-                if (c == c[0]).all():
+            several = np.repeat(np.minimum.reduceat(comps, begin) != np.maximum.reduceat(comps, begin), count)
+            hub = np.repeat(nodes[begin], count)
+            pairs = np.stack([np.minimum(hub, nodes), np.maximum(hub, nodes)], 1)[several & (hub != nodes)]
+            pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
+            return _rows(pair_schema, pairs[:, 0], pairs[:, 1])
+
+        met = self.postings(placed).groupBy("bucket").applyInArrow(mixed, "a long, b long")
+        family = stored(components(met).withColumnsRenamed({"component": "family"}), "families")
+        total = family.count()
+        blocks = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+        packs = max(1, -(-total // size))  # small families share a task, a large one has blocks of its own
+        pack = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(packs)))
+        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = family.join(blocks, "family").select("node", pack.alias("pack"), mine.alias("mine"), "blocks")
+        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        dealt = dealt.select("node", "pack", "mine", other).select("node", "pack", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+        dealt = placed.select("node", "n", "component", "tokens", "second").join(small(dealt, total), "node")
+        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+        def probe(table: pa.Table) -> pa.Table:
+            one_block = table["i"][0].as_py() == table["j"][0].as_py()
+            nodes, n, comp, block = (np.asarray(table[k], np.int64) for k in ("node", "n", "component", "mine"))
+            parent: dict[int, int] = {}
+
+            def root(c: int) -> int:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = parent.get(up, up)
+                    c = up
+                return c
+
+            def inverted(name: str):
+                sets = [np.frombuffer(x, np.uint64) for x in table[name].to_pylist()]
+                lengths = np.array([len(x) for x in sets])
+                ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+                order = np.argsort(ids, kind="stable")
+                rows = np.repeat(np.arange(len(sets)), lengths)[order]
+                cuts = np.searchsorted(ids[order], np.arange(ids.max(initial=-1) + 2))
+                ends = np.cumsum(lengths)
+                return lambda k: np.bincount(np.concatenate([np.empty(0, np.int64), *(rows[cuts[t] : cuts[t + 1]] for t in ids[ends[k] - lengths[k] : ends[k]])]), minlength=len(sets))
+
+            second, overlap = inverted("second"), inverted("tokens")
+            names, counts = np.unique(comp, return_counts=True)
+            largest = names[counts.argmax()]
+            out = []
+            for k in np.flatnonzero(comp != largest).tolist():
+                could = (second(k) > 0) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= num * np.maximum(n, n[k]))
+                if not one_block:
+                    could &= block != block[k]
+                if not could.any():
                     continue
-                own, n = nodes[at : at + m], sizes[at : at + m]
-                by = np.argsort(c, kind="stable")
-                own, n, c = own[by], n[by], c[by]
-                ends = np.searchsorted(c, c, "right")
-                for k in range(m):  # the components after this one's
-                    rest = slice(ends[k], m)
-                    close = (100 * n[rest] >= num * n[k]) & (100 * n[k] >= num * n[rest])
-                    x = int(own[k])
-                    found.update((x, y) if x < y else (y, x) for y in own[rest][close].tolist())
-            both = sorted(found)
-            return _rows(schema, [p[0] for p in both], [p[1] for p in both])
-
-        packed, _ = self.postings(alive)
-        return packed.groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+                common = overlap(k)
+                for y in np.flatnonzero(could & (100 * common >= num * (n + n[k] - common))).tolist():
+                    p, q = root(int(comp[k])), root(int(comp[y]))
+                    if p != q:
+                        parent[max(p, q)] = min(p, q)
+                        out.append((int(nodes[k]), int(nodes[y])))
+            return _rows(schema, [o[0] for o in out], [o[1] for o in out])
+
+        return dealt.groupBy("pack", "i", "j").applyInArrow(probe, "a long, b long")
 
     def verified(self, pairs: DataFrame, alive: DataFrame) -> DataFrame:
         """The pairs that pass the second order's filter and then reach the similarity."""
@@ -273,15 +333,17 @@ class Join:
         packed = stored(self.again(first), "shared")
         alive = stored(self.alive(self.counted(packed, wide=True)), "alive")
         drop_stored(packed)
-        stars = stored(self.pairs(alive.withColumn("component", F.col("node")), stars=True), "stars")
+        total = alive.agg(F.coalesce(F.sum(F.length("first") / 8), F.lit(0))).head()[0]
+        self.prefix_buckets = max(8, int(total) // BUCKET_PREFIX)
+        stars = stored(self.stars(alive), "stars")
         near = stored(self.verified(stars, alive), "near")
         groups = stored(components(near), "groups")
-        placed = alive.select("node", "n", "first").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        across = self.pairs(placed, stars=False).join(stars, ["a", "b"], "left_anti")
-        far = stored(self.verified(stored(across, "across"), alive), "far")
-        if not far.take(1):
-            return groups
-        return stored(components(near.union(far)), "groups")
+        placed = alive.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        far = stored(self.across(placed), "far")
+        if far.take(1):
+            groups = stored(components(near.union(far)), "groups")
+        drop_stored(alive, stars, near, far)
+        return groups
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
@@ -298,3 +360,16 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFr
     out = sets.join(small(answer, count), by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def oracle_sql(size: int = SIZE, num: int = NUM) -> str:
+    """DuckDB SQL for the result over a table with unique ids: all pairs that share a shingle, and closure."""
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH RECURSIVE split AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS ws FROM documents),
+windows AS (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - {size - 1}, 1) + 1)) AS k FROM split WHERE len(ws) > 0),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(list_slice(ws, k, k + {size - 1}), ' ') AS s FROM windows),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY 1),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= {num} * (x.n + y.n - c)),
+reach AS (SELECT doc_id, doc_id AS other FROM split UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.other = links.a)
+SELECT split.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(other) AS component_id FROM split JOIN reach USING (doc_id) LEFT JOIN sizes USING (doc_id) GROUP BY 1"""

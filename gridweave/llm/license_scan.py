@@ -160,3 +160,27 @@ def license_matches(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, thres
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(view, run, f"doc_id {id_type}, n_words long, matches array<struct<label:string,phrase:boolean,first:long,last:long,share:double>>")
+
+
+def oracle_sql(templates=TEMPLATES, phrases=PHRASES, threshold: float = THRESHOLD) -> str:
+    """DuckDB SQL for the digest of a whole table: every block is compared with every template."""
+    rows, places = [], []
+    for k, (label, text) in enumerate(templates):
+        t = Template(label, words_of(text.encode()), False)
+        t.prepare({w: n for n, w in enumerate(sorted(set(t.words)))}, threshold)
+        rows += [f"({k}, '{label}', '{w.decode()}', {t.stride}, {t.need}, {len(t.ranks)})" for w in sorted(set(t.words))]
+    for label, text in phrases.items():
+        words = text.split()
+        follow = " AND ".join(f"lead(w, {n}) OVER o = '{w}'" if n else f"w = '{w}'" for n, w in enumerate(words))
+        places.append(f"SELECT doc_id, pos, '{label}' AS label FROM (SELECT doc_id, pos, {follow} AS here FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY pos)) WHERE here")
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return rf"""WITH split AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+words AS (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS pos FROM split),
+notices(t, label, w, stride, need, size) AS (VALUES {', '.join(rows)}),
+hits AS (SELECT doc_id, t, label, w, need, size, pos // stride - b AS block FROM words JOIN notices USING (w), (VALUES (0), (1)) bs(b) WHERE pos // stride - b >= 0),
+met AS (SELECT doc_id, label, count(DISTINCT w) / CAST(any_value(size) AS DOUBLE) AS share FROM hits GROUP BY doc_id, t, label, block HAVING count(DISTINCT w) >= any_value(need)),
+places AS ({' UNION ALL '.join(places)}),
+base AS (SELECT doc_id, count(*) AS n_base, min(pos) AS first_word, max(pos) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM places GROUP BY 1),
+every AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM (SELECT doc_id, label, share FROM met UNION ALL SELECT doc_id, label, CAST(1 AS DOUBLE) FROM places) GROUP BY 1)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0) AS score
+FROM split LEFT JOIN base USING (doc_id) LEFT JOIN every USING (doc_id)"""

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 
 from .bpe import encode_decode
 from .jaccard_join import near_duplicates
+from .jaccard_join import oracle_sql as jaccard_sql
 from .license_scan import license_matches
+from .license_scan import oracle_sql as license_sql
 from .line_dedup import dedup_lines, oracle_ctes
 from .mixing import mixed
 from .permutation_index import nearest
@@ -100,7 +102,9 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_qual
 QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_license_scan": license_sql(),
     "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",
+    "op7_jaccard_join": jaccard_sql(),
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -96,30 +96,39 @@ def line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
     return table, keys
 
 
+def _intervals(rows: DataFrame, at: str, by: list[str], out: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of the intervals of two suffixes or more, with the first position of each; the stored intervals).
+
+    The intervals are counted with map-side partial counts and stored, so the join back to a hot interval is
+    a broadcast of a checked size, or a shuffle whose hot partitions Spark splits: no task gets a hot line whole.
+    """
+    groups = stored(rows.groupBy(*by).agg(F.min(at).alias(out), F.count("*").alias("n")).filter("n > 1").drop("n"), "intervals")
+    return rows.join(small(groups, groups.count()), by), groups
+
+
 def removed_lines(lines: DataFrame) -> DataFrame:
     """pos of every line in a later copy of a run; stored."""
-    shared = lines.groupBy("h1", "h2").agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "name")
-    level = stored(lines.join(shared, ["h1", "h2"]).select("pos", "name", "ahead", "back"), "level0")
+    members, groups = _intervals(lines, "pos", ["h1", "h2"], "name")
+    level = stored(members.select("pos", "name", "ahead", "back"), "level0")
     gone = [level.filter("ahead = 1 and name < pos").select("pos")]
     ahead = level.filter("ahead > 1").select(F.col("pos").alias("at"), F.col("ahead").alias("m"))
     back = level.filter("back > 1").select((F.col("pos") - F.col("back") + 1).alias("at"), F.col("back").alias("m"))
     runs = stored(ahead.union(back).distinct(), "runs")
     longest = runs.agg(F.max("m")).head()[0] or 1
-    level, width, spent = level.select("pos", "name"), 1, [level, runs]
-    while width <= longest:
-        ends = level.select((F.col("pos")).alias("end"), F.col("name").alias("name2"))
-        if width > 1 or longest > 1:
-            own = runs.filter((F.col("m") >= width) & (F.col("m") < 2 * width) & (F.col("m") > 1))
-            named = own.join(level, F.col("at") == F.col("pos")).select("at", "m", "name", (F.col("at") + F.col("m") - width).alias("end")).join(ends, "end")
-            first = named.groupBy("m", "name", "name2").agg(F.min("at").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-            later = named.join(first, ["m", "name", "name2"]).filter("at > first")
-            gone.append(later.select(F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("pos")))
+    level, width, spent = level.select("pos", "name"), 1, [groups, level, runs]
+    while longest > 1:
+        ends = level.select(F.col("pos").alias("end"), F.col("name").alias("name2"))
+        own = runs.filter((F.col("m") >= width) & (F.col("m") < 2 * width))
+        named = own.join(level, F.col("at") == F.col("pos")).select("at", "m", "name", (F.col("at") + F.col("m") - width).alias("end")).join(ends, "end")
+        later, groups = _intervals(named, "at", ["m", "name", "name2"], "first")
+        spent.append(groups)
+        gone.append(later.filter("at > first").select(F.explode(F.sequence("at", F.col("at") + F.col("m") - 1)).alias("pos")))
         if 2 * width > longest:
             break
-        pairs = level.join(ends, F.col("pos") + width == F.col("end")).select("pos", F.col("name").alias("name1"), "name2")
-        shared = pairs.groupBy("name1", "name2").agg(F.min("pos").alias("name"), F.count("*").alias("n")).filter("n > 1").drop("n")
-        level = stored(pairs.join(shared, ["name1", "name2"]).select("pos", "name"), "level")
-        spent.append(level)
+        pairs = stored(level.join(ends, F.col("pos") + width == F.col("end")).select("pos", F.col("name").alias("name1"), "name2"), "pairs")
+        members, groups = _intervals(pairs, "pos", ["name1", "name2"], "name")
+        level = stored(members.select("pos", "name"), "level")
+        spent += [pairs, groups, level]
         width *= 2
     out = gone[0]
     for part in gone[1:]:

@@ -256,7 +256,7 @@ def write_tokens(docs: DataFrame, folder: str | None = None, path: str | None =
         .sortWithinPartitions(F.col("doc_id").asc_nulls_last(), "tie", "row")
         .select("doc_id", "ids", F.spark_partition_id().alias("part"))
     )
-    ordered.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, payload binary").write.parquet(f"{folder}/blocks")
+    ordered.mapInArrow(run, "shard int, block int, n_docs long, n_ids long, payload binary").write.option("compression", "none").parquet(f"{folder}/blocks")
     spark.createDataFrame([(bytearray(counts.astype("<i8").tobytes()),)], "counts binary").coalesce(1).write.parquet(f"{folder}/table")
     drop_stored(tokens)
     return folder

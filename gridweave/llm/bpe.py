@@ -21,16 +21,17 @@ import codecs
 import hashlib
 import json
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_view, map_batches, texts_of
+from .common import doc_view, sliced, texts_of
 
-#: Entries of a worker's memory of parts and of token pairs; it is emptied when full and changes no result.
+#: Entries of a worker's memory of parts and of token pairs; it is emptied when full, that of parts
+#: also after each task, and changes no result.
 MEMORY = 700_000
 
 #: Flushed from the streaming window at this many bytes.
@@ -325,6 +326,13 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
             }
         )
 
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in sliced(batch):
+                yield run(piece)
+        coders(shared.value)[0].parts.clear()  # the worker goes on to other stages
+        pa.default_memory_pool().release_unused()
+
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    return map_batches(doc_view(docs, "doc_id", "text"), run, f"doc_id {id_type}, n_tokens long, ids binary, decoded string")
+    return doc_view(docs, "doc_id", "text").mapInArrow(every, f"doc_id {id_type}, n_tokens long, ids binary, decoded string")
 

@@ -1,7 +1,9 @@
 """Edge rules of the DataFrame operators on small closed-form data."""
 
 import math
+import os
 
+import numpy as np
 import pytest
 from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from gridweave.functions import gas
 from gridweave.functions.numeric import fdiv
 from gridweave.operators import boundary_layer as bl
 from gridweave.operators import fields, grid, interp, probe, stencil, surface, views
+from gridweave.plans import bindings, registry
 from gridweave.sources import snapshots, text
 
 
@@ -224,3 +227,20 @@ def test_windows_never_span_a_grid(cells):
     plan = fields.vorticity(cells)._jdf.queryExecution().toString()
     assert "SinglePartition" not in plan and "CartesianProduct" not in plan
     assert Window is not None
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+def test_single_point_layers_of_every_station(spark):
+    sf = "/root/testdata/sf0.001"
+    got = {r["idx"]: r for r in registry.QUERIES["bl_single_point"](spark, sf).collect()}
+    u0 = bindings.grid(spark, sf).groupBy("i").agg(F.avg("u").alias("u0")).orderBy("i").collect()
+    assert sorted(got) == list(range(len(u0)))
+    s = (np.arange(3, 9) - 2.5) * 0.0005  # the fluid cells of the fit
+    slope = np.linalg.lstsq(np.stack([s, s**2], 1), 1000 * np.tanh(s / 0.003), rcond=None)[0][0]
+    out_s = np.append(0.0, s[0] + np.tanh(1.5 * np.linspace(0, 1, 100)) / np.tanh(1.5) * 0.015)
+    layer = bl.layer_of(out_s, 1000 * np.tanh(out_s / 0.003), registry.STREAM, False, False)
+    for idx, r in enumerate(u0):
+        t_wall = 300 + r["u0"] / 100
+        assert got[idx]["status"] == "ok" and got[idx]["T_wall"] == pytest.approx(t_wall, abs=1e-4)
+        assert got[idx]["C_f"] == pytest.approx(bl.mu(t_wall) * slope / registry.STREAM.q, abs=2e-9)
+        assert got[idx]["u_edge"] == pytest.approx(layer["u_edge"], abs=0.1) and got[idx]["H"] == pytest.approx(layer["H"], abs=2e-3)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.gas import MU_REF, R_AIR, S_AIR, T_REF, dynamic_pressure, viscosity
 from ..functions.numeric import NAN, fdiv, first_where
 from .interp import cubic_grid_at, spline_moments  # noqa: F401  (the cubic mode)
-from .numeric import adaptive_smooth, savgol
+from .numeric import adaptive_smooth, savgol, surface_normals
 from .stencil import gradient, head_slope, trapezoid_steps
 
 
@@ -209,11 +209,14 @@ POINT = ("u_edge", "delta_99", "delta_star", "theta", "H", "T_wall", "tau_w", "C
 def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode: str = "marker", cubic: bool = False, smooth: bool = True, keys=("case_id", "snapshot"), height: float | None = None, n: int | None = None) -> DataFrame:
     """keys, side, idx, x, y, s, p, Temperature, rho, the layer of each point, C_p, q_w and status.
 
-    surface: keys, side, idx, i, j, x, y, nx, ny [, y_exact]. A point that fails has status "failed" and NaNs.
+    surface: keys, side, idx, i, j, x, y, nx, ny [, y_exact]; marker mode takes the smoothed normals of a surface
+    with y_interp that brings none (numeric.surface_normals). A point that fails has status "failed" and NaNs.
     C_f, tau_w and the thicknesses are smoothed along each side. q_w is 0: heat flux isn't computed.
     A case's grid goes to one task, as profiles cross its lines; cases and snapshots run in parallel.
     """
     keys = [k for k in keys if k in cells.columns and k in surface.columns]
+    if mode == "marker" and not {"nx", "ny"} <= set(surface.columns):
+        surface = surface_normals(surface, keys)
     types = {f.name: f.dataType.simpleString() for f in surface.schema}
     base = ("x", "y", "s", "p", "Temperature", "rho")
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "side string", "idx int", *(f"{c} double" for c in (*base, *POINT, "C_p", "q_w")), "status string"])

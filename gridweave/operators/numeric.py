@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.gas import GAMMA, pitot_cp, vacuum_cp
+from .grid import KEYS
 
 
 def savgol(y: np.ndarray, window: int, order: int = 3) -> np.ndarray:
@@ -71,6 +72,36 @@ def smoothed(df: DataFrame, columns, keys, order: str, length: str | None = None
     return df.groupBy(*keys).applyInArrow(run, schema)
 
 
+def outward_normals(x: np.ndarray, y: np.ndarray, upper: bool, window: int = 51) -> dict[str, np.ndarray]:
+    """y_smooth, nx, ny, theta, tangent_x, tangent_y of a surface in order of its points: y smoothed by cubics if
+    there are more points than the window, tangents by differences of neighbours, normals that point to +y
+    on an upper surface and to -y on a lower one. A single point has no tangent: NaNs."""
+    smooth = savgol(y, window) if len(y) > window else y
+    dx, dy = (np.gradient(x), np.gradient(smooth)) if len(x) > 1 else (np.full(len(x), np.nan),) * 2
+    size = np.sqrt(dx**2 + dy**2) + 1e-10
+    tx, ty = dx / size, dy / size
+    turn = np.where(tx >= 0 if upper else tx <= 0, 1.0, -1.0)
+    return {"y_smooth": smooth, "nx": -ty * turn, "ny": tx * turn, "theta": np.arctan2(dy, dx), "tangent_x": tx, "tangent_y": ty}
+
+
+def surface_normals(surface: DataFrame, keys=KEYS, window: int = 51) -> DataFrame:
+    """surface (keys, side, idx, x, y_interp) with y_smooth, nx, ny, theta, tangent_x, tangent_y of each case and side."""
+    names = ("y_smooth", "nx", "ny", "theta", "tangent_x", "tangent_y")
+    keys = [k for k in keys if k in surface.columns]
+    surface = surface.drop(*names)
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in surface.schema), *(f"{c} double" for c in names)])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("idx")
+        x, y = (np.asarray(table[c].to_numpy(zero_copy_only=False), float) for c in ("x", "y_interp"))
+        got = outward_normals(x, y, table["side"][0].as_py() == "upper", window)
+        for c in names:
+            table = table.append_column(c, pa.array(got[c], pa.float64()))
+        return table
+
+    return surface.groupBy(*keys, "side").applyInArrow(run, schema)
+
+
 # --- shocks ----------------------------------------------------------------------------------------
 
 

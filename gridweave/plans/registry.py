@@ -416,7 +416,7 @@ def surface_table(spark, d):
 @query()
 def surface_table_markers(spark, d):
     cells = _layer_grid(spark, d)
-    pts = surface.marker_surface(cells, max_x=100.0).filter("side = 'upper'").withColumns({"nx": F.lit(0.0), "ny": F.lit(1.0)})
+    pts = surface.marker_surface(cells, max_x=100.0).filter("side = 'upper'")
     return bl.surface_table(pts, cells, STREAM, mode="marker").select("side", "idx", q("s", 6), q("C_f", 9), q("delta_99", 7), q("H", 4), "status")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from gridweave.functions import gas
 from gridweave.functions.numeric import fdiv
 from gridweave.operators import boundary_layer as bl
-from gridweave.operators import fields, grid, interp, probe, stencil, surface, views
+from gridweave.operators import fields, grid, interp, numeric, probe, stencil, surface, views
 from gridweave.plans import bindings, registry
 from gridweave.sources import snapshots, text
 
@@ -244,3 +244,51 @@ def test_single_point_layers_of_every_station(spark):
         assert got[idx]["status"] == "ok" and got[idx]["T_wall"] == pytest.approx(t_wall, abs=1e-4)
         assert got[idx]["C_f"] == pytest.approx(bl.mu(t_wall) * slope / registry.STREAM.q, abs=2e-9)
         assert got[idx]["u_edge"] == pytest.approx(layer["u_edge"], abs=0.1) and got[idx]["H"] == pytest.approx(layer["H"], abs=2e-3)
+
+
+def test_surface_normals_by_case_and_side(spark):
+    walls = {("a", "upper", 80): lambda x: 0.1 * x + 0.02 * np.sin(9 * x), ("a", "lower", 51): lambda x: -0.2 * x, ("b", "upper", 60): lambda x: 0.5 - 0.3 * x**2, ("b", "lower", 1): lambda x: 0 * x}
+    rows = [(c, 0, side, k, 0.01 * k, float(np.round(f(0.01 * k), 2))) for (c, side, n), f in walls.items() for k in reversed(range(n))]  # a staircase
+    df = spark.createDataFrame(rows, "case_id string, snapshot long, side string, idx int, x double, y_interp double")
+    got = numeric.surface_normals(df).toPandas().sort_values("idx")
+    for (case, side, n), _ in walls.items():
+        own = got[(got.case_id == case) & (got.side == side)]
+        x, y = own.x.to_numpy(), own.y_interp.to_numpy()
+        if n > 51:  # each point by the cubic through its window, the ends by the first and last one
+            low = [min(max(k - 25, 0), n - 51) for k in range(n)]
+            y = np.array([np.polyval(np.polyfit(np.arange(a - k, a - k + 51), y[a : a + 51], 3), 0) for k, a in enumerate(low)])
+        assert np.allclose(own.y_smooth, y, atol=1e-9)
+        if n == 1:
+            assert own[["nx", "ny", "theta"]].isna().all(axis=None)
+            continue
+        at = [(max(k - 1, 0), min(k + 1, n - 1)) for k in range(n)]
+        dx, dy = (np.array([(f[b] - f[a]) / (b - a) for a, b in at]) for f in (x, y))
+        sign = 1 if side == "upper" else -1
+        size = np.hypot(dx, dy)
+        want = {"tangent_x": dx / size, "tangent_y": dy / size, "nx": -sign * dy / size, "ny": sign * dx / size, "theta": np.arctan2(dy, dx)}
+        for name, value in want.items():
+            assert np.allclose(own[name], value, atol=1e-6), (case, side, name)
+
+
+def test_marker_layers_follow_a_sloped_wall(spark):
+    slope, stream = 0.5, bl.FreeStream(1000.0, 0.02)
+    size = math.hypot(1.0, slope)
+    rows = []
+    for i in range(60):
+        for j in range(80):
+            x, y = i * 0.001, j * 0.0005
+            d = (y - slope * x - 0.00475) / size  # the wall is halfway between cell centres in every column
+            along = 1000 * math.tanh(max(d, 0.0) / 0.002)
+            rows.append((0, i, j, x, y, along / size, along * slope / size, 1.0 if d < 0 else 0.0, 0.0 if d < 0 else 100.0))
+    cells = spark.createDataFrame(rows, "snapshot long, i int, j int, x double, y double, u double, v double, ib_markers double, vel_mag double")
+    cells = cells.withColumns({"p": F.lit(2000.0), "rho": F.lit(0.02), "Temperature": F.lit(300.0)})
+    pts = surface.marker_surface(cells).filter("side = 'upper'")
+    got = {r["idx"]: r for r in bl.surface_table(pts, cells, stream, smooth=False).collect()}
+    assert len(got) == 60 and {r["status"] for r in got.values()} == {"ok"}
+    flat = {r["idx"]: r for r in bl.surface_table(pts.withColumns({"nx": F.lit(0.0), "ny": F.lit(1.0)}), cells, stream, smooth=False).collect()}
+    for idx in range(15, 45):
+        edge = got[idx]["u_edge"]
+        assert edge == pytest.approx(1000.0, rel=0.01)
+        want = 0.002 * math.atanh(0.99 * edge / 1000.0) - 0.00025 / size  # from the cell centre along the wall's normal
+        assert got[idx]["delta_99"] == pytest.approx(want, rel=0.03)
+        assert flat[idx]["u_edge"] < 950

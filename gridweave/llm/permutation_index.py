@@ -12,7 +12,8 @@ hold; so a vector that fills a third of the table is one entry. Blocks are dealt
 pivot, so no pivot's list is a hot spot. Queries go to the blocks in blocks.
 
 Nulls and odd inputs: a vector that is null, all zero, or holds a null or a component that isn't
-finite takes no part, nor does one whose length isn't the sample's commonest, nor one without an id.
+finite takes no part, nor does one without an id. Vectors of several lengths have pivots and blocks for
+each length: a vector is searched among those of its own length, and the driver plans once a length.
 Equal ids with different vectors are all candidates and all queries. Ties go to the smaller id.
 With fewer candidates than k all are returned; an empty table gives no rows.
 """
@@ -63,13 +64,11 @@ def usable(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding")
 
 
 def pivots(vectors: DataFrame, count: int = PIVOTS) -> np.ndarray:
-    """Unit pivots: the first `count` different vectors of the sample, of its commonest length."""
+    """Unit pivots of vectors of one length: the first `count` different ones of the sample."""
     rows = vectors.orderBy(F.xxhash64("id"), "id", "vector").limit(PIVOT_SAMPLE).collect()  # bounded
     if not rows:
         return np.empty((0, 0))
-    dims = [r["dim"] for r in rows]
-    dim = max(sorted(set(dims)), key=dims.count)
-    different = list(dict.fromkeys(bytes(r["vector"]) for r in rows if r["dim"] == dim))
+    different = list(dict.fromkeys(bytes(r["vector"]) for r in rows))
     p = np.stack([np.frombuffer(x) for x in different[:count]])
     return p / np.linalg.norm(p, axis=1, keepdims=True)
 
@@ -112,12 +111,19 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = 5, near
 
     queries: a table like `table`; the rows of `table` whose id is divisible by 50 if it is None.
     """
-    spark = table.sparkSession
     vectors = usable(table, id_col, vec_col)
     asked = usable(queries, id_col, vec_col) if queries is not None else vectors.filter("id % 50 = 0")
-    p = pivots(vectors)
-    shared = spark.sparkContext.broadcast(p)
-    dim = p.shape[1] if len(p) else -1
+    found = table.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+    for dim in sorted(r["dim"] for r in asked.select("dim").distinct().collect()):  # a row a length
+        own = F.col("dim") == dim
+        found = found.union(nearest_of_length(vectors.filter(own), asked.filter(own), dim, k, near, rerank))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
+    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def nearest_of_length(vectors: DataFrame, asked: DataFrame, dim: int, k: int, near: int, rerank: float) -> DataFrame:
+    """query_id, vec_id, score: the best of each block of vectors, all of dim components as the queries are."""
+    shared = vectors.sparkSession.sparkContext.broadcast(pivots(vectors))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Equal vectors of a batch as one row: what a hot vector sends on doesn't grow with its rows."""
@@ -128,7 +134,7 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = 5, near
             yield pa.record_batch({"vector": pa.array(list(ids), pa.binary()), "ids": pa.array([sorted(x)[: k + 1] for x in ids.values()], pa.list_(pa.int64()))})
 
     different = (
-        vectors.filter(F.col("dim") == dim).select("id", "vector").mapInArrow(merged, "vector binary, ids array<long>")
+        vectors.select("id", "vector").mapInArrow(merged, "vector binary, ids array<long>")
         .groupBy("vector").agg(F.slice(F.array_sort(F.flatten(F.collect_list("ids"))), 1, k + 1).alias("ids"))
     )
 
@@ -155,7 +161,7 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = 5, near
         return run
 
     blocks = stored(different.select("ids", "vector").mapInArrow(packed(BLOCK), "ids binary, counts binary, x binary"), "blocks")
-    asked = asked.filter(F.col("dim") == dim).select(F.array("id").alias("ids"), "vector")
+    asked = asked.select(F.array("id").alias("ids"), "vector")
     asked = stored(asked.mapInArrow(packed(QUERY_BLOCK), "ids binary, counts binary, x binary"), "queries").selectExpr("ids as q_ids", "x as q")
     n_asked = asked.count()
 
@@ -177,6 +183,4 @@ def nearest(table: DataFrame, queries: DataFrame | None = None, k: int = 5, near
                     out += sorted(got, key=lambda g: (-g[2], g[1]))[:k]
                 yield pa.record_batch([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], ["query_id", "vec_id", "score"])
 
-    found = blocks.crossJoin(small(asked, n_asked * QUERY_BLOCK)).mapInArrow(search, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return found.distinct().withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return blocks.crossJoin(small(asked, n_asked * QUERY_BLOCK)).mapInArrow(search, "query_id long, vec_id long, score double")

@@ -225,6 +225,18 @@ def test_search_of_few_and_none(spark):
     assert permutation_index.nearest(few.limit(0)).count() == 0
 
 
+def test_search_of_several_lengths(spark):
+    r = np.random.default_rng(9)
+    x = {k: [float(v) for v in r.standard_normal(8 if k % 3 else 5).astype(np.float32)] for k in range(600)}
+    got = permutation_index.nearest(spark.createDataFrame(list(x.items()), "vec_id long, embedding array<float>")).collect()
+    by = {}
+    for d in got:
+        by.setdefault(d["query_id"], []).append((d["rank"], d["vec_id"]))
+    cosine = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
+    want = {q: sorted((k for k in x if k != q and len(x[k]) == len(x[q])), key=lambda k: -cosine(x[k], x[q]))[:5] for q in range(0, 600, 50)}
+    assert {q: [v for _, v in sorted(found)] for q, found in by.items()} == want
+
+
 # --- tokens ------------------------------------------------------------------------------------------
 
 TEXTS = ["", "a", "  a b  c ", "it's  we'll\n\n x\t y", "<|endoftext|>a<|endoftext|> b", "x" * 500, "=" * 1000 + " " * 300, "naïve ﬁ Ω ß 漢字😀 1234567 ½", "a\x1cb \x1c c \x85 d\xa0e \xa0",

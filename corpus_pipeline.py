@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridweave.llm.bpe import encode_decode
-from gridweave.llm.common import drop_stored, small, stored
-from gridweave.llm.jaccard_join import near_duplicates
+from gridweave.llm.common import drop_stored, stored
+from gridweave.llm.jaccard_join import drop_copies
 from gridweave.llm.line_dedup import dedup_lines, drop_emptied
 from gridweave.llm.mixing import mix_documents
 from gridweave.llm.quality_qda import keep_quality
@@ -31,11 +31,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one of the smallest doc_id stays; rows that share a
-    doc_id are one document, and rows without one stay."""
-    groups = near_duplicates(docs)
-    gone = stored(groups.filter("component_id <> doc_id").select("doc_id").distinct(), "copies")
-    return docs.join(small(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked rows the first stays; rows without a word link to nothing and stay."""
+    return drop_copies(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

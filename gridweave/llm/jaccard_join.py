@@ -362,6 +362,30 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFr
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 
 
+def drop_copies(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFrame:
+    """docs with one row of each group of linked rows: the first by doc_id (null ids last) and text. Rows are told
+    apart by doc_id and text, so a text under an id that other texts share goes only for its own links, and
+    rows equal in both are copies; rows without a shingle all stay."""
+    text = F.coalesce(docs["text"], F.lit(""))
+    keyed = docs.withColumns({"__gw_t1": F.xxhash64(text), "__gw_t2": F.xxhash64(F.lit(1), text)})
+    order = [F.col("k0").asc_nulls_last(), "k1", "k2"]
+    keys = keyed.select(F.col("doc_id").alias("k0"), F.col("__gw_t1").alias("k1"), F.col("__gw_t2").alias("k2")).distinct()
+    keys = stored(keys.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__gw_row", F.monotonically_increasing_id()), "order")
+    same = F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("__gw_t1") == F.col("k1")) & (F.col("__gw_t2") == F.col("k2"))
+    count = keys.count()
+    rows = keyed.join(small(keys, count), same).select(F.col("__gw_row").alias("doc_id"), "text")
+    groups = near_duplicates(rows, size, num)
+    later = F.max(F.col("component_id") != F.col("doc_id")).alias("__gw_later")
+    marks = groups.filter("n_shingles > 0").groupBy(F.col("doc_id").alias("__gw_row")).agg(later, F.count("*").alias("n")).filter("__gw_later or n > 1")
+    marks = stored(marks.join(small(keys, count), "__gw_row").select("k0", "k1", "k2", "__gw_later"), "copies")
+    marked = keyed.join(small(marks, marks.count()), same, "left")
+    once = marked.filter("__gw_later is null").select(*docs.columns)
+    if not marks.filter("not __gw_later").take(1):
+        return once
+    first = marked.filter("not __gw_later").groupBy("k0", "k1", "k2").agg(F.min(F.struct(*docs.columns)).alias("x"))
+    return once.union(first.select("x.*"))
+
+
 def oracle_sql(size: int = SIZE, num: int = NUM) -> str:
     """DuckDB SQL for the result over a table with unique ids: all pairs that share a shingle, and closure."""
     lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -178,6 +178,16 @@ def test_join_edges(spark):
     assert jaccard_join.near_duplicates(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_copies_go_by_row(spark):
+    text, near, own = " ".join(f"w{k}" for k in range(40)), " ".join(f"w{k}" for k in range(41)), "other words entirely here now"
+    rows = [(5, text, "a"), (9, near, "a"), (9, own, "a"), (9, own, "b"), (None, text, "a"), (None, "a null id and its text", "a"), (None, "a null id and its text", "a"), (3, "", "a"), (3, "", "a"), (4, None, "a")]
+    got = corpus_pipeline.near_copies(spark, docs_of(spark, rows), "")
+    assert got.columns == [c.split()[0] for c in DOCS.split(", ")]
+    want = [(5, text, "a"), (9, own, "a"), (None, "a null id and its text", "a"), (3, "", "a"), (3, "", "a"), (4, None, "a")]
+    assert sorted(((d["doc_id"], d["text"], d["source"]) for d in got.collect()), key=str) == sorted(want, key=str)
+    assert corpus_pipeline.near_copies(spark, docs_of(spark, []).limit(0), "").count() == 0
+
+
 def test_word_hashes_cut_where_words_end():
     texts = [b"a b", b"", b" \t\n", b"A\x0bB c", "é x".encode(), b"x" * 200 + b" y", b"x" * 201]
     words, offsets = shingles.word_hashes(texts)

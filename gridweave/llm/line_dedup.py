@@ -29,7 +29,8 @@ from .common import drop_stored, small, stored
 #: Characters of a repeated run, at least, for its later copies to go.
 MIN_CHARS = 40
 
-#: Bits of a position: lines of a document, documents of a partition of the order.
+#: Bits of a position, at least: lines of a document, documents of a partition of the order. Tables that hold
+#: more take as many bits as they need; 63 are there for a partition, a document and a line.
 LINE_BITS, ROW_BITS = 22, 24
 
 _BLANK = r"^[\x20\x09-\x0D]*$"
@@ -45,8 +46,9 @@ def _text_keys(docs: DataFrame) -> dict[str, Column]:
     return {"t1": F.xxhash64(text), "t2": F.xxhash64(F.lit(1), text)}
 
 
-def _checked(value: Column, bits: int, what: str) -> Column:
-    return F.when(value < (1 << bits), value).otherwise(F.raise_error(F.lit(f"more than 2**{bits} {what}")).cast("long"))
+def _bits(most: int, least: int) -> int:
+    """Bits of the numbers from 0 to most, and at least so many."""
+    return max(least, most.bit_length())
 
 
 def _reach(chars: Column, at: Column, most: int, forward: bool) -> Column:
@@ -62,20 +64,25 @@ def _reach(chars: Column, at: Column, most: int, forward: bool) -> Column:
     return F.when(got["chars"] >= most, got["lines"])
 
 
-def line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
-    """(lines: pos, h1, h2, ahead, back; documents: base position and key of each), both stored."""
+def line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame, int]:
+    """(lines: pos, h1, h2, ahead, back; documents: base position and key of each; bits of a line's number). Both are stored."""
     text = F.coalesce(docs["text"], F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: ~x.rlike(_BLANK))
     each = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("h1"), F.xxhash64(F.lit(1), x).alias("h2"), F.length(x).alias("chars")))
-    compact = stored(docs.select(docs["doc_id"], *(v.alias(k) for k, v in _text_keys(docs).items()), each.alias("lines")).filter(F.size("lines") > 0), "compact")
+    compact = stored(docs.select(docs["doc_id"], *(v.alias(k) for k, v in _text_keys(docs).items()), each.alias("lines")).filter(F.size("lines") > 0).withColumn("n_lines", F.size("lines")), "compact")
     order = [F.col("doc_id").asc_nulls_last(), "t1", "t2"]
     keys = compact.select(*_KEYS).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
-    number = F.monotonically_increasing_id()
-    row = _checked(number.bitwiseAND((1 << 33) - 1), ROW_BITS, "documents in a partition")
-    base = F.shiftleft(F.shiftleft(F.shiftright(number, 33), ROW_BITS) + row, LINE_BITS)
-    keys = stored(keys.select(*_KEYS, base.alias("base")), "order")
-    n = keys.count()
-    if n != compact.count():
+    keys = stored(keys.select(*_KEYS, F.monotonically_increasing_id().alias("number")), "order")
+    part, row = F.shiftright("number", 33), F.col("number").bitwiseAND((1 << 33) - 1)
+    n, parts, rows = keys.agg(F.count("*"), F.coalesce(F.max(part), F.lit(0)), F.coalesce(F.max(row), F.lit(0))).head()
+    total, most = compact.agg(F.count("*"), F.coalesce(F.max("n_lines"), F.lit(0))).head()
+    line_bits, row_bits = _bits(most, LINE_BITS), _bits(rows, ROW_BITS)
+    if line_bits + row_bits + _bits(parts, 0) > 63:  # room for what is there, and no more
+        line_bits, row_bits = _bits(most, 0), _bits(rows, 0)
+    if line_bits + row_bits + _bits(parts, 0) > 63:
+        raise ValueError(f"{parts + 1} partitions of {rows + 1} documents of {most} lines have no positions of 63 bits")
+    keys = keys.select(*_KEYS, F.shiftleft(F.shiftleft(part, row_bits).bitwiseOR(row), line_bits).alias("base"))
+    if n != total:
         compact = compact.dropDuplicates(list(_KEYS))
     known = keys.select(F.col("doc_id").alias("k0"), F.col("t1").alias("k1"), F.col("t2").alias("k2"), "base")
     joined = compact.join(small(known, n), F.col("doc_id").eqNullSafe(F.col("k0")) & (F.col("t1") == F.col("k1")) & (F.col("t2") == F.col("k2")))
@@ -91,9 +98,9 @@ def line_table(docs: DataFrame, min_chars: int) -> tuple[DataFrame, DataFrame]:
 
     chars = F.transform("lines", lambda x: x["chars"])
     out = joined.select("base", F.posexplode(_let(chars, measured)).alias("at", "x"))
-    table = stored(out.select((F.col("base") + _checked(F.col("at").cast("long"), LINE_BITS, "lines in a document")).alias("pos"), "x.*"), "lines")
+    table = stored(out.select((F.col("base") + F.col("at")).alias("pos"), "x.*"), "lines")
     drop_stored(compact)
-    return table, keys
+    return table, keys, line_bits
 
 
 def _intervals(rows: DataFrame, at: str, by: list[str], out: str) -> tuple[DataFrame, DataFrame]:
@@ -140,10 +147,10 @@ def removed_lines(lines: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs with the later copies gone from `text`, and __gw_lines, __gw_gone: its lines that aren't blank, and those gone."""
-    lines, keys = line_table(docs, min_chars)
+    lines, keys, bits = line_table(docs, min_chars)
     gone = removed_lines(lines)
     total = gone.count()
-    place = (1 << LINE_BITS) - 1
+    place = (1 << bits) - 1
     per = gone.groupBy((F.col("pos") - F.col("pos").bitwiseAND(place)).alias("base")).agg(F.collect_list(F.col("pos").bitwiseAND(place).cast("int")).alias("__gw_at"))
     per = per.join(keys.withColumnRenamed("base", "b"), F.col("base") == F.col("b")).select(F.col("doc_id").alias("__gw_id"), "t1", "t2", "__gw_at")
     per = stored(per.withColumnsRenamed({"t1": "__gw_t1", "t2": "__gw_t2"}), "cuts")

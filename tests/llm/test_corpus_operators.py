@@ -54,6 +54,15 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(clash).count() == 4
 
 
+def test_line_dedup_of_more_lines_than_bits(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LINE_BITS", 3)
+    monkeypatch.setattr(line_dedup, "ROW_BITS", 1)
+    test_line_dedup_equals_sql(spark, 6)
+    monkeypatch.setattr(line_dedup, "LINE_BITS", 40)  # too many beside the others, so they shrink
+    monkeypatch.setattr(line_dedup, "ROW_BITS", 24)
+    test_line_dedup_equals_sql(spark, 6)
+
+
 # --- mixing ------------------------------------------------------------------------------------------
 
 

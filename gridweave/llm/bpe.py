@@ -8,6 +8,10 @@ with `lookahead` the longest token the merge list can make; whatever the encodin
 prefixes that end in those last bytes have in common can change no more and is emitted.
 What is held back is thus a window of that length plus the part its prefixes differ on.
 
+A text is pushed in pieces of PIECE bytes. Pre-tokens are found as far as the next piece can't change them,
+and every one goes through the transducer: a long one as it comes, another as one arc from the transducer's
+start to its finish, which is remembered, as a word's arc is the same wherever it stands.
+
 Decoding is a state machine from token bytes to text that holds only an unfinished character.
 
 Nulls and odd inputs: a null text is an empty text with no tokens. A null doc_id is passed
@@ -23,6 +27,7 @@ import json
 import struct
 from collections.abc import Iterable, Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -30,13 +35,16 @@ from pyspark.sql import DataFrame
 
 from .common import doc_view, sliced, texts_of
 
-#: Entries of a worker's memory of parts and of token pairs; it is emptied when full, that of parts
+#: Entries of a worker's memory of arcs and of token pairs; it is emptied when full, that of arcs
 #: also after each task, and changes no result.
 MEMORY = 700_000
 
-#: Flushed from the streaming window at this many bytes.
+#: Bytes that the transducer takes in before it looks for what is stable.
 FLUSH = 2048
 
+#: Bytes of a text pushed at a time; characters that the pattern may look ahead; most characters of a pre-token held whole.
+PIECE, MARGIN, HELD = 1 << 16, 3, 256
+
 #: White space by Unicode's property, and the byte-level pre-tokenizer's pattern.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
@@ -71,12 +79,14 @@ class MergeList:
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
         self.lookahead = max(map(len, self.ids))
-        self.longest: dict[bytes, int] = {}  # longest token by its first four bytes
-        for t in self.ids:
-            if len(t) >= 4:
-                self.longest[t[:4]] = max(len(t), self.longest.get(t[:4], 0))
+        self.size = list(map(len, self.bytes))
+        automaton = ahocorasick.Automaton()
+        for t, i in self.ids.items():
+            automaton.add_word(t.decode("latin-1"), i)
+        automaton.make_automaton()
+        self.automaton = automaton
         self._single: dict[int, bool] = {}
-        self._pair: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
         """The encoding by its definition: merge the leftmost pair of least rank until none is left."""
@@ -99,33 +109,42 @@ class MergeList:
         """True if `token` may follow `before` (-1: the start)."""
         if before < 0:
             return self.alone(token)
-        key = (before, token)
-        got = self._pair.get(key)
+        key = before << 24 | token
+        got = self.pairs.get(key)
         if got is None:
-            if len(self._pair) > MEMORY:
-                self._pair.clear()
-            got = self._pair[key] = self.merge(self.bytes[before] + self.bytes[token]) == [before, token]
+            if len(self.pairs) > MEMORY:
+                self.pairs.clear()
+            got = self.pairs[key] = self.merge(self.bytes[before] + self.bytes[token]) == [before, token]
         return got
 
 
 class Transducer:
-    """Encodes one pre-token pushed in pieces."""
+    """Encodes one pre-token, pushed in pieces of bytes.
+
+    For each prefix of the bytes held it knows the last token of the prefix's encoding: the one
+    token ending there that fits the prefix before it. An automaton over the vocabulary gives the
+    tokens that end at a byte; it goes on from where the piece before it stopped.
+    """
 
     def __init__(self, merges: MergeList):
         self.m = merges
+        self.seen = 0  # bytes taken in so far
+        self.ending = merges.automaton.iter("")
         self.start()
 
     def start(self) -> None:
         self.buffer = b""
         self.last: list[int] = [-1]  # last token of the encoding of each prefix of the buffer
         self.before = -1  # token emitted last
+        self.gone = 0  # bytes of the pre-token emitted
 
     def push(self, data: bytes) -> list[int]:
         """Tokens that became stable."""
         out: list[int] = []
         for at in range(0, len(data), FLUSH):
             self._extend(data[at : at + FLUSH])
-            out += self._flush(self._stable())
+            if len(self.buffer) >= 2 * self.m.lookahead:
+                out += self._flush(self._stable())
         return out
 
     def finish(self) -> list[int]:
@@ -134,44 +153,54 @@ class Transducer:
         return out
 
     def _extend(self, data: bytes) -> None:
-        get, fits, last = self.m.ids.get, self.m.fits, self.last
-        at = len(self.buffer)
-        self.buffer = buffer = self.buffer + data
-        for end in range(at + 1, len(buffer) + 1):
-            for begin in range(max(0, end - self.m.lookahead), end):
-                token = get(buffer[begin:end])
-                if token is not None and (begin == 0 or last[begin] >= 0) and fits(last[begin] if begin else self.before, token):
-                    last.append(token)
-                    break
+        last, size, fits, pairs = self.last, self.m.size, self.m.fits, self.m.pairs
+        ending, found = self.ending, len(self.buffer)
+        ending.set(data.decode("latin-1"), not found)  # goes on in its state, unless it starts
+        self.buffer += data
+        self.seen += len(data)
+        ahead = 1 - self.gone
+        for end, token in ending:
+            end += ahead
+            if end == found:
+                continue
+            at = end - size[token]
+            if at > 0:
+                key = last[at] << 24 | token
+                good = pairs.get(key)
+                if good is None:
+                    good = fits(last[at], token)
             else:
-                raise ValueError("the vocabulary lacks a byte")
-
-    def _boundaries(self, end: int) -> list[int]:
-        out = [end]
-        while end:
-            end -= len(self.m.bytes[self.last[end]])
-            out.append(end)
-        return out
+                good = at == 0 and fits(self.before, token)
+            if good:
+                last.append(token)
+                found = end
+        if len(last) != len(self.buffer) + 1:
+            raise ValueError("the vocabulary lacks a byte")
 
     def _stable(self) -> int:
         """The largest boundary that the encodings of all prefixes ending in the lookahead share."""
-        n = len(self.buffer)
-        common = set(self._boundaries(n))
-        for end in range(max(0, n - self.m.lookahead + 1), n):
-            common.intersection_update(self._boundaries(end))
-        return max(common, default=0)
+        size, last = self.m.size, self.last
+        low = n = len(self.buffer)
+        for end in range(n - 1, max(0, n - self.m.lookahead), -1):  # a prefix's boundaries are a path to 0; where paths meet they are one
+            while low != end:
+                if low > end:
+                    low -= size[last[low]]
+                else:
+                    end -= size[last[end]]
+        return low
 
     def _flush(self, end: int) -> list[int]:
         out = []
-        at = end
+        at, size, last = end, self.m.size, self.last
         while at:
-            out.append(self.last[at])
-            at -= len(self.m.bytes[self.last[at]])
+            out.append(last[at])
+            at -= size[last[at]]
         out.reverse()
         if out:
             self.before = out[-1]
+            self.gone += end
             self.buffer = self.buffer[end:]
-            self.last = [-1, *self.last[end + 1 :]]
+            self.last = [-1, *last[end + 1 :]]
         return out
 
 
@@ -179,95 +208,119 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
-class Encoder:
-    """Whole texts to ids: pre-tokens by pattern, each through the transducer, with a bounded memory."""
+class Stream:
+    """A text pushed in pieces to ids: finds pre-tokens and sends each through the transducer.
+
+    Between pieces it holds the characters whose pre-token the next ones may change: MARGIN of them, or a
+    pre-token's begin of at most HELD; of a longer one the part before goes to the transducer as it comes. So
+    what is held depends on no text's length. The way of a whole pre-token through the
+    transducer, from its start to its finish, is one arc; arcs are remembered once taken.
+    """
 
     def __init__(self, merges: MergeList):
         self.m = merges
-        self.stream = Transducer(merges)
+        self.transducer = Transducer(merges)
         self.pattern = regex.compile(PATTERN)
-        self.space = regex.compile(f"[{SPACE}]")
-        self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(merges.specials, key=len, reverse=True))) + ")") if merges.specials else None
-        self.parts: dict[str, bytes] = _Parts(self)
-
-    def word(self, text: str) -> bytes:
-        """Ids of one pre-token, as little-endian 32-bit integers."""
-        data = text.encode()
-        if len(data) <= self.m.lookahead:
-            return packed(self._window(data))
-        return packed(self.stream.push(data) + self.stream.finish())
-
-    def _window(self, data: bytes) -> list[int]:
-        """A pre-token that ends inside the lookahead is resolved at once: the longest token that
-        fits the one before it; a position from which nothing fits is never entered again."""
-        get, fits, longest = self.m.ids.get, self.m.fits, self.m.longest.get
-        n, out, at = len(data), [], 0
-        size = min(n, longest(data[:4], 3))
-        dead: set[int] = set()
-        while at < n:
-            before = out[-1] if out else -1
-            while size:
-                token = get(data[at : at + size])
-                if token is not None and at + size not in dead and fits(before, token):
-                    break
-                size -= 1
-            if size:
-                out.append(token)
-                at += size
-                size = min(n - at, longest(data[at : at + 4], 3))
-            else:
-                dead.add(at)
-                size = len(self.m.bytes[out.pop()])
-                at -= size
-                size -= 1
-        return out
-
-    def pieces(self, text: str) -> bytes:
-        return b"".join([self.word(w) for w in self.pattern.findall(text)])
+        self.runs = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", rf"[{SPACE}]*", rf"[^{SPACE}\p{{L}}\p{{N}}]*")]
+        self.special = regex.compile("|".join(map(regex.escape, sorted(merges.specials, key=len, reverse=True)))) if merges.specials else None
+        self.arcs: dict[str, bytes] = _Arcs(self.transducer)
+        self.start()
 
-    def encode(self, text: str) -> bytes:
-        """Ids of a text. Cut at single spaces between other characters, no pre-token spans a cut."""
-        if self.split_special and any(s in text for s in self.m.specials):
-            out = []
-            for k, part in enumerate(self.split_special.split(text)):
-                out.append(packed([self.m.specials[part]]) if k % 2 else self.encode(part))
-            return b"".join(out)
-        first, *rest = text.split(" ")
-        if not rest or not first or self.space.match(first[-1]):
-            return self.pieces(text)
-        try:
-            tail = b"".join(map(self.parts.__getitem__, rest))
-        except IrregularSpace:
-            return self.pieces(text)
-        return self.pieces(first) + tail
+    def start(self) -> None:
+        self.held = self.tail = ""
+        self.run = -1  # class of the pre-token that the transducer is in
 
+    def push(self, text: str, final: bool = False) -> bytes:
+        """Ids that became certain. final: nothing follows; the stream starts anew."""
+        out = []
+        if self.special is not None:
+            text, self.tail = self.tail + text, ""
+            done = 0
+            for m in self.special.finditer(text):
+                if m.end() == len(text) and not final and any(x.startswith(m[0]) for x in self.m.specials if x != m[0]):
+                    break
+                out.append(self._plain(text[done : m.start()], True))
+                out.append(packed([self.m.specials[m[0]]]))
+                done = m.end()
+            keep = 0 if final else max((k for x in self.m.specials for k in range(1, len(x)) if text.endswith(x[:k], done)), default=0)
+            if not final and (m := self.special.search(text, done)):
+                keep = max(keep, len(text) - m.start())
+            self.tail = text[len(text) - keep :] if keep else ""
+            text = text[done : len(text) - keep] if done or keep else text
+        out.append(self._plain(text, final))
+        return b"".join(out)
+
+    def _plain(self, text: str, final: bool) -> bytes:
+        out = []
+        text, self.held = self.held + text, ""
+        if self.run >= 0:
+            end = self.runs[self.run].match(text).end()
+            if end == len(text) and not final:
+                self.held = text[-1:]  # the last of white space may belong to what follows
+                return self._into(text[:-1])
+            if self.run == 2 and end < len(text):
+                end -= 1
+            out.append(self._into(text[:end]) + packed(self.transducer.finish()))
+            text, self.run = text[end:], -1
+        found = self.pattern.findall(text)
+        if not final:
+            cut = n = len(text)
+            while found and cut > n - MARGIN:
+                cut -= len(found.pop())
+            self.held = text[cut:]
+        out += map(self.arcs.__getitem__, found)
+        if len(self.held) > HELD:
+            self.run = next(k for k, x in enumerate(self.runs) if x.match(self.held, 1).end() > 1)
+            text, self.held = self.held[:-MARGIN], self.held[-MARGIN:]
+            out.append(self._into(text))
+        return b"".join(out)
+
+    def _into(self, text: str) -> bytes:
+        return packed(self.transducer.push(text.encode()))
+
+
+class _Arcs(dict):
+    """Ids of a whole pre-token; made by the transducer on first use."""
+
+    def __init__(self, transducer: Transducer):
+        super().__init__()
+        self.transducer = transducer
 
-class IrregularSpace(Exception):
-    """A run of white space that is not one space."""
+    def __missing__(self, text: str) -> bytes:
+        data = text.encode()
+        got = packed(self.transducer.push(data) + self.transducer.finish())
+        if len(data) <= HELD:
+            if len(self) >= MEMORY:
+                self.clear()
+            self[text] = got
+        return got
 
 
-class _Parts(dict):
-    """Ids of " " + part; made on first use."""
+class Encoder:
+    """Whole texts to ids through one stream, a piece at a time."""
 
-    def __init__(self, encoder: Encoder):
-        super().__init__()
-        self.encoder = encoder
-
-    def __missing__(self, part: str) -> bytes:
-        e = self.encoder
-        if not part or e.space.match(part[0]) or e.space.match(part[-1]):
-            raise IrregularSpace
-        if part.isalpha():
-            got = e.word(" " + part)
-        elif part[-1] in ".,:;!?" and part[:-1].isalpha():
-            got = self[part[:-1]] + e.word(part[-1])
-        else:
-            got = e.pieces(" " + part)
-        if len(part) < 64:
-            if len(self) > MEMORY:
-                self.clear()
-            self[part] = got
-        return got
+    def __init__(self, merges: MergeList):
+        self.m = merges
+        self.stream = Stream(merges)
+
+    def encode(self, data: bytes | memoryview) -> bytes:
+        """Ids of a text in UTF-8, as little-endian 32-bit integers."""
+        if len(data) <= PIECE:
+            return self.stream_out([str(data, "utf-8", "replace")])
+        machine = codecs.getincrementaldecoder("utf-8")("replace")
+        view = memoryview(data)
+        return self.stream_out(machine.decode(view[k : k + PIECE], k + PIECE >= len(view)) for k in range(0, len(view), PIECE))
+
+    def stream_out(self, pieces: Iterable[str]) -> bytes:
+        """Ids of a text given in pieces."""
+        out, last = bytearray(), ""
+        for piece in pieces:
+            if last:
+                out += self.stream.push(last)
+            last = piece
+        out += self.stream.push(last, True)
+        self.stream.start()
+        return bytes(out)
 
 
 class Decoder:
@@ -315,7 +368,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, decoder = coders(shared.value)
-        ids = [encoder.encode(t.decode("utf-8", "replace")) for t in texts_of(batch["text"])]
+        ids = [encoder.encode(t) for t in texts_of(batch["text"])]
         decoded = [decoder.text(np.frombuffer(x, "<u4")) for x in ids]
         return pa.record_batch(
             {
@@ -330,7 +383,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for piece in sliced(batch):
                 yield run(piece)
-        coders(shared.value)[0].parts.clear()  # the worker goes on to other stages
+        coders(shared.value)[0].stream.arcs.clear()  # the worker goes on to other stages
         pa.default_memory_pool().release_unused()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -11,16 +11,23 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Used where the session names no spark.checkpoint.dir, as in tests.
+#: Used where the session names no spark.checkpoint.dir and runs in one process, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints/gridweave"
 
-#: Most rows of a small integer side that may be broadcast (16 bytes each: 32 MB).
-BROADCAST_ROWS = 2_000_000
+#: Most bytes of a side that may be broadcast.
+BROADCAST_BYTES = 64 << 20
+
+#: Bytes of a value, and of a row beside its values, as a broadcast table holds them.
+_WIDTH = {"int": 4, "bigint": 8, "double": 8, "boolean": 1}
+_ROW = 24
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor and the driver can see."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_DIR).rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and spark.sparkContext.master.split("[")[0] != "local":
+        raise ValueError("a cluster needs spark.checkpoint.dir, a folder that its executors and driver share")
+    return (named or FALLBACK_DIR).rstrip("/")
 
 
 def table_path(spark: SparkSession, tag: str) -> str:
@@ -47,9 +54,13 @@ def drop_stored(*frames: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if its counted rows fit the bound, else as it is (a shuffled join)."""
-    return F.broadcast(df) if rows <= limit else df
+def small(df: DataFrame, rows: int, extra: int = 0, limit: int | None = None) -> DataFrame:
+    """df with a broadcast hint if its counted rows fit the bound in bytes, else as it is (a shuffled join).
+
+    extra: the bytes of all its strings and arrays, measured; its columns of one width are reckoned by type.
+    """
+    width = _ROW + sum(_WIDTH.get(f.dataType.simpleString(), 16) for f in df.schema)
+    return F.broadcast(df) if rows * width + extra <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
 def map_batches(

@@ -54,13 +54,47 @@ def test_line_dedup_edges(spark):
     assert line_dedup.dedup_lines(clash).count() == 4
 
 
-def test_line_dedup_of_more_lines_than_bits(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "LINE_BITS", 3)
-    monkeypatch.setattr(line_dedup, "ROW_BITS", 1)
-    test_line_dedup_equals_sql(spark, 6)
-    monkeypatch.setattr(line_dedup, "LINE_BITS", 40)  # too many beside the others, so they shrink
-    monkeypatch.setattr(line_dedup, "ROW_BITS", 24)
-    test_line_dedup_equals_sql(spark, 6)
+def brute_runs(texts):
+    """(document, line) -> lines of the longest run from there on with an earlier copy, by comparing every pair of places."""
+    lines = [[x for x in (t or "").split("\n") if x.strip(" \t\n\x0b\x0c\r")] for t in texts]
+    places = [(d, k) for d, own in enumerate(lines) for k in range(len(own))]
+    out = {}
+    for n, (d, k) in enumerate(places):
+        best = 0
+        for e, j in places[:n]:
+            m = 0
+            while k + m < len(lines[d]) and j + m < len(lines[e]) and lines[d][k + m] == lines[e][j + m]:
+                m += 1
+            best = max(best, m)
+        if best:
+            out[d, k] = best
+    return out
+
+
+def test_longest_repeated_runs_equal_brute_force(spark):
+    r = np.random.default_rng(8)
+    base = [f"line {k}" for k in range(40)]
+    texts = ["\n".join(r.choice(["a", "b", "c"], r.integers(1, 12))) for _ in range(25)] + ["a\n" * 37, "a\n" * 20 + "b"]
+    texts += ["\n".join(base[a : a + int(r.integers(1, 40))]) for a in r.integers(0, 40, 20)] + ["\n".join(base)] * 3
+    lines, keys = line_dedup.line_table(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)]), 1)
+    where = {k["base"]: k["doc_id"] for k in keys.collect()}
+    at = {x["pos"]: (where[x["base"]], x["pos"] - x["base"]) for x in lines.collect()}
+    levels = line_dedup.suffix_levels(lines)
+    got = {at[x["pos"]]: (x["m"], x["first"] < x["pos"]) for x in line_dedup.earlier_copies(levels).collect()}
+    assert got == {p: (m, True) for p, m in brute_runs(texts).items()}
+    hashes = {x["pos"]: (x["h1"], x["h2"]) for x in lines.collect()}
+    for k, (level, n) in enumerate(levels):  # names are ranks: their order is that of the prefixes
+        rows = sorted(level.collect(), key=lambda x: x["name"])
+        prefix = [[hashes[x["pos"] + d] for d in range(1 << k)] for x in rows]
+        assert n == len(rows) and prefix == sorted(prefix)
+        assert [a == b for a, b in itertools.pairwise(prefix)] == [a["name"] == b["name"] for a, b in itertools.pairwise(rows)]
+
+
+def test_maximal_runs_cover_what_repeats(spark):
+    texts = ["x1\nx2\nx3\nx4", "y\nx2\nx3\nz", "x1\nx2\nx3\nx4\nx2\nx3\nz"]
+    lines, _ = line_dedup.line_table(docs_of(spark, [(k, t, "s") for k, t in enumerate(texts)]), 1)
+    got = sorted((x["base"], x["pos"] - x["base"], x["m"], x["fresh"] - x["base"]) for x in line_dedup.maximal_runs(lines).collect())
+    assert got == [(5, 1, 2, 1), (10, 0, 4, 0), (10, 4, 3, 4)]
 
 
 # --- mixing ------------------------------------------------------------------------------------------

@@ -290,6 +290,41 @@ def test_search_of_several_lengths(spark):
     assert {q: [v for _, v in sorted(found)] for q, found in by.items()} == want
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="no test data")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_search_recall_on_the_tables(spark, sf):
+    table = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
+    rows = table.toPandas()
+    x, ids = np.stack(rows["embedding"].to_numpy()).astype(float), rows["vec_id"].to_numpy()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = {}
+    for q in np.flatnonzero(ids % 50 == 0):
+        score = unit @ unit[q]
+        score[q] = -2
+        want[int(ids[q])] = set(ids[np.lexsort((ids, -score))[:5]].tolist())
+    by = {}
+    for d in permutation_index.nearest(table).collect():
+        by.setdefault(d["query_id"], set()).add(d["vec_id"])
+    assert sum(len(by[q] & want[q]) for q in want) >= 0.9 * 5 * len(want)
+
+
+def test_lists_are_visited_in_part():
+    """What a query meets is the lists of its nearest pivots, not the block; the footrule agrees with its definition."""
+    r = np.random.default_rng(1)
+    x, p = r.standard_normal((4000, 24)), r.standard_normal((512, 24))
+    block = permutation_index.Block(x, p, 8, 16)
+    near, own = permutation_index.nearest_pivots(x, p, 8), permutation_index.nearest_pivots(x[:5], p, 16)
+    for q in range(5):
+        want = [sum(16 - max(i, own[q].tolist().index(t)) for i, t in enumerate(near[k].tolist()) if t in own[q]) for k in range(4000)]
+        assert block.closeness(own[q]).tolist() == want and np.mean(np.array(want) > 0) < 0.5
+
+
+def test_search_ids_that_repeat_and_clashing_columns(spark):
+    rows = [(50, [1.0, 0.0], 1), (50, [0.0, 1.0], 2), (50, [0.0, 1.0], 2), (7, [1.0, 0.1], 3)]
+    got = permutation_index.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, rank int").withColumn("score", F.lit(1))).collect()
+    assert sorted((d["query_id"], d["rank"], d["vec_id"], round(d["score"], 3)) for d in got) == [(50, 1, 7, 0.995), (50, 2, 7, 0.1)]  # one row a query vector
+
+
 # --- tokens ------------------------------------------------------------------------------------------
 
 TEXTS = ["", "a", "  a b  c ", "it's  we'll\n\n x\t y", "<|endoftext|>a<|endoftext|> b", "x" * 500, "=" * 1000 + " " * 300, "naïve ﬁ Ω ß 漢字😀 1234567 ½", "a\x1cb \x1c c \x85 d\xa0e \xa0",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-KINDS = ("email", "ip", "card", "phone")
+KINDS = ("email", "ip", "card", "phone", "secret")
 TAGS = 1 + 2 * len(KINDS)  # 0: outside; 1 + 2k: begin of kind k; 2 + 2k: inside
 SYMBOLS = 103
 
@@ -38,10 +38,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_sum(v: np.ndarray, axis: int) -> np.ndarray:
+    top = v.max(axis, keepdims=True)
+    return np.log(np.exp(v - top).sum(axis)) + top.squeeze(axis)
+
+
 class Tagger:
     """Weights: emb, (wx, wh, b) by direction, out, out_b, trans, start."""
 
-    def __init__(self, hidden: int = 24, width: int = 16, seed: int = 0):
+    def __init__(self, hidden: int = 32, width: int = 16, seed: int = 0):
         r = np.random.default_rng(seed)
         w = lambda *s: (r.standard_normal(s) / np.sqrt(s[0])).astype(np.float32)
         self.hidden = hidden
@@ -80,11 +85,14 @@ class Tagger:
         both = np.concatenate([f, b], 2)
         return both @ self.p["out"] + self.p["out_b"], (x, both, sf, sb)
 
-    def decode(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Best tags (batch, time) by Viterbi, and each place's margin over the outside tag."""
-        e, _ = self.emissions(symbols)
+    def decode(self, symbols: np.ndarray) -> np.ndarray:
+        """Best tags (batch, time)."""
+        return self.viterbi(self.emissions(symbols)[0])
+
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """Best tags (batch, time) of emissions (time, batch, tags)."""
         steps, batch, _ = e.shape
-        trans = self.p["trans"] + barred()
+        trans = (self.p["trans"] + barred()).astype(np.float32)
         score = self.p["start"] + e[0]
         back = np.empty((steps, batch, TAGS), np.int8)
         for t in range(1, steps):
@@ -96,8 +104,25 @@ class Tagger:
         rows = np.arange(batch)
         for t in range(steps - 1, 0, -1):
             tags[:, t - 1] = back[t, rows, tags[:, t]]
-        at = np.arange(steps)[None, :]
-        return tags, e[at, rows[:, None], tags] - e[at, rows[:, None], 0]
+        return tags
+
+    def _sums(self, e: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Forward and backward log sums (time, batch, tags) of emissions, and the log sum over all paths (batch)."""
+        trans = (self.p["trans"] + barred()).astype(np.float64)
+        e = e.astype(np.float64)
+        alpha, beta = np.empty(e.shape), np.zeros(e.shape)
+        alpha[0] = self.p["start"] + e[0]
+        for t in range(1, len(e)):
+            alpha[t] = _log_sum(alpha[t - 1][:, :, None] + trans, 1) + e[t]
+        for t in range(len(e) - 2, -1, -1):
+            beta[t] = _log_sum(trans[None] + (e[t + 1] + beta[t + 1])[:, None, :], 2)
+        return alpha, beta, _log_sum(alpha[-1], 1)
+
+    def certainty(self, e: np.ndarray, tags: np.ndarray) -> np.ndarray:
+        """The CRF's probability of each place's tag (batch, time)."""
+        alpha, beta, total = self._sums(e)
+        at, rows = np.arange(len(e))[None, :], np.arange(e.shape[1])[:, None]
+        return np.exp((alpha + beta)[at, rows, tags] - total[:, None])
 
     def gradient(self, symbols: np.ndarray, gold: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of tag sequences (batch, time), and its gradient."""
@@ -105,15 +130,7 @@ class Tagger:
         steps, batch, _ = e.shape
         trans = (self.p["trans"] + barred()).astype(np.float64)
         e64 = e.astype(np.float64)
-        alpha = np.empty((steps, batch, TAGS))
-        beta = np.zeros((steps, batch, TAGS))
-        alpha[0] = self.p["start"] + e64[0]
-        lse = lambda v, axis: v.max(axis) + np.log(np.exp(v - v.max(axis, keepdims=True)).sum(axis))
-        for t in range(1, steps):
-            alpha[t] = lse(alpha[t - 1][:, :, None] + trans, 1) + e64[t]
-        for t in range(steps - 2, -1, -1):
-            beta[t] = lse(trans[None] + (e64[t + 1] + beta[t + 1])[:, None, :], 2)
-        total = lse(alpha[-1], 1)
+        alpha, beta, total = self._sums(e)
         marginal = np.exp(alpha + beta - total[None, :, None])
         rows = np.arange(batch)
         gold_t = gold.T

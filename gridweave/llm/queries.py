@@ -14,7 +14,8 @@ from .license_scan import oracle_sql as license_sql
 from .line_dedup import dedup_lines, oracle_ctes
 from .mixing import mixed
 from .permutation_index import nearest
-from .pii import KINDS, personal_data
+from .bilstm_crf import KINDS
+from .pii import BASE, personal_data
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
 from .token_output import read_tokens, write_tokens
@@ -69,9 +70,11 @@ def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(
         "doc_id",
-        *(count(k) for k in KINDS),
+        *(count(k) for k in BASE),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"),
         listed(F.concat("base", "added")).alias("spans"),
+        F.size("added").cast("long").alias("n_added"),
+        (F.size("base") + F.size("added")).cast("long").alias("n_spans"),
     )
 
 

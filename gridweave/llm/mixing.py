@@ -1,8 +1,8 @@
 """Mixing sources to target weights by pivotal dependent rounding, in DataFrame operations only.
 
-A source's target over its size is the number of times each of its documents is wanted; the whole
-part is taken at once and the fraction is rounded. Units (equal rows are one unit) meet in pairs:
-words of probability move from one to the other, in a random direction that keeps both
+A source's target over its size is the number of times each of its documents is wanted. Equal rows are one
+unit, wanted as often as all of them; a unit's whole copies are taken at once and the fraction of one copy
+is rounded. Units meet in pairs: words of probability move from one to the other, in a random direction that keeps both
 expectations, until one of the two is in or out for good. A pair keeps its words in total, so only
 the last unit of a source can move the source off its target; it is rounded to the nearer side. Chunks of about CHUNK units are
 folded in parallel and their residual units meet in the next level: a reduction tree.
@@ -10,8 +10,9 @@ folded in parallel and their residual units meet in the next level: a reduction
 The random numbers are hashes of the units and the seed: reruns and reruns of lost tasks agree.
 
 Nulls and odd inputs: a null text has size 0 and is never taken; a null source is a source of its
-own, the last; rows equal in doc_id, source and text share one decision; an empty table or one
-without words gives targets of 0. Other columns are ignored.
+own, the last; rows equal in doc_id, source and text share their unit's copies evenly, one more for the first
+of them where they don't divide; an empty table or one without words gives targets of 0. Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +29,9 @@ SHARE, MOST = 1.5, 2.0
 #: Units that meet in one fold, about.
 CHUNK = 64
 
+#: Bytes of a source's name, about, in a broadcast.
+_NAME = 64
+
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,8 +59,9 @@ def source_targets(units: DataFrame, weights=WEIGHTS, share: float = SHARE, most
 
     The level at which shares stop at their caps is found in one pass over the sources in the
     order of cap over weight: a source is capped if the level of those from it on exceeds its own.
+    Its windows are over a row a source. units: source, size, rows.
     """
-    per = units.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("units"))
+    per = units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("units"))
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weight = F.element_at(F.array(*map(F.lit, weights)), (rank % len(weights) + 1).cast("int"))
     per = per.withColumn("weight", weight).withColumn("cap", most * F.col("source_size"))
@@ -117,11 +122,14 @@ def fold(items: Column, level: int, seed: int) -> Column:
 
 
 def rounded(units: DataFrame, sources: DataFrame, n_sources: int, seed: int = 0) -> DataFrame:
-    """u1, u2, taken (0 or 1) of every unit with a fraction to round; written to the shared folder."""
-    units = units.groupBy("source", "u1", "u2").agg(F.sum("size").cast("double").alias("w"))
+    """u1, u2, taken (0 or 1): whether a unit has one copy more than the whole ones; stored.
+
+    units: source, u1, u2, size (of one row), rows.
+    """
     wanted = sources.select(F.col("source").alias("s"), (F.col("target") / F.col("source_size")).alias("times"), "units").filter("source_size > 0")
-    units = units.filter("w > 0").join(small(wanted, n_sources), F.col("source").eqNullSafe(F.col("s")))
-    units = units.select("source", "u1", "u2", (F.col("times") - F.floor("times")).alias("p"), "w", F.col("units").alias("n")).filter("p > 0")
+    units = units.filter("size > 0").join(small(wanted, n_sources, _NAME * n_sources), F.col("source").eqNullSafe(F.col("s")))
+    wish = F.col("times") * F.col("rows")
+    units = units.select("source", "u1", "u2", (wish - F.floor(wish)).alias("p"), F.col("size").cast("double").alias("w"), F.col("units").alias("n")).filter("p > 0")
     most = sources.agg(F.max("units")).head()[0] or 0
     out, level, spent = [], 0, []
     while True:
@@ -149,24 +157,70 @@ def rounded(units: DataFrame, sources: DataFrame, n_sources: int, seed: int = 0)
     return decided
 
 
-def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
-    """doc_id, source, size, source_size, target, copies, taken and the unit's name (u1, u2) of every row of docs."""
-    units = stored(sized(docs), "sizes")
+def _nth(rows: DataFrame, repeated: DataFrame, n_repeated: int) -> DataFrame:
+    """rows (with u1, u2) and `nth`: a row's number, from 0, among those of its unit.
+
+    Only units of several rows are numbered, in each partition of the scan by itself and from there on by the
+    partitions' counts, so a unit that fills a third of the table is met by no task as a whole.
+    """
+    if not n_repeated:
+        return rows.withColumn("__gw_nth", F.lit(0).cast("long"))
+    named = rows.withColumn("__gw_part", F.spark_partition_id())
+    names = repeated.select(F.col("u1").alias("__gw_r1"), F.col("u2").alias("__gw_r2"))
+    named = named.join(small(names, n_repeated), (F.col("u1") == F.col("__gw_r1")) & (F.col("u2") == F.col("__gw_r2")), "left")
+    single = named.filter("__gw_r1 is null").withColumn("__gw_nth", F.lit(0).cast("long"))
+    several = named.filter("__gw_r1 is not null")
+    key = ["u1", "u2", "__gw_part"]
+    before = Window.partitionBy("u1", "u2").orderBy("__gw_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = several.groupBy(*key).agg(F.count("*").alias("__gw_n")).withColumn("__gw_before", F.coalesce(F.sum("__gw_n").over(before), F.lit(0)))
+    own = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0))) - 1
+    several = several.withColumn("__gw_own", own).join(counts, key).withColumn("__gw_nth", F.col("__gw_before") + F.col("__gw_own"))
+    names = [*rows.columns, "__gw_nth"]
+    return single.select(*names).union(several.select(*names))
+
+
+def decided(rows: DataFrame, seed: int) -> tuple[DataFrame, DataFrame, int]:
+    """(u1, u2, rows, copies in all: of every unit that is wanted, stored; sources, stored; number of sources)."""
+    units = stored(rows.groupBy("source", "u1", "u2").agg(F.max("size").alias("size"), F.count("*").alias("rows")), "units")
     sources = stored(source_targets(units), "sources")
     n = sources.count()
-    decided = rounded(units, sources, n, seed)
+    more = rounded(units, sources, n, seed)
+    per = sources.select(F.col("source").alias("s"), "source_size", "target")
+    times = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    out = units.filter("size > 0").join(small(per, n, _NAME * n), F.col("source").eqNullSafe(F.col("s"))).join(more, ["u1", "u2"], "left")
+    out = stored(out.select("u1", "u2", "rows", (F.floor(times * F.col("rows")) + F.coalesce("taken", F.lit(0))).alias("all")), "decided")
+    drop_stored(units, more)
+    return out, sources, n
+
+
+def _copies(rows: DataFrame, choice: DataFrame) -> DataFrame:
+    """rows (with u1, u2) and `__gw_copies` of each: its even part of its unit's copies."""
+    repeated = choice.filter("rows > 1")
+    n = repeated.count()
+    per = choice.select(F.col("u1").alias("__gw_u1"), F.col("u2").alias("__gw_u2"), F.col("rows").alias("__gw_rows"), F.col("all").alias("__gw_all"))
+    joined = _nth(rows, repeated, n).join(per, (F.col("u1") == F.col("__gw_u1")) & (F.col("u2") == F.col("__gw_u2")), "left")
+    whole = F.floor(F.col("__gw_all") / F.col("__gw_rows"))
+    copies = whole + (F.col("__gw_nth") < F.col("__gw_all") - whole * F.col("__gw_rows")).cast("long")
+    return joined.withColumn("__gw_copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("__gw_u1", "__gw_u2", "__gw_rows", "__gw_all", "__gw_nth")
+
+
+def mixed(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies, taken and the unit's name (u1, u2) of every row of docs."""
+    rows = stored(sized(docs), "sizes")
+    choice, sources, n = decided(rows, seed)
     per = sources.select(F.col("source").alias("s"), "source_size", "target")
-    out = units.join(small(per, n), F.col("source").eqNullSafe(F.col("s"))).join(decided, ["u1", "u2"], "left")
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    copies = F.when(F.col("size") > 0, whole + F.coalesce("taken", F.lit(0))).otherwise(0).cast("int")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"), "u1", "u2")
+    out = _copies(rows, choice).join(small(per, n, _NAME * n), F.col("source").eqNullSafe(F.col("s"))).withColumnRenamed("__gw_copies", "copies")
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), "u1", "u2")
 
 
 def mix_documents(docs: DataFrame, seed: int = 0) -> DataFrame:
     """The rows of docs as often as the mix takes them, with their own columns."""
-    decided = mixed(docs, seed).filter("copies > 0").select("u1", "u2", "copies").groupBy("u1", "u2").agg(F.max("copies").alias("__gw_copies"))
+    rows = stored(sized(docs), "sizes")
+    choice, sources, _ = decided(rows, seed)
+    drop_stored(rows, sources)
     names = docs.columns
     u1, u2 = unit_name(docs)
-    named = docs.withColumns({"__gw_u1": u1, "__gw_u2": u2})
-    kept = named.join(decided.withColumnsRenamed({"u1": "__gw_u1", "u2": "__gw_u2"}), ["__gw_u1", "__gw_u2"])
-    return kept.select(*names, F.explode(F.sequence(F.lit(1), F.col("__gw_copies"))).alias("__gw_copy")).drop("__gw_copy")
+    # the rows' own columns travel as one, so that none of their names clashes
+    named = docs.select(F.struct(*docs.columns).alias("__gw_row"), u1.alias("u1"), u2.alias("u2"))
+    kept = _copies(named, choice).filter("__gw_copies > 0")
+    return kept.select("__gw_row", F.explode(F.sequence(F.lit(1), F.col("__gw_copies"))).alias("__gw_copy")).select(*(F.col("__gw_row")[c].alias(c) for c in names))

@@ -141,8 +141,27 @@ def test_mixing_edges(spark):
     assert mixing.mixed(docs_of(spark, []).limit(0)).count() == 0
     same = docs_of(spark, [(1, "a b", "s")] * 40 + [(2, None, None)])
     got = mixing.mixed(same).collect()
-    assert len(got) == 41 and len({d["taken"] for d in got if d["doc_id"] == 1}) == 1
+    assert len(got) == 41 and sorted(d["taken"] for d in got if d["doc_id"] == 1) == [2] * 20 + [4] * 20  # 120 words wanted
     assert [(d["size"], d["target"], d["taken"]) for d in got if d["doc_id"] == 2] == [(0, 0.0, 0)]
+    assert mixing.mix_documents(same).count() == 60
+
+
+def test_mixing_comes_near_its_target_with_repeated_rows(spark):
+    r = np.random.default_rng(3)
+    rows = [(k, " ".join(["w"] * int(r.integers(1, 9))), str(r.choice(["a", "b", "c"]))) for k in range(300)]
+    rows = [x for x in rows for _ in range(int(r.integers(1, 4)))] + [(1000, "hot row of five words", "a")] * 700 + [(2000, "word " * 20_000, "b")]
+    docs = docs_of(spark, rows).repartition(5).withColumns({"u1": F.lit(1), "size": F.lit("x"), "rows": F.lit(2), "copies": F.lit(3)})
+    got = mixing.mixed(docs).collect()
+    taken, want = {}, {}
+    for d in got:
+        taken[d["source"]], want[d["source"]] = taken.get(d["source"], 0) + d["taken"], d["target"]
+        assert d["taken"] <= 2 * d["size"]
+    assert all(abs(taken[s] - want[s]) <= (9 if s != "b" else 20_000) for s in want)
+    hot = [d["taken"] for d in got if d["doc_id"] == 1000]
+    assert len(hot) == 700 and max(hot) - min(hot) <= 5
+    out = mixing.mix_documents(docs)
+    assert out.columns == docs.columns and out.filter("doc_id = 1000").count() == sum(hot) // 5
+    assert sorted((d["doc_id"], d["taken"]) for d in mixing.mixed(docs.repartition(9)).collect()) == sorted((d["doc_id"], d["taken"]) for d in got)
 
 
 def test_rounding_keeps_expectations(spark):
@@ -419,6 +438,16 @@ def test_token_files_of_nothing(spark, tmp_path):
     assert token_output.read_tokens(spark, folder).count() == 0
 
 
+def test_token_files_of_equal_rows_and_long_texts(spark, tmp_path):
+    rows = [(7, "same words", "s")] * 5 + [(7, "other words", "s"), (8, "word " * 120_000, "s"), (None, None, None)]
+    docs = docs_of(spark, rows).withColumns({"ids": F.lit(1), "shard": F.lit(2), "n_tokens": F.lit("x")})
+    got = sorted(token_output.read_tokens(spark, token_output.write_tokens(docs, str(tmp_path / "set"))).collect(), key=lambda d: d["start"])
+    assert [d["doc_id"] for d in got] == [7] * 6 + [8, None] and [d["n_tokens"] for d in got][-2:] == [120_001, 1]
+    at = np.cumsum([0, *(d["n_tokens"] for d in got)])
+    assert [d["start"] for d in got] == at[:-1].tolist()
+    assert len({d["ids"] for d in got[:6]}) == 2
+
+
 # --- pipeline ------------------------------------------------------------------------------------------
 
 

@@ -286,15 +286,11 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                     }
                 )
 
-    sums = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n"), F.count("*").alias("blocks")).orderBy("shard").collect()  # a row for each shard
-    at, shards = 0, []
-    for r in sums:
-        shards.append((r["shard"], at))
-        at += r["n"]
-    bases = F.broadcast(spark.createDataFrame(shards, "shard int, base long"))
+    first = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)  # over a row a shard
+    shards = blocks.groupBy("shard").agg(F.sum("n_ids").alias("n")).select("shard", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("shard", "block", "n_ids").withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(bases, "shard")
-    offsets = offsets.select("shard", "block", (F.col("base") + F.col("own")).alias("offset"))
+    offsets = blocks.select("shard", "block", "n_ids").withColumn("own", F.coalesce(F.sum("n_ids").over(own), F.lit(0))).join(shards, "shard")
+    offsets = stored(offsets.select("shard", "block", (F.col("base") + F.col("own")).alias("offset")), "offsets")
     decoded = blocks.select("shard", "block", "payload").mapInArrow(run, "shard int, block int, doc_id long, within long, n_tokens long, ids binary")
-    joined = decoded.join(small(offsets, sum(r["blocks"] for r in sums)), ["shard", "block"])
+    joined = decoded.join(small(offsets, offsets.count()), ["shard", "block"])
     return joined.select("doc_id", (F.col("offset") + F.col("within")).alias("start"), "n_tokens", "ids")

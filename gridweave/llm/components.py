@@ -5,20 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_stored, stored
+from .common import drop_stored, small, stored
 
+#: Links of a node at least, and nodes at most, that are told apart as hubs.
+HUB, HUBS = 100_000, 500_000
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
     """Links of each node's neighbours to the least of them and itself. Large: the neighbours above the
-    node; small: those below it, and the node."""
+    node; small: those below it, and the node. most: a bound of the number of links.
+
+    The least neighbours are found with map-side minima. They go back to the links by a broadcast of a checked size;
+    beyond it those of the hubs do, of which there are few, and the others by a shuffle without a hot key.
+    """
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.filter("b < a")
-    least = side.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-    moved = side.join(least, "a")
+    degree = max(HUB, 2 * most // HUBS)
+    least = side.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
+    nodes = least.select("a", "m")
+    hinted = small(nodes, 2 * most)
+    if hinted is not nodes:
+        moved = side.join(hinted, "a")
+    else:
+        hubs = side.join(F.broadcast(least.filter(F.col("n") > degree).select("a", F.col("m").alias("h"))), "a", "left")
+        moved = hubs.filter("h is not null").select("a", "b", F.col("h").alias("m")).union(hubs.filter("h is null").select("a", "b").join(nodes, "a"))
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
+        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(nodes.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
@@ -26,12 +40,12 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node with a link; the component is its least node. Each round is
     written to the shared folder; the number of rounds grows with the logarithm of the longest chain."""
     edges = stored(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
-    state = None
+    state, most = None, edges.count()
     while True:
-        turned = stored(_star(_star(edges, True), False), "stars")
+        turned = stored(_star(_star(edges, True, most), False, most), "stars")  # a large star makes no more links than it finds
         now = turned.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))).head()
         drop_stored(edges)
-        edges = turned
+        edges, most = turned, now[0]
         if state == now:
             break
         state = now

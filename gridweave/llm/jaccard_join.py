@@ -4,20 +4,23 @@ A document's set are its distinct word shingles. Equal sets are one class. Two c
 their Jaccard similarity reaches `num`/100.
 
 Orders. All classes sort their tokens by the same global order; then similar sets share a token of
-their prefixes, of size n - ceil(t n) + 1. Two orders are used, rare tokens first in both, ties by
-the token in one and by the complement of its rotated bits in the other; a candidate must share
-prefix tokens in both, and both filters are applied before anything is verified. Frequencies are
-exact counts over all classes. Tokens found in one class are first in either order, so a class with
+their prefixes, of size n - ceil(t n) + 1. Two orders are used: rare tokens first, and the order of the tokens'
+hashes; in both, tokens of one class alone come first of all. A candidate must share prefix tokens in both, and both
+filters are applied before any overlap is counted. Frequencies are exact counts over all classes, but for hot tokens:
+those that a sample shows to be in HOT classes or more, a bounded number, have the sample's estimate for a frequency
+(any order will do if it is the same for all) and are never gathered by token. Tokens found in one class come first, so a class with
 more of them than its prefix has no partner; such classes go, frequencies are counted again over
 the others, and what stays has few tokens in its prefix.
 
 What is written stays linear in a group of copies: each token first links its classes to its most
 central one only (a star). The links that verify give components. Classes that share a prefix token
-with a class of another component then meet in blocks, where all their pairs are tried in place and
-only links that join components leave, so no link between components is lost.
+with a class of another component then meet in blocks, where candidates are tried in place and
+only links that join components leave, so no link between components is lost. A class goes to those blocks only
+in which a class shares a prefix token with it.
 
 Token lists travel as packed arrays, dealt by hash ranges of tokens or of classes whose number
-follows the input. A common token is kept to the prefixes where it is rare enough to matter.
+follows the input. What a prefix token's list is needed for, its centre and whether it spans components, are grouped minima
+with map-side partial results, so a list that is a third of all classes is met by no task as a whole.
 
 Nulls and odd inputs: a null or empty text has no shingle, links to nothing and is its own component.
 A null doc_id has its own count and a null component. Rows with one doc_id and different texts are
@@ -33,22 +36,25 @@ from pyspark.sql import functions as F
 
 from .common import doc_view, drop_stored, map_batches, small, stored, texts_of
 from .components import components
-from .shingles import set_key, shingle_sets
+from .shingles import finalised, set_key, shingle_sets
 
 SIZE, NUM = 5, 75
 
 #: Tokens of one bucket about, and classes of one.
 BUCKET_TOKENS, BUCKET_NODES = 500_000, 2_000
 
-#: Prefix tokens of one bucket about, and classes that meet with their tokens.
-BUCKET_PREFIX, BLOCK_NODES = 200_000, 8_192
+#: Classes that meet with their tokens in one block.
+BLOCK_NODES = 8_192
+
+#: One class of SAMPLE is looked at for hot tokens; classes of a hot token at least, and hot tokens at most.
+SAMPLE, HOT, HOT_TOKENS = 64, 100_000, 1_000_000
 
 _PACKED = "bucket int, nodes binary, tokens binary"
 _COUNTED = "bucket int, nodes binary, tokens binary, freq binary"
 
 
 def class_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
-    """doc_id, n and the 128-bit name of each row's set; stored."""
+    """doc_id, n and the 128-bit name of each row's set, and the sets of the sample; stored."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = shingle_sets(texts_of(batch["text"]), size)
@@ -59,10 +65,29 @@ def class_sets(docs: DataFrame, size: int = SIZE) -> DataFrame:
                 "n": pa.array([len(s) for s in sets], pa.int64()),
                 "k1": pa.array([k[0] for k in keys], pa.int64()),
                 "k2": pa.array([k[1] for k in keys], pa.int64()),
+                "sample": pa.array([s.tobytes() if len(s) and k[0] % SAMPLE == 0 else None for s, k in zip(sets, keys, strict=True)], pa.binary()),
             }
         )
 
-    return stored(map_batches(doc_view(docs, "doc_id", "text"), run, "doc_id long, n long, k1 long, k2 long"), "sets")
+    return stored(map_batches(doc_view(docs, "doc_id", "text"), run, "doc_id long, n long, k1 long, k2 long, sample binary"), "sets")
+
+
+def hot_tokens(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens in order, frequencies): those of HOT classes or more by the sample, at most HOT_TOKENS about."""
+
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch({"token": pa.array(np.frombuffer(b"".join(batch["sample"].to_pylist()), np.int64))})
+
+    sampled = sets.filter("sample is not null").groupBy("n", "k1", "k2").agg(F.first("sample").alias("sample"))
+    total = sampled.agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    least = max(1, HOT // SAMPLE, total // HOT_TOKENS)
+    if sampled.count() < least:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    rows = sampled.select("sample").mapInArrow(run, "token long").groupBy("token").count().filter(F.col("count") >= least).toPandas()  # bounded
+    tokens = rows["token"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(tokens)
+    return tokens[order], rows["count"].to_numpy(np.int64)[order] * SAMPLE
 
 
 def _split(bucket: np.ndarray, buckets: int, *columns: np.ndarray) -> tuple[list, ...]:
@@ -91,21 +116,34 @@ def _need(n: np.ndarray, num: int) -> np.ndarray:
     return -(-n * num // 100)
 
 
+def _among(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    if not len(hot):
+        return np.zeros(len(tokens), bool)
+    return hot[np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)] == tokens
+
+
+def _with_hot(columns: tuple, away: tuple) -> tuple:
+    """Packed rows by token, and those of hot tokens by class in buckets below 0."""
+    return (np.concatenate([columns[0], -1 - away[0]]), *([*c, *a] for c, a in zip(columns[1:], away[1:], strict=True)))
+
+
 class Join:
-    """The steps of one join; classes: node, rep, n, k1, k2 (stored)."""
+    """The steps of one join; classes: node, rep, n, k1, k2 (stored); hot: hot tokens and their frequencies."""
 
-    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, num: int):
+    def __init__(self, docs: DataFrame, classes: DataFrame, size: int, num: int, hot: tuple[np.ndarray, np.ndarray]):
         self.docs, self.size, self.num = docs, size, num
+        self.hot = docs.sparkSession.sparkContext.broadcast(hot)
         self.classes = classes
         self.count, total = classes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).head()
         self.token_buckets = 1 << max(4, (total // BUCKET_TOKENS).bit_length())
         self.node_buckets = max(16, -(-self.count // BUCKET_NODES))
 
     def tokens(self) -> DataFrame:
-        """All tokens of all classes, packed by token: the low bits choose the bucket, 6 bytes go along."""
+        """All tokens of all classes, packed by token: the low bits choose the bucket, 6 bytes go along. Hot tokens
+        are packed by class, whole, in buckets below 0."""
         reps = self.classes.select(F.col("rep").alias("doc_id"), "node", "k1", "k2")
         texts = doc_view(self.docs, "doc_id", "text").join(small(reps, self.count), "doc_id")
-        buckets, size = self.token_buckets, self.size
+        buckets, node_buckets, size, hot = self.token_buckets, self.node_buckets, self.size, self.hot
         bits = np.uint64(buckets.bit_length() - 1)
 
         def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -114,26 +152,36 @@ class Join:
             mine = [k for k, s in enumerate(sets) if set_key(s) == (k1[k], k2[k])]  # not another text under the same id
             tokens = np.concatenate([np.empty(0, np.uint64), *(sets[k] for k in mine)])
             nodes = np.repeat(np.asarray(batch["node"], np.int64)[mine], [len(sets[k]) for k in mine])
+            is_hot = _among(tokens, hot.value[0])
+            away = _split((nodes[is_hot] % node_buckets).astype(np.int32), node_buckets, nodes[is_hot], tokens[is_hot])
+            tokens, nodes = tokens[~is_hot], nodes[~is_hot]
             bucket = (tokens & np.uint64(buckets - 1)).astype(np.int32)
             six = (tokens >> bits).view(np.uint8).reshape(-1, 8)[:, :6]
-            columns = _split(bucket, buckets, nodes, six)
+            columns = _with_hot(_split(bucket, buckets, nodes, six), away)
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED_SCHEMA, strict=True)], schema=_PACKED_SCHEMA)
 
         return map_batches(texts, run, _PACKED, size=8 << 20, rows=10_000)
 
     def counted(self, packed: DataFrame, wide: bool) -> DataFrame:
         """Tokens of two classes or more with their frequency, packed by class. wide: tokens come with 8 bytes."""
-        buckets, node_buckets = self.token_buckets, self.node_buckets
+        buckets, node_buckets, hot = self.token_buckets, self.node_buckets, self.hot
         bits = np.uint64(buckets.bit_length() - 1)
 
         def run(table: pa.Table) -> pa.Table:
             nodes = _read(table, "nodes", np.int64)
+            own = table["bucket"][0].as_py()
+            if own < 0:  # classes' hot tokens
+                tokens = _read(table, "tokens", np.uint64)
+                pairs = np.unique(np.stack([nodes.view(np.uint64), tokens], 1), axis=0)  # equal rows of a class count once
+                nodes, tokens = pairs[:, 0].view(np.int64), np.ascontiguousarray(pairs[:, 1])
+                freq = hot.value[1][np.searchsorted(hot.value[0], tokens)]
+                return _rows(_COUNTED_SCHEMA, [-1 - own], [nodes.tobytes()], [tokens.tobytes()], [freq.tobytes()])
             if wide:
                 tokens = _read(table, "tokens", np.uint64)
             else:
                 eight = np.zeros((len(nodes), 8), np.uint8)
                 eight[:, :6] = _read(table, "tokens", np.uint8).reshape(-1, 6)
-                tokens = (eight.reshape(-1).view(np.uint64) << bits) | np.uint64(table["bucket"][0].as_py())
+                tokens = (eight.reshape(-1).view(np.uint64) << bits) | np.uint64(own)
             order = np.lexsort((nodes, tokens))
             tokens, nodes = tokens[order], nodes[order]
             if len(tokens):  # equal rows of a class count once
@@ -167,103 +215,78 @@ class Join:
 
     def again(self, counted: DataFrame) -> DataFrame:
         """Shared tokens of the classes that may have a partner, packed by token."""
-        buckets = self.token_buckets
+        buckets, node_buckets, hot = self.token_buckets, self.node_buckets, self.hot
 
         def emit(found: list) -> pa.Table:
             tokens = np.concatenate([np.empty(0, np.uint64), *(f[2] for f in found)])
             nodes = np.repeat(np.array([f[0] for f in found], np.int64), [len(f[2]) for f in found])
-            return _rows(_PACKED_SCHEMA, *_split((tokens & np.uint64(buckets - 1)).astype(np.int32), buckets, nodes, tokens))
+            is_hot = _among(tokens, hot.value[0])
+            away = _split((nodes[is_hot] % node_buckets).astype(np.int32), node_buckets, nodes[is_hot], tokens[is_hot])
+            tokens, nodes = tokens[~is_hot], nodes[~is_hot]
+            return _rows(_PACKED_SCHEMA, *_with_hot(_split((tokens & np.uint64(buckets - 1)).astype(np.int32), buckets, nodes, tokens), away))
 
         return self._by_node(counted, emit, _PACKED)
 
     def alive(self, counted: DataFrame) -> DataFrame:
-        """node, n, tokens (shared ones, sorted), and the shared ones in its prefix by each order."""
+        """node, n, own (how many of its tokens no other class has), tokens (shared ones, sorted), and the shared ones
+        in its prefix by each order."""
         num = self.num
-        schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("tokens", pa.binary()), ("first", pa.binary()), ("second", pa.binary())])
+        names = pa.list_(pa.int64())
+        schema = pa.schema([("node", pa.int64()), ("n", pa.int64()), ("own", pa.int64()), ("tokens", pa.binary()), ("first", names), ("second", pa.binary())])
 
         def emit(found: list) -> pa.Table:
             rows = []
             for node, n, tokens, freq in found:
                 quota = n - int(_need(np.int64(n), num)) + 1 - (n - len(tokens))  # tokens of one class fill the prefix first
                 one = tokens[np.lexsort((tokens, freq))[:quota]]
-                turned = ~((tokens << np.uint64(29)) | (tokens >> np.uint64(35)))
-                two = tokens[np.lexsort((turned, freq))[:quota]]
-                rows.append((node, n, np.sort(tokens).tobytes(), one.tobytes(), np.sort(two).tobytes()))
+                two = tokens[np.argsort(finalised(tokens))[:quota]]
+                rows.append((node, n, n - len(tokens), np.sort(tokens).tobytes(), one.view(np.int64), np.sort(two).tobytes()))
             return _rows(schema, *(list(c) for c in zip(*rows, strict=True))) if rows else schema.empty_table()
 
-        return self._by_node(counted, emit, "node long, n long, tokens binary, first binary, second binary")
-
-    def postings(self, alive: DataFrame) -> DataFrame:
-        """Prefix tokens of the first order, packed by token; with the classes' components and how many of
-        their tokens no other class has."""
-        buckets = self.prefix_buckets
-
-        def run(batches):
-            for batch in batches:
-                firsts = [np.frombuffer(x, np.uint64) for x in batch["first"].to_pylist()]
-                tokens = np.concatenate([np.empty(0, np.uint64), *firsts])
-                lengths = [len(x) for x in firsts]
-                nodes, comps, own = (np.repeat(np.asarray(batch[k], np.int64), lengths) for k in ("node", "component", "own"))
-                parts = _split((tokens % np.uint64(buckets)).astype(np.int32), buckets, nodes, tokens, comps, own)
-                yield pa.RecordBatch.from_arrays([pa.array(p, t) for p, t in zip(parts, (pa.int32(), *[pa.binary()] * 4), strict=True)], ["bucket", "nodes", "tokens", "comps", "own"])
-
-        own = (F.col("n") - F.length("tokens") / 8).cast("long").alias("own")
-        return alive.select("node", "first", "component", own).mapInArrow(run, "bucket int, nodes binary, tokens binary, comps binary, own binary")
+        return self._by_node(counted, emit, "node long, n long, own long, tokens binary, first array<long>, second binary")
 
     def stars(self, alive: DataFrame) -> DataFrame:
         """Candidates (a, b): each class of a token's list with the list's most central one, which is the one
         with the fewest tokens of its own: variants of a text that link to any other mostly link to it."""
-        schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def run(table: pa.Table) -> pa.Table:
-            nodes, own, tokens = _read(table, "nodes", np.int64), _read(table, "own", np.int64), _read(table, "tokens", np.uint64)
-            order = np.lexsort((nodes, own, tokens))
-            nodes, tokens = nodes[order], tokens[order]
-            begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]])) if len(tokens) else np.empty(0, int)
-            hub = np.repeat(nodes[begin], np.diff(np.append(begin, len(tokens)))) if len(tokens) else nodes
-            pairs = np.stack([np.minimum(hub, nodes), np.maximum(hub, nodes)], 1)[hub != nodes]
-            pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
-            return _rows(schema, pairs[:, 0], pairs[:, 1])
-
-        return self.postings(alive.withColumn("component", F.col("node"))).groupBy("bucket").applyInArrow(run, "a long, b long").distinct()
+        post = alive.select(F.explode("first").alias("token"), "node", "own")
+        centre = post.groupBy("token").agg(F.min(F.struct("own", "node"))["node"].alias("hub"), F.count("*").alias("n")).filter("n > 1").select("token", "hub")
+        met = post.select("token", "node").join(small(centre, self.prefixes // 2), "token").filter("hub <> node")
+        return met.select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
 
     def across(self, placed: DataFrame) -> DataFrame:
         """Links (a, b) between components that the stars left apart, as many as join them.
 
-        Classes that share prefix tokens with others of another component form families. A family meets with
-        its tokens, in blocks of at most about BLOCK_NODES, every pair of its blocks once; a family of one
-        block travels once. There both filters and the exact overlap are taken over inverted lists, for all
-        partners of a class at once, and only links that join two components leave: no more rows than
-        classes, whatever the size of a group.
+        Classes that share prefix tokens with others of another component form families. A small family meets in
+        one block with its tokens; a large one is dealt over blocks of about BLOCK_NODES classes, and a class
+        goes to the pairs of its block with those blocks that hold a class with one of its prefix tokens. There
+        both filters are taken over inverted lists, for all partners of a class at once, then the exact overlap, and
+        only links that join two components leave: no more rows than classes, whatever the size of a group.
         """
         num, size = self.num, BLOCK_NODES
-        pair_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-        def mixed(table: pa.Table) -> pa.Table:
-            nodes, comps, tokens = _read(table, "nodes", np.int64), _read(table, "comps", np.int64), _read(table, "tokens", np.uint64)
-            order = np.argsort(tokens, kind="stable")
-            nodes, comps, tokens = nodes[order], comps[order], tokens[order]
-            if not len(tokens):
-                return pair_schema.empty_table()
-            begin = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1]]))
-            count = np.diff(np.append(begin, len(tokens)))
-            several = np.repeat(np.minimum.reduceat(comps, begin) != np.maximum.reduceat(comps, begin), count)
-            hub = np.repeat(nodes[begin], count)
-            pairs = np.stack([np.minimum(hub, nodes), np.maximum(hub, nodes)], 1)[several & (hub != nodes)]
-            pairs = np.unique(pairs, axis=0) if len(pairs) else np.empty((0, 2), np.int64)
-            return _rows(pair_schema, pairs[:, 0], pairs[:, 1])
-
-        met = self.postings(placed).groupBy("bucket").applyInArrow(mixed, "a long, b long")
-        family = stored(components(met).withColumnsRenamed({"component": "family"}), "families")
-        total = family.count()
+        post = placed.select(F.explode("first").alias("token"), "node", "component")
+        lists = post.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.min("node").alias("hub"))
+        lists = stored(lists.filter("low <> high").select("token", "hub"), "lists")
+        met = stored(post.select("token", "node").join(small(lists, lists.count()), "token"), "met")
+        pairs = met.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+        family = components(pairs).withColumnsRenamed({"component": "family"})
         blocks = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+        mine = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")  # classes of a component mostly share a block
+        spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        family = family.join(blocks, "family").join(placed.select("node", "component"), "node")
+        crowded = family.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > size).select("component", F.lit(True).alias("crowded"))
+        family = family.join(crowded, "component", "left").withColumn("mine", F.when(F.col("crowded"), spread).otherwise(mine))
+        family = stored(family.select("node", "family", "blocks", "mine"), "families")
+        total, large = family.agg(F.count("*"), F.coalesce(F.max("blocks"), F.lit(0))).head()
         packs = max(1, -(-total // size))  # small families share a task, a large one has blocks of its own
         pack = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(packs)))
-        mine = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = family.join(blocks, "family").select("node", pack.alias("pack"), mine.alias("mine"), "blocks")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        dealt = dealt.select("node", "pack", "mine", other).select("node", "pack", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
-        dealt = placed.select("node", "n", "component", "tokens", "second").join(small(dealt, total), "node")
+        dealt = family.filter("blocks = 1").select("node", pack.alias("pack"), "mine", F.lit(0).alias("i"), F.lit(0).alias("j"))
+        if large > 1:
+            held = met.join(small(family.filter("blocks > 1").select("node", "family", "mine"), total), "node")
+            places = held.select("token", "family", F.col("mine").alias("other")).distinct()
+            goes = held.join(places, ["token", "family"]).select("node", F.col("family").alias("pack"), "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+            dealt = dealt.union(goes.distinct())
+        dealt = stored(dealt, "dealt")
+        dealt = placed.select("node", "n", "component", "tokens", "first", "second").join(small(dealt, dealt.count()), "node")
         schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
         def probe(table: pa.Table) -> pa.Table:
@@ -277,8 +300,7 @@ class Join:
                     c = up
                 return c
 
-            def inverted(name: str):
-                sets = [np.frombuffer(x, np.uint64) for x in table[name].to_pylist()]
+            def inverted(sets: list[np.ndarray]):
                 lengths = np.array([len(x) for x in sets])
                 ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
                 order = np.argsort(ids, kind="stable")
@@ -287,14 +309,18 @@ class Join:
                 ends = np.cumsum(lengths)
                 return lambda k: np.bincount(np.concatenate([np.empty(0, np.int64), *(rows[cuts[t] : cuts[t + 1]] for t in ids[ends[k] - lengths[k] : ends[k]])]), minlength=len(sets))
 
-            second, overlap = inverted("second"), inverted("tokens")
+            first = inverted([np.asarray(x, np.int64) for x in table["first"].to_pylist()])
+            second, overlap = (inverted([np.frombuffer(x, np.uint64) for x in table[name].to_pylist()]) for name in ("second", "tokens"))
             names, counts = np.unique(comp, return_counts=True)
             largest = names[counts.argmax()]
             out = []
             for k in np.flatnonzero(comp != largest).tolist():
-                could = (second(k) > 0) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= num * np.maximum(n, n[k]))
+                could = (first(k) > 0) & (comp != comp[k]) & (100 * np.minimum(n, n[k]) >= num * np.maximum(n, n[k]))
                 if not one_block:
                     could &= block != block[k]
+                if not could.any():
+                    continue
+                could &= second(k) > 0
                 if not could.any():
                     continue
                 common = overlap(k)
@@ -333,8 +359,7 @@ class Join:
         packed = stored(self.again(first), "shared")
         alive = stored(self.alive(self.counted(packed, wide=True)), "alive")
         drop_stored(packed)
-        total = alive.agg(F.coalesce(F.sum(F.length("first") / 8), F.lit(0))).head()[0]
-        self.prefix_buckets = max(8, int(total) // BUCKET_PREFIX)
+        self.prefixes = alive.agg(F.coalesce(F.sum(F.size("first")), F.lit(0))).head()[0]
         stars = stored(self.stars(alive), "stars")
         near = stored(self.verified(stars, alive), "near")
         groups = stored(components(near), "groups")
@@ -352,12 +377,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFr
     by = ["n", "k1", "k2"]
     named = sets.filter("n > 0 and doc_id is not null").groupBy(*by).agg(F.min("doc_id").alias("rep"))
     classes = stored(named.select(F.monotonically_increasing_id().alias("node"), "rep", *by), "classes")
-    groups = Join(docs, classes, size, num).links()
+    groups = Join(docs, classes, size, num, hot_tokens(sets)).links()
     reps = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
     answer = reps.join(least, "component").select(*by, "component_id")
     count = classes.count()
-    out = sets.join(small(answer, count), by, "left")
+    out = sets.drop("sample").join(small(answer, count), by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
 

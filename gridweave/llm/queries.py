@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -102,12 +101,9 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output)}
-QUERIES["pipeline"] = corpus_pipeline.run
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_sql(),
     "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",
     "op7_jaccard_join": jaccard_sql(),
 }
-if corpus_pipeline.ORACLE_SQL:
-    ORACLE_SQL["pipeline"] = corpus_pipeline.ORACLE_SQL

@@ -248,4 +248,7 @@ def test_personal_data_on_odd_tables(spark):
 
 
 def test_queries_are_registered():
-    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11)) and "pipeline" in QUERIES
+    assert {int(k[2:].split("_")[0]) for k in QUERIES if k.startswith("op")} == set(range(1, 11))
+    import __spark_entry__
+
+    assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 FALLBACK_DIR = "/tmp/checkpoints/gridweave"
 
 #: Most bytes of a side that may be broadcast.
-BROADCAST_BYTES = 64 << 20
+BROADCAST_BYTES = 32 << 20
 
 #: Bytes of a value, and of a row beside its values, as a broadcast table holds them.
 _WIDTH = {"int": 4, "bigint": 8, "double": 8, "boolean": 1}

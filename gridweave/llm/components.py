@@ -11,28 +11,34 @@ from .common import drop_stored, small, stored
 HUB, HUBS = 100_000, 500_000
 
 
-def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
-    """Links of each node's neighbours to the least of them and itself. Large: the neighbours above the
-    node; small: those below it, and the node. most: a bound of the number of links.
+def with_values(side: DataFrame, per: DataFrame, key: str, most: int) -> DataFrame:
+    """side joined with per (unique key, values, n: rows of side with the key, about). most: a bound of the rows of either.
 
-    The least neighbours are found with map-side minima. They go back to the links by a broadcast of a checked size;
-    beyond it those of the hubs do, of which there are few, and the others by a shuffle without a hot key.
+    A broadcast of a checked size; beyond it the values of hubs are broadcast, of which there are few,
+    and the others meet by a shuffle without a hot key.
     """
+    values = per.drop("n")
+    hinted = small(values, most)
+    if hinted is not values:
+        return side.join(hinted, key)
+    hubs = per.filter(F.col("n") > max(HUB, most // HUBS)).drop("n").withColumn("__gw_hub", F.lit(True))
+    marked = side.join(F.broadcast(hubs), key, "left")
+    rest = marked.filter("__gw_hub is null").select(*side.columns).join(values, key)
+    return marked.filter("__gw_hub").drop("__gw_hub").union(rest)
+
+
+def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
+    """Links of each node's neighbours to the least of them and itself. Large: the neighbours above the
+    node; small: those below it, and the node. most: a bound of the number of links. The least neighbours are found
+    with map-side minima."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     side = both if large else both.filter("b < a")
-    degree = max(HUB, 2 * most // HUBS)
     least = side.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("a", "m"))
-    nodes = least.select("a", "m")
-    hinted = small(nodes, 2 * most)
-    if hinted is not nodes:
-        moved = side.join(hinted, "a")
-    else:
-        hubs = side.join(F.broadcast(least.filter(F.col("n") > degree).select("a", F.col("m").alias("h"))), "a", "left")
-        moved = hubs.filter("h is not null").select("a", "b", F.col("h").alias("m")).union(hubs.filter("h is null").select("a", "b").join(nodes, "a"))
+    moved = with_values(side, least, "a", 2 * most)
     if large:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
-        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(nodes.select("a", F.col("m").alias("b")))
+        out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
     return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import doc_view, drop_stored, map_batches, small, stored, texts_of
-from .components import components
+from .components import components, with_values
 from .shingles import finalised, set_key, shingle_sets
 
 SIZE, NUM = 5, 75
@@ -43,8 +43,8 @@ SIZE, NUM = 5, 75
 #: Tokens of one bucket about, and classes of one.
 BUCKET_TOKENS, BUCKET_NODES = 500_000, 2_000
 
-#: Classes that meet with their tokens in one block.
-BLOCK_NODES = 8_192
+#: Classes that meet with their tokens in one block at most, about, and classes of small families that share a task.
+BLOCK_NODES, PACK_NODES = 8_192, 1_024
 
 #: One class of SAMPLE is looked at for hot tokens; classes of a hot token at least, and hot tokens at most.
 SAMPLE, HOT, HOT_TOKENS = 64, 100_000, 1_000_000
@@ -268,16 +268,17 @@ class Join:
         lists = stored(lists.filter("low <> high").select("token", "hub"), "lists")
         met = stored(post.select("token", "node").join(small(lists, lists.count()), "token"), "met")
         pairs = met.filter("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-        family = components(pairs).withColumnsRenamed({"component": "family"})
-        blocks = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))
+        family = stored(components(pairs).withColumnsRenamed({"component": "family"}), "members")
+        total = family.count()
+        blocks = family.groupBy("family").agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"), F.count("*").alias("n"))
         mine = F.pmod(F.xxhash64("component"), F.col("blocks")).cast("int")  # classes of a component mostly share a block
         spread = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        family = family.join(blocks, "family").join(placed.select("node", "component"), "node")
+        family = with_values(family, blocks, "family", total).join(placed.select("node", "component"), "node")
         crowded = family.groupBy("component").agg(F.count("*").alias("members")).filter(F.col("members") > size).select("component", F.lit(True).alias("crowded"))
-        family = family.join(crowded, "component", "left").withColumn("mine", F.when(F.col("crowded"), spread).otherwise(mine))
+        family = family.join(small(crowded, total // size), "component", "left").withColumn("mine", F.when(F.col("crowded"), spread).otherwise(mine))
         family = stored(family.select("node", "family", "blocks", "mine"), "families")
-        total, large = family.agg(F.count("*"), F.coalesce(F.max("blocks"), F.lit(0))).head()
-        packs = max(1, -(-total // size))  # small families share a task, a large one has blocks of its own
+        large = family.agg(F.coalesce(F.max("blocks"), F.lit(0))).head()[0]
+        packs = max(1, -(-total // PACK_NODES))  # small families share a task, a large one has blocks of its own
         pack = F.when(F.col("blocks") > 1, F.col("family")).otherwise(-1 - F.pmod(F.xxhash64("family"), F.lit(packs)))
         dealt = family.filter("blocks = 1").select("node", pack.alias("pack"), "mine", F.lit(0).alias("i"), F.lit(0).alias("j"))
         if large > 1:
@@ -378,10 +379,12 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, num: int = NUM) -> DataFr
     named = sets.filter("n > 0 and doc_id is not null").groupBy(*by).agg(F.min("doc_id").alias("rep"))
     classes = stored(named.select(F.monotonically_increasing_id().alias("node"), "rep", *by), "classes")
     groups = Join(docs, classes, size, num, hot_tokens(sets)).links()
-    reps = classes.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    least = reps.groupBy("component").agg(F.min("rep").alias("component_id"))
-    answer = reps.join(least, "component").select(*by, "component_id")
-    count = classes.count()
+    count, linked = classes.count(), groups.count()
+    reps = classes.join(small(groups, linked), "node", "left")
+    several = reps.filter("component is not null")
+    least = several.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("n"))
+    answer = with_values(several, least, "component", linked).select(*by, "component_id")
+    answer = answer.union(reps.filter("component is null").select(*by, F.col("rep").alias("component_id")))
     out = sets.drop("sample").join(small(answer, count), by, "left")
     component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))

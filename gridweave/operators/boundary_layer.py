@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.gas import MU_REF, R_AIR, S_AIR, T_REF, dynamic_pressure, viscosity
-from ..functions.numeric import NAN, fdiv, first_where
-from .interp import cubic_grid_at, spline_moments  # noqa: F401  (the cubic mode)
+from ..functions.gas import MU_REF, R_AIR, S_AIR, T_REF, viscosity
+from ..functions.numeric import NAN, first_where
+from .interp import cubic_grid_at
 from .numeric import adaptive_smooth, savgol, surface_normals
 from .stencil import gradient, head_slope, trapezoid_steps
 
@@ -265,8 +265,3 @@ def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode
 
 def edge_place(predicate: Column, order: str = "ord") -> Column:
     return first_where(predicate, order)
-
-
-def wall_shear(slope, t_wall, stream: FreeStream) -> tuple[Column, Column]:
-    tau = viscosity(t_wall) * slope
-    return tau, fdiv(tau, dynamic_pressure(stream.rho, stream.u))

@@ -121,14 +121,22 @@ def zoom_window(cells: DataFrame, state: str = "Base", aspect: float = 1.0, rang
     return box.select(*keys, F.lit(low).alias("x_low"), F.lit(high).alias("x_high"), F.greatest("y0", middle - half).alias("y_low"), F.least("y1", middle + half).alias("y_high"))
 
 
-def body_mask(cells: DataFrame, profile: DataFrame) -> DataFrame:
-    """cells and in_body: y between the profile's interpolated envelopes, within its x range."""
+def geometry_mask(ib: str = "ib_markers") -> Column:
+    """1 where a body marks a cell at all, else NaN."""
+    return F.when(F.abs(F.col(ib)) > 0, 1.0).otherwise(F.lit(NAN))
+
+
+def body_mask(cells: DataFrame, profile: DataFrame, keys=g.KEYS) -> DataFrame:
+    """cells and in_body: y between the profile's interpolated envelopes, within its x range. Profiles go with the
+    cells of their keys; one without keys is the body of all cells. A case without a profile has no body."""
     from .interp import interpolate
 
-    xs = cells.select("x").distinct()
-    upper = interpolate(xs, profile, "x", "y_upper", "_upper")
-    both = interpolate(upper, profile, "x", "y_lower", "_lower")
-    span = profile.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    joined = cells.join(both, "x").crossJoin(F.broadcast(span))
+    keys = [k for k in keys if k in cells.columns and k in profile.columns]
+    xs = cells.select(*keys, "x").distinct()
+    upper = interpolate(xs, profile, "x", "y_upper", "_upper", keys)
+    both = interpolate(upper, profile, "x", "y_lower", "_lower", keys)
+    span = profile.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))  # a row a case
+    both = both.join(F.broadcast(span), keys, "left") if keys else both.crossJoin(F.broadcast(span))
+    joined = cells.join(both, [*keys, "x"])
     inside = F.col("x").between(F.col("_x0"), F.col("_x1")) & (num("y") >= F.col("_lower")) & (num("y") <= F.col("_upper"))
-    return joined.withColumn("in_body", inside).drop("_upper", "_lower", "_x0", "_x1")
+    return joined.withColumn("in_body", F.coalesce(inside, F.lit(False))).drop("_upper", "_lower", "_x0", "_x1")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -31,33 +29,37 @@ def interpolate(queries: DataFrame, knots: DataFrame, x: str, y: str, out: str,
     return queries.join(found, [*keys, x])
 
 
-def bilinear(points: DataFrame, cells: DataFrame, field: str, out: str, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int, extrapolate: bool = True) -> DataFrame:
-    """points (point_id, px, py) with the field by linear interpolation on uniform axes: each point meets
-    its four corners by an equi-join on (i, j). Outside the grid it extrapolates, or gives null."""
-    i = F.least(F.greatest(F.floor((F.col("px") - x0) / dx), F.lit(0)), F.lit(nx - 2)).cast("int")
+def bilinear(points: DataFrame, cells: DataFrame, field: str, out: str, x0: float, dx: float, nx: int, y0: float, dy: float, ny: int, extrapolate: bool = True, keys=KEYS) -> DataFrame:
+    """points (keys, point_id, px, py) with the field by linear interpolation on uniform axes: each point meets
+    its four corners by an equi-join on (keys, i, j); points without keys go with cells of one case. Outside
+    the grid it extrapolates, or gives null."""
+    keys = [k for k in keys if k in points.columns and k in cells.columns]
+    i =F.least(F.greatest(F.floor((F.col("px") - x0) / dx), F.lit(0)), F.lit(nx - 2)).cast("int")
     j = F.least(F.greatest(F.floor((F.col("py") - y0) / dy), F.lit(0)), F.lit(ny - 2)).cast("int")
     located = points.withColumns({"_i": i, "_j": j})
     located = located.withColumns({"_a": (F.col("px") - (x0 + F.col("_i") * dx)) / dx, "_b": (F.col("py") - (y0 + F.col("_j") * dy)) / dy})
     corners = F.explode(F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a in (0, 1) for b in (0, 1)))).alias("c")
     each = located.select("*", corners)
     weight = F.when(F.col("c.di") == 1, F.col("_a")).otherwise(1.0 - F.col("_a")) * F.when(F.col("c.dj") == 1, F.col("_b")).otherwise(1.0 - F.col("_b"))
-    each = each.select("point_id", "px", "py", (F.col("_i") + F.col("c.di")).alias("i"), (F.col("_j") + F.col("c.dj")).alias("j"), weight.alias("_w"))
-    found = each.join(cells.select("i", "j", F.col(field).alias("_f")), ["i", "j"])
-    total = found.groupBy("point_id", "px", "py").agg(F.sum(F.col("_w") * F.col("_f")).alias(out))
+    each = each.select(*keys, "point_id", "px", "py", (F.col("_i") + F.col("c.di")).alias("i"), (F.col("_j") + F.col("c.dj")).alias("j"), weight.alias("_w"))
+    found = each.join(cells.select(*keys, "i", "j", F.col(field).alias("_f")), [*keys, "i", "j"])
+    total = found.groupBy(*keys, "point_id", "px", "py").agg(F.sum(F.col("_w") * F.col("_f")).alias(out))
     if extrapolate:
         return total
     inside = F.col("px").between(x0, x0 + (nx - 1) * dx) & F.col("py").between(y0, y0 + (ny - 1) * dy)
     return total.withColumn(out, F.when(inside, F.col(out)))
 
 
-def wall_cells(walls: DataFrame, axis: DataFrame) -> DataFrame:
-    """walls (…, side, wall_y) with j_fluid, y_fluid, j_ghost, y_ghost: the first centre at or above an upper
+def wall_cells(walls: DataFrame, axis: DataFrame, keys=KEYS) -> DataFrame:
+    """walls (keys, …, side, wall_y) with j_fluid, y_fluid, j_ghost, y_ghost: the first centre at or above an upper
     wall (last below a lower one) and its neighbour across the wall, both clamped to the axis.
 
-    axis (j, y) is one column of coordinates; it is folded to one sorted array row and broadcast.
+    axis (keys, j, y) is one column of coordinates a case, folded to a sorted array row; without keys there
+    is one such row.
     """
-    ys = axis.groupBy().agg(F.transform(F.array_sort(F.collect_set(F.struct("y", "j"))), lambda s: s["y"]).alias("_ys"))
-    both = walls.crossJoin(F.broadcast(ys))
+    keys = [k for k in keys if k in walls.columns and k in axis.columns]
+    ys = axis.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct("y", "j"))), lambda s: s["y"]).alias("_ys"))
+    both = walls.join(ys, keys) if keys else walls.crossJoin(F.broadcast(ys))
     below = F.size(F.filter("_ys", lambda y: y < F.col("wall_y")))  # centres below the wall
     n = F.size("_ys")
     upper = F.col("side") == "upper"
@@ -71,35 +73,56 @@ def wall_cells(walls: DataFrame, axis: DataFrame) -> DataFrame:
 
 
 def spline_moments(x: np.ndarray, f: np.ndarray) -> np.ndarray:
-    """Second derivatives of the not-a-knot cubic spline through f (last axis along x; at least 4 points)."""
-    n = len(x)
+    """Second derivatives of the not-a-knot cubic spline through f (last axis along x; at least 4 points).
+
+    The end conditions are put into the rows next to them, and what is left has three diagonals: one
+    elimination for all lines at once, linear in their length. A line with a NaN has NaNs only.
+    """
     h = np.diff(x)
-    a = np.zeros((n, n))
-    for k in range(1, n - 1):
-        a[k, k - 1 : k + 2] = h[k - 1], 2 * (h[k - 1] + h[k]), h[k]
-    a[0, :3] = h[1], -(h[0] + h[1]), h[0]
-    a[-1, -3:] = h[-1], -(h[-2] + h[-1]), h[-2]
-    slope = np.diff(f, axis=-1) / h
-    rhs = np.zeros_like(f)
-    rhs[..., 1:-1] = 6 * np.diff(slope, axis=-1)
-    return np.linalg.solve(a, rhs[..., None] if f.ndim == 1 else np.moveaxis(rhs, -1, 0)).reshape(n, -1).T.reshape(f.shape)
+    low, middle, up = h[:-1].copy(), 2 * (h[:-1] + h[1:]), h[1:].copy()
+    middle[0] += h[0] * (h[0] + h[1]) / h[1]
+    up[0] -= h[0] ** 2 / h[1]
+    middle[-1] += h[-1] * (h[-2] + h[-1]) / h[-2]
+    low[-1] -= h[-1] ** 2 / h[-2]
+    r = np.moveaxis(6 * np.diff(np.diff(f, axis=-1) / h, axis=-1), -1, 0).copy()
+    for k in range(1, len(r)):
+        w = low[k] / middle[k - 1]
+        middle[k] -= w * up[k - 1]
+        r[k] -= w * r[k - 1]
+    r[-1] /= middle[-1]
+    for k in range(len(r) - 2, -1, -1):
+        r[k] = (r[k] - up[k] * r[k + 1]) / middle[k]
+    inner = np.moveaxis(r, 0, -1)
+    first = ((h[0] + h[1]) * inner[..., 0] - h[0] * inner[..., 1]) / h[1]
+    last = ((h[-2] + h[-1]) * inner[..., -1] - h[-1] * inner[..., -2]) / h[-2]
+    return np.concatenate([first[..., None], inner, last[..., None]], -1)
+
+
+def _between(x: np.ndarray, at: np.ndarray, k: np.ndarray, f0, f1, m0, m1) -> np.ndarray:
+    h, a, b = x[k + 1] - x[k], x[k + 1] - at, at - x[k]
+    out = (m0 * a**3 + m1 * b**3) / (6 * h) + (f0 / h - m0 * h / 6) * a + (f1 / h - m1 * h / 6) * b
+    return np.where((at >= x[0]) & (at <= x[-1]), out, np.nan)
+
+
+def _knot(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
 
 
 def spline_at(x: np.ndarray, f: np.ndarray, m: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Spline values (last axis) at points, NaN outside [x0, x1]."""
-    k = np.clip(np.searchsorted(x, at, "right") - 1, 0, len(x) - 2)
-    h, a, b = x[k + 1] - x[k], x[k + 1] - at, at - x[k]
-    out = (m[..., k] * a**3 + m[..., k + 1] * b**3) / (6 * h) + (f[..., k] / h - m[..., k] * h / 6) * a + (f[..., k + 1] / h - m[..., k + 1] * h / 6) * b
-    return np.where((at >= x[0]) & (at <= x[-1]), out, np.nan)
+    k = _knot(x, at)
+    return _between(x, at, k, f[..., k], f[..., k + 1], m[..., k], m[..., k + 1])
 
 
-def cubic_grid_at(x: np.ndarray, y: np.ndarray, f: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
-    """Tensor-product cubic spline of f[i, j] at points."""
+def cubic_grid_at(x: np.ndarray, y: np.ndarray, f: np.ndarray, px: np.ndarray, py: np.ndarray, together: int = 4096) -> np.ndarray:
+    """Tensor-product cubic spline of f[i, j] at points, `together` of them at a time."""
     along_y = spline_moments(y, f)
     out = np.empty(len(px))
-    for k, (a, b) in enumerate(zip(px, py, strict=True)):
-        column = spline_at(y, f, along_y, np.array([b]))[:, 0]
-        out[k] = np.nan if np.isnan(column).any() else spline_at(x, column, spline_moments(x, column), np.array([a]))[0]
+    for at in range(0, len(px), together):
+        a, b = px[at : at + together], py[at : at + together]
+        rows = spline_at(y, f, along_y, b).T  # the line along x through each point
+        m, k, every = spline_moments(x, rows), _knot(x, a), np.arange(len(a))
+        out[at : at + together] = _between(x, a, k, rows[every, k], rows[every, k + 1], m[every, k], m[every, k + 1])
     return out
 
 
@@ -120,13 +143,3 @@ def cubic(points: DataFrame, cells: DataFrame, field: str, out: str, keys=KEYS)
 
     grid = cells.select(*keys, "i", "j", "x", "y", F.col(field).alias("f"))
     return points.groupBy(*keys).cogroup(grid.groupBy(*keys)).applyInArrow(run, schema)
-
-
-def each_batch(fn):
-    """A mapInArrow function from one over batches."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield fn(batch)
-
-    return run

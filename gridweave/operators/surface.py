@@ -75,45 +75,58 @@ def plane_points(triangles: DataFrame, plane: str = "xy", coord: float = 0.0) ->
 
 
 def envelope(points: DataFrame, h: str = "h", v: str = "v", keys=()) -> DataFrame:
-    """keys, ord, x, y_upper, y_lower, dyu_dx, dyl_dx of the stations of a body: near-equal x are one station."""
+    """keys, ord, x, y_upper, y_lower, dyu_dx, dyl_dx of the stations of a body: near-equal x are one station.
+    A body with one station, or with a range of 1e-15 or less, raises when it is read; no points have no rows."""
     bins = anchored_bins(points, h, keys, values=(v,))
-    w = Window.partitionBy(*keys).orderBy(h)
+    w, body = Window.partitionBy(*keys).orderBy(h), Window.partitionBy(*keys)
+    thin = (F.count("*").over(body) < 2) | (F.max(h).over(body) - F.min(h).over(body) <= 1e-15)
+    x = F.when(thin, F.raise_error(F.lit("a body needs two stations or more")).cast("double")).otherwise(F.col(h))
     return bins.select(
-        *keys, F.col("bin").alias("ord"), F.col(h).alias("x"), F.col(f"max_{v}").alias("y_upper"), F.col(f"min_{v}").alias("y_lower"),
+        *keys, F.col("bin").alias("ord"), x.alias("x"), F.col(f"max_{v}").alias("y_upper"), F.col(f"min_{v}").alias("y_lower"),
         gradient(f"max_{v}", h, w).alias("dyu_dx"), gradient(f"min_{v}", h, w).alias("dyl_dx"),
     )
 
 
-def body_profile(triangles: DataFrame) -> DataFrame:
+def body_profile(triangles: DataFrame, keys=()) -> DataFrame:
     """The envelope of all vertices by x."""
-    points = triangles.select(F.explode("v").alias("p")).select(F.col("p.x").alias("h"), F.col("p.y").alias("v"))
-    return envelope(points)
+    points = triangles.select(*keys, F.explode("v").alias("p")).select(*keys, F.col("p.x").alias("h"), F.col("p.y").alias("v"))
+    return envelope(points, keys=keys)
 
 
-def profile_normals(queries: DataFrame, profile: DataFrame, side: str) -> DataFrame:
-    """queries (x) with nx, ny: unit normals outward from the body by the interpolated slope."""
+def plane_profile(triangles: DataFrame, plane: str = "xy", coord: float = 0.0) -> DataFrame:
+    """The envelope of a plane's cut through triangles, along the plane's first axis."""
+    return envelope(plane_points(triangles, plane, coord))
+
+
+def profile_normals(queries: DataFrame, profile: DataFrame, side: str, keys=KEYS) -> DataFrame:
+    """queries (keys, x) with nx, ny: unit normals outward from the body by the interpolated slope."""
     up = side == "upper"
-    slope = interpolate(queries, profile, "x", "dyu_dx" if up else "dyl_dx", "_s")
+    keys = [k for k in keys if k in queries.columns and k in profile.columns]
+    slope = interpolate(queries, profile, "x", "dyu_dx" if up else "dyl_dx", "_s", keys)
     size = F.sqrt(1.0 + F.col("_s") * F.col("_s"))
     nx, ny = (-F.col("_s") / size, 1.0 / size) if up else (F.col("_s") / size, -1.0 / size)
     return slope.withColumns({"nx": nx, "ny": ny}).drop("_s")
 
 
-def profile_surface(cells: DataFrame, profile: DataFrame, max_x: float = 0.75) -> DataFrame:
-    """side, idx, i, j, x, y, y_exact, nx, ny, dist_to_wall: for each grid column within the profile, the first
-    fluid-side centre on each side of the body."""
-    span = profile.agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))
-    columns = cells.select("i", "x").distinct().crossJoin(F.broadcast(span)).filter(F.col("x").between(F.col("_x0"), F.col("_x1")) & (F.col("x") <= max_x)).select("i", "x")
-    axis = cells.select("j", "y").distinct()
+def profile_surface(cells: DataFrame, profile: DataFrame, max_x: float = 0.75, keys=KEYS) -> DataFrame:
+    """keys, side, idx, i, j, x, y, y_exact, nx, ny, dist_to_wall: for each grid column within the profile, the first
+    fluid-side centre on each side of the body. A profile without a key is the body of all its cases."""
+    keys = [k for k in keys if k in cells.columns]
+    shared = [k for k in keys if k in profile.columns]
+    span = profile.groupBy(*shared).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"))
+    columns = cells.select(*keys, "i", "x").distinct()
+    columns = columns.join(F.broadcast(span), shared) if shared else columns.crossJoin(F.broadcast(span))  # a row a case
+    columns = columns.filter(F.col("x").between(F.col("_x0"), F.col("_x1")) & (F.col("x") <= max_x)).select(*keys, "i", "x")
+    axis = cells.select(*keys, "j", "y").distinct()
     parts = []
     for side, name in (("upper", "y_upper"), ("lower", "y_lower")):
-        walls = interpolate(columns, profile, "x", name, "wall_y").withColumn("side", F.lit(side))
-        found = wall_cells(walls, axis)
+        walls = interpolate(columns, profile, "x", name, "wall_y", shared).withColumn("side", F.lit(side))
+        found = wall_cells(walls, axis, keys)
         right = (F.col("y_fluid") >= F.col("wall_y")) if side == "upper" else (F.col("y_fluid") <= F.col("wall_y"))
-        parts.append(profile_normals(found.filter(right), profile, side))
+        parts.append(profile_normals(found.filter(right), profile, side, shared))
     both = parts[0].unionByName(parts[1])
-    idx = F.row_number().over(Window.partitionBy("side").orderBy("i")) - 1
-    return both.select("side", idx.alias("idx"), "i", F.col("j_fluid").alias("j"), "x", F.col("y_fluid").alias("y"), F.col("wall_y").alias("y_exact"), "nx", "ny", F.abs(F.col("y_fluid") - F.col("wall_y")).alias("dist_to_wall"))
+    idx = F.row_number().over(Window.partitionBy(*keys, "side").orderBy("i")) - 1
+    return both.select(*keys, "side", idx.alias("idx"), "i", F.col("j_fluid").alias("j"), "x", F.col("y_fluid").alias("y"), F.col("wall_y").alias("y_exact"), "nx", "ny", F.abs(F.col("y_fluid") - F.col("wall_y")).alias("dist_to_wall"))
 
 
 def tangential(u, v, nx, ny) -> Column:

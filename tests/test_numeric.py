@@ -69,6 +69,21 @@ def test_cubic_spline_is_exact_on_cubics_and_nan_outside():
     assert np.allclose(got[:2], px[:2] ** 3 + px[:2] * py[:2] ** 2 - py[:2] ** 3) and np.isnan(got[2])
 
 
+@pytest.mark.parametrize("n", [4, 5, 23])
+def test_spline_moments_solve_their_equations(n):
+    r = np.random.default_rng(n)
+    x, f = np.cumsum(r.uniform(0.1, 1.0, n)), r.standard_normal((3, n))
+    f[1, n // 2] = np.nan
+    m, h = interp.spline_moments(x, f), np.diff(x)
+    assert np.isnan(m[1]).all()
+    for k in (0, 2):
+        want = 6 * np.diff(np.diff(f[k]) / h)
+        assert np.allclose(h[:-1] * m[k, :-2] + 2 * (h[:-1] + h[1:]) * m[k, 1:-1] + h[1:] * m[k, 2:], want)
+        jump = np.diff(m[k]) / h  # third derivatives: equal over the first two and the last two pieces
+        assert jump[0] == pytest.approx(jump[1]) and jump[-1] == pytest.approx(jump[-2])
+    assert np.allclose(interp.spline_moments(x, f[0]), m[0])
+
+
 def test_layer_of_a_linear_profile():
     s = np.linspace(0, 2, 201)
     got = bl.layer_of(s, 100 * np.minimum(s, 1.0), bl.FreeStream(100.0, 1.0), False, False)

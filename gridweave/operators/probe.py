@@ -20,9 +20,9 @@ def _window(keys=SERIES):
 
 
 def derived(probe: DataFrame) -> DataFrame:
-    """Temperature, ratios of pressure and temperature, and non-dimensional time."""
+    """Temperature, ratios of pressure and temperature, and non-dimensional time; not named T, which would replace t."""
     t = temperature("p", "rho")
-    return probe.withColumns({"T": t, "p_ratio": F.col("p") / P_REF, "T_ratio": t / T_REF, "tau": F.col("t") / (LENGTH / SPEED)})
+    return probe.withColumns({"Temperature": t,"p_ratio": F.col("p") / P_REF, "T_ratio": t / T_REF, "tau": F.col("t") / (LENGTH / SPEED)})
 
 
 def head_fraction(probe: DataFrame, fraction: float, keys=SERIES) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import finite
+from .probe import LENGTH, SPEED
 from .stencil import linspace
 
 # Colour stops of the palettes, by name; the last of the plain ones is transparent white.
@@ -63,11 +65,36 @@ def group_view(table: DataFrame, values) -> DataFrame:
     return table.select("snapshot", "side", "s", pairs).select("snapshot", "side", "s", "q.*")
 
 
+def group_summary(table: DataFrame, values, keys=("case_id",)) -> DataFrame:
+    """keys, snapshot, side, quantity, low, high, mean, n: the finite values of property tables by snapshot and side."""
+    keys = [k for k in keys if k in table.columns]
+    pairs = F.explode(F.array(*(F.struct(F.lit(v).alias("quantity"), F.col(v).cast("double").alias("value")) for v in values))).alias("q")
+    long = table.select(*keys, "snapshot", "side", pairs).select(*keys, "snapshot", "side", "q.*").filter(finite("value"))
+    stats = (F.min("value").alias("low"), F.max("value").alias("high"), F.avg("value").alias("mean"), F.count("*").alias("n"))
+    return long.groupBy(*keys, "snapshot", "side", "quantity").agg(*stats)
+
+
 def theory_view(simulation: DataFrame, theory: DataFrame) -> DataFrame:
     """Simulated and theoretical coefficients at the same surface points."""
     return simulation.select("side", "idx", "x", "C_p", "C_f", "H").join(theory.drop("x"), ["side", "idx"])
 
 
+def probe_view(cases: list[tuple[str, DataFrame]], column: str = "p_ratio", second: list[tuple[str, DataFrame]] = (), curves: list[tuple[str, DataFrame]] = ()) -> DataFrame:
+    """label, kind, tau, ratio on one axis of non-dimensional time: probes with derived ratios, the second solver's
+    probes (t and the same column) and reference curves (tau, ratio)."""
+    tau = F.col("t") / (LENGTH / SPEED)
+    parts = [(n, "probe", p.select("tau", F.col(column).alias("ratio"))) for n, p in cases]
+    parts += [(n, "second solver", p.select(tau.alias("tau"), F.col(column).alias("ratio"))) for n, p in second]
+    parts += [(n, "reference", c.select("tau", "ratio")) for n, c in curves]
+    if not parts:
+        raise ValueError("at least one series")
+    out = None
+    for name, kind, df in parts:
+        own = df.select(F.lit(name).alias("label"), F.lit(kind).alias("kind"), "tau", "ratio")
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
 def thinned(df: DataFrame, every: int, order: str = "ord") -> DataFrame:
     return df.filter(F.col(order) % every == 0)
 

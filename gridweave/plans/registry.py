@@ -427,13 +427,18 @@ def bl_single_point(spark, d):
     return bl.surface_table(pts, cells, STREAM, mode="body", cubic=True, smooth=False, n=100).select("idx", q("C_f", 9), q("T_wall", 4), q("u_edge", 3), q("H", 4), "status")
 
 
-@query()
+@query(f"""WITH {b.STATIONS}, pr AS (SELECT x, max(y) AS yu, min(y) AS yl FROM stations GROUP BY x), pg AS (SELECT *, {_gradient_sql('yu', 'x', 'OVER (ORDER BY x)')} AS su, {_gradient_sql('yl', 'x', 'OVER (ORDER BY x)')} AS sl FROM pr),
+ax AS (SELECT DISTINCT j, y FROM grid), co AS (SELECT DISTINCT i, x FROM grid WHERE x <= 45),
+wl AS (SELECT 'upper' AS side, i, x, yu AS wall, su AS sl, CAST(1 AS DOUBLE) AS sg FROM co JOIN pg USING (x) UNION ALL SELECT 'lower', i, x, yl, sl, CAST(-1 AS DOUBLE) FROM co JOIN pg USING (x)),
+jf AS (SELECT *, CASE WHEN side = 'upper' THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y < wall), 0) END AS j FROM wl)
+SELECT side, row_number() OVER (PARTITION BY side ORDER BY i) - 1 AS idx, i, j, x, y, {s('y_exact', 9, 'wall')}, {s('nx', 9, '-sg * sl / sqrt(1 + sl * sl)')}, {s('ny', 9, 'sg / sqrt(1 + sl * sl)')}, {s('dist_to_wall', 9, 'abs(y - wall)')}
+FROM jf JOIN ax USING (j) WHERE CASE WHEN side = 'upper' THEN y >= wall ELSE y <= wall END""")
 def surface_profile(spark, d):
-    prof = b.stations(spark, d).groupBy("x").agg(F.max("y").alias("y_upper"), F.min("y").alias("y_lower"))
+    prof =b.stations(spark, d).groupBy("x").agg(F.max("y").alias("y_upper"), F.min("y").alias("y_lower"))
     w = Window.orderBy("x")
     prof = prof.withColumns({"dyu_dx": stencil.gradient("y_upper", "x", w), "dyl_dx": stencil.gradient("y_lower", "x", w)})
     out = surface.profile_surface(b.grid(spark, d), prof, max_x=45.0)
-    return out.select("side", "idx", "i", "j", "x", "y", q("y_exact", 9), q("nx", 9), q("ny", 9), q("dist_to_wall", 9))
+    return out.select("side", F.col("idx").cast("long").alias("idx"), "i", "j", "x", "y", q("y_exact", 9), q("nx", 9), q("ny", 9), q("dist_to_wall", 9))
 
 
 # --- gas dynamics and theory -----------------------------------------------------------------------
@@ -498,9 +503,14 @@ def cf_compressible(spark, d):
     return a.select("part_id", q("reference_temperature", 9, gas.compressible_cf(cf, "m", "t", t_inf)), q("laminar", 9, gas.compressible_cf(cf, "m", "t", t_inf, flow="laminar")), q("van_driest", 9, gas.compressible_cf(cf, "m", "t", t_inf, method="van-driest-II")))
 
 
-_MANGLER = f"""{b.STATIONS}, st AS (SELECT side, idx, pow(greatest(abs(y), 1e-10), 2) AS r2, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS ds FROM stations WINDOW w AS (PARTITION BY side ORDER BY idx)),
+def _mangler_sql(speed: int, scale: int = 1) -> str:
+    """CTE re: the stations with x over `scale`, re_s and the ratio of Mangler's transform."""
+    return f"""{b.STATIONS}, sc AS (SELECT * REPLACE (x / {scale} AS x) FROM stations), st AS (SELECT side, idx, x, pow(greatest(abs(y), 1e-10), 2) AS r2, coalesce(sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)), 0) AS ds FROM sc WINDOW w AS (PARTITION BY side ORDER BY idx)),
 ar AS (SELECT *, sum(ds) OVER w AS s, coalesce((lag(r2) OVER w + r2) / 2 * ds, 0) AS di FROM st WINDOW w AS (PARTITION BY side ORDER BY idx)),
-mg AS (SELECT *, sum(di) OVER w AS i2, row_number() OVER w AS rn FROM ar WINDOW w AS (PARTITION BY side ORDER BY idx)), re AS (SELECT *, CAST(0.0267 AS DOUBLE) * 1011 * s / CAST(8.6e-6 AS DOUBLE) AS re_s, r2 * greatest(s, 1e-15) / greatest(i2, 1e-30) AS ratio FROM mg)"""
+mg AS (SELECT *, sum(di) OVER w AS i2, row_number() OVER w AS rn FROM ar WINDOW w AS (PARTITION BY side ORDER BY idx)), re AS (SELECT *, CAST(0.0267 AS DOUBLE) * {speed} * s / CAST(8.6e-6 AS DOUBLE) AS re_s, r2 * greatest(s, 1e-15) / greatest(i2, 1e-30) AS ratio FROM mg)"""
+
+
+_MANGLER = _mangler_sql(1011)
 
 
 @query(f"WITH {_MANGLER} SELECT side, idx, {s('Re_s', 0, 're_s')}, {s('Cf_laminar', 9, '(CASE WHEN re_s > 0 THEN CAST(0.664 AS DOUBLE) / sqrt(greatest(re_s, 1)) ELSE 0 END) * CASE WHEN rn = 1 THEN pow(CAST(3 AS DOUBLE), 0.5) ELSE pow(ratio, 0.5) END')} FROM re")
@@ -520,7 +530,41 @@ def theory_comparison(spark, d):
     return out.select("side", "idx", "section_id", *(q(c, 7) for c in ("theta_local", "Cp_newton", "Cp_modified_newton", "Cp_tangent_cone", "Cf_laminar", "Cf_turbulent")))
 
 
-@query()
+_TINF = "(CAST(1726 AS DOUBLE) / CAST(7.7 AS DOUBLE) * (CAST(1726 AS DOUBLE) / CAST(7.7 AS DOUBLE)) / (CAST(1.4 AS DOUBLE) * CAST(287.05 AS DOUBLE)))"
+
+
+def _star_sql(recovery: str) -> str:
+    return f"(CAST(0.5 AS DOUBLE) * (1 + 300 / {_TINF}) + CAST(0.22 AS DOUBLE) * CAST({recovery} AS DOUBLE) * CAST(0.2 AS DOUBLE) * CAST(59.29 AS DOUBLE))"
+
+
+@query(f"""WITH {_mangler_sql(1726, 100)}, an AS (SELECT *, CASE WHEN x < 0.2019 THEN radians(7) WHEN x < 0.2119 THEN radians(7) * (1 - {_blend_sql('0.2069')}) WHEN x < 0.382 THEN 0 WHEN x < 0.392 THEN radians(10) * {_blend_sql('0.387')} ELSE radians(10) END AS theta,
+ CASE WHEN x < 0.2019 THEN 'cone' WHEN x < 0.2119 THEN 'cyl-junc' WHEN x < 0.382 THEN 'cylinder' WHEN x < 0.392 THEN 'flare-junc' ELSE 'flare' END AS section_id FROM re)
+SELECT side, idx, section_id, {s('theta_local', 7, 'theta')}, {s('Cp_newton', 7, f'CASE WHEN theta > 0 THEN 2 * sin(theta) * sin(theta) ELSE {_VAC} END')}, {s('Cp_modified_newton', 7, f'CASE WHEN theta > 0 THEN {_PITOT} * sin(theta) * sin(theta) ELSE {_VAC} END')},
+{s('Cf_laminar', 9, f"(CASE WHEN re_s > 0 THEN CAST(0.664 AS DOUBLE) / sqrt(greatest(re_s, 1)) ELSE 0 END) * (CASE WHEN rn = 1 THEN pow(CAST(3 AS DOUBLE), 0.5) ELSE pow(ratio, 0.5) END) * pow({_star_sql('0.72')}, -0.5)")},
+{s('Cf_turbulent', 9, f"(CASE WHEN re_s > 10 THEN CAST(0.37 AS DOUBLE) / pow(log10(greatest(re_s, 10)), 2.584) ELSE 0 END) * (CASE WHEN rn = 1 THEN pow(CAST(3 AS DOUBLE), 0.2) ELSE pow(ratio, 0.2) END) * pow({_star_sql('0.85')}, -0.4)")} FROM an""")
+def theory_coefficients(spark, d):
+    """The comparison without the cone table, which SQL can't state."""
+    pts = b.stations(spark, d).withColumn("x", F.col("x") / 100.0).withColumn("Temperature", F.lit(300.0))
+    out = theory.comparison(pts, ["side"], "idx", 7.7, 0.0267, 1726.0, 8.6e-6, cone=False)
+    return out.select("side", "idx", "section_id", *(q(c, 7) for c in ("theta_local", "Cp_newton", "Cp_modified_newton")), q("Cf_laminar", 9), q("Cf_turbulent", 9))
+
+
+def _deflection_sql(beta: str) -> str:
+    n2 = f"m * m * sin({beta}) * sin({beta})"
+    return f"atan2(2 * ({n2} - 1) / tan({beta}), m * m * (CAST(1.4 AS DOUBLE) + cos(2 * {beta})) + 2)"
+
+
+@query(f"""WITH RECURSIVE {b.ANGLES}, ca AS (SELECT DISTINCT m, theta FROM angles WHERE theta > 0 AND m > 1), ed AS (SELECT m, theta, asin(1 / m) + CAST(1e-8 AS DOUBLE) AS low, pi() / 2 - CAST(1e-8 AS DOUBLE) AS high FROM ca),
+sn AS (SELECT m, theta, low, low + CAST(k AS DOUBLE) / 199 * (high - low) AS beta FROM ed, range(200) t(k)), tu AS (SELECT *, {_deflection_sql('beta')} AS turn FROM sn),
+tp AS (SELECT m, theta, min(low) AS low, arg_max(beta, turn) AS top, max(turn) AS most FROM tu GROUP BY 1, 2),
+bi AS (SELECT m, theta, most, low AS a, top AS z, 0 AS step FROM tp UNION ALL
+ SELECT m, theta, most, CASE WHEN {_deflection_sql('c')} < theta THEN c ELSE a END, CASE WHEN {_deflection_sql('c')} < theta THEN z ELSE c END, step + 1 FROM (SELECT *, (a + z) / 2 AS c FROM bi WHERE step < 60)),
+be AS (SELECT m, theta, most, (a + z) / 2 AS beta, pow(m * sin((a + z) / 2), 2) AS n2 FROM bi WHERE step = 60),
+so AS (SELECT *, 1 + CAST(2.8 AS DOUBLE) / CAST(2.4 AS DOUBLE) * (n2 - 1) AS ratio, (1 + CAST(0.2 AS DOUBLE) * n2) / (CAST(1.4 AS DOUBLE) * n2 - CAST(0.2 AS DOUBLE)) AS after FROM be),
+gd AS (SELECT * FROM so WHERE theta <= CAST(0.98 AS DOUBLE) * most AND after >= 0),
+al AS (SELECT part_id, a.theta <= 0 OR a.m <= 1 AS still, a.m, a.theta, g.beta AS b, g.ratio, g.after FROM angles a LEFT JOIN gd g ON g.m = a.m AND g.theta = a.theta),
+fi AS (SELECT part_id, CASE WHEN still THEN 0 ELSE (ratio - 1) / (CAST(0.7 AS DOUBLE) * m * m) END AS cp, CASE WHEN NOT still THEN b END AS beta, CASE WHEN still THEN m ELSE sqrt(after) / sin(b - theta) END AS m2, CASE WHEN still THEN 1 ELSE ratio END AS p_ratio FROM al)
+SELECT part_id, {s('cp', 7)}, {s('beta', 7)}, {s('m2', 6)}, {s('p_ratio', 6)} FROM fi""")
 def oblique_shock(spark, d):
     return b.angles(spark, d).withColumn("s", numeric.oblique_shock_column("m", "theta")).select("part_id", q("cp", 7, F.col("s.cp")), q("beta", 7, F.col("s.beta")), q("m2", 6, F.col("s.m2")), q("p_ratio", 6, F.col("s.p_ratio")))
 
@@ -541,7 +585,7 @@ def tangent_cone(spark, d):
 
 @query(f"WITH {b.PROBE} SELECT probe_id, seq, {s('T', 6, 'p / (rho * CAST(287.05 AS DOUBLE))')}, {s('p_ratio', 9, 'p / 760')}, {s('tau', 3, 't / (CAST(0.1 AS DOUBLE) / 1726)')} FROM probe")
 def probe_derived(spark, d):
-    return probe.derived(b.probe(spark, d)).select("probe_id", "seq", q("T", 6), q("p_ratio", 9), q("tau", 3))
+    return probe.derived(b.probe(spark, d)).select("probe_id", "seq", q("T", 6, "Temperature"), q("p_ratio", 9), q("tau", 3))
 
 
 _RESTART = f"{b.PROBE}, rs AS (SELECT *, CASE WHEN seq > 20 THEN t - 500000 ELSE t END AS t2 FROM probe)"
@@ -588,16 +632,31 @@ def alt_profile_scale(spark, d):
     return src.scaled_profile(k, transform="boundary_layer_nondim", x=0.5, unit_reynolds=2.0, y_scale=2.0, value_scale=3.0).select(q("y", 9), q("value", 6))
 
 
-# --- smoothing and cubic interpolation: no SQL, held against NumPy in the tests ------------------------
+# --- smoothing and cubic interpolation: by orthogonal polynomials in SQL, and exact on cubics ------------
 
 
-@query()
+def _cubic_fit_sql(half: int, source: str, out: str) -> str:
+    """CTE `out` (i, j, v): source (i, j, r: place on its line from 0, n: length of the line, f) smoothed by the cubic of
+    least squares over the window about each place, the first and last window at the ends."""
+    begin = f"least(greatest(a.r - {half}, 0), a.n - {2 * half + 1})"
+    return f"""pk AS (SELECT CAST(k AS DOUBLE) AS k FROM range({-half}, {half + 1}) t(k)), mo AS (SELECT sum(k*k) / count(*) AS a, sum(k*k*k*k) / sum(k*k) AS c FROM pk),
+po AS (SELECT k, CAST(1 AS DOUBLE) AS p0, k AS p1, k*k - a AS p2, k*k*k - c*k AS p3 FROM pk, mo), nr AS (SELECT sum(p0*p0) AS n0, sum(p1*p1) AS n1, sum(p2*p2) AS n2, sum(p3*p3) AS n3 FROM po),
+cf AS (SELECT x.k AS at, y.k AS k, x.p0*y.p0/n0 + x.p1*y.p1/n1 + x.p2*y.p2/n2 + x.p3*y.p3/n3 AS w FROM po x, po y, nr),
+{out} AS (SELECT a.i, a.j, sum(w * b.f) AS v FROM {source} a JOIN {source} b ON b.j = a.j AND b.r BETWEEN {begin} AND {begin} + {2 * half} JOIN cf ON cf.at = a.r - {begin} - {half} AND cf.k = b.r - {begin} - {half} GROUP BY 1, 2)"""
+
+
+_ON_LINES = "row_number() OVER (PARTITION BY j ORDER BY i) - 1 AS r, count(*) OVER (PARTITION BY j) AS n FROM grid"
+
+
+@query(f"WITH {b.GRID}, li AS (SELECT i, j, p AS f, {_ON_LINES}), {_cubic_fit_sql(7, 'li', 'sm')} SELECT i, j, {s('p_smooth', 4, 'v')} FROM sm")
 def savgol(spark, d):
     out = numeric.smoothed(b.grid(spark, d).select("i", "j", "p"), ["p"], ["j"], "i", window=15)
     return out.select("i", "j", q("p_smooth", 4))
 
 
-@query()
+# 50 stations over 49 mm: a median of 5 and a cubic over 21.
+@query(f"""WITH {b.GRID}, li AS (SELECT i, j, u, {_ON_LINES}), md AS (SELECT a.i, a.j, a.r, a.n, median(b.u) AS f FROM li a CROSS JOIN range(-2, 3) t(k)
+ JOIN li b ON b.j = a.j AND b.r = CASE WHEN a.r + k < 0 THEN -1 - a.r - k WHEN a.r + k >= a.n THEN 2 * a.n - 1 - a.r - k ELSE a.r + k END GROUP BY ALL), {_cubic_fit_sql(10, 'md', 'sm')} SELECT i, j, {s('u_smooth', 5, 'v')} FROM sm""")
 def adaptive_smooth(spark, d):
     pts = stencil.with_arc_length(b.grid(spark, d).select("i", "j", "x", "y", "u"), "x", "y", ["j"], "i")
     return numeric.smoothed(pts.withColumn("s", F.col("s") / 1000.0), ["u"], ["j"], "i", length="s").select("i", "j", q("u_smooth", 5))
@@ -609,6 +668,16 @@ def cubic_grid(spark, d):
     return interp.cubic(pts, b.grid(spark, d), "p", "value").select("point_id", q("value", 4))
 
 
+@query(f"""WITH pt AS (SELECT s_suppkey AS point_id, CAST(1.3 AS DOUBLE) + (s_suppkey % 480) / CAST(10 AS DOUBLE) AS x, (s_suppkey % 97) / CAST(1000 AS DOUBLE) AS y FROM supplier)
+SELECT point_id, {s('value', 6, 'x*x*x / 1000 - 20 * x*x * y + 300 * x * y*y - 5000 * y*y*y + 2')} FROM pt""")
+def cubic_exact(spark, d):
+    """A field that is a cubic along both axes, which the splines give exactly."""
+    x, y = F.col("x"), F.col("y")
+    cells = b.grid(spark, d).withColumn("f", x * x * x / 1000.0 - 20.0 * x * x * y + 300.0 * x * y * y - 5000.0 * y * y * y + 2.0)
+    pts = b.table(spark, d, "supplier").select(F.lit("a").alias("case_id"), F.lit(0).cast("long").alias("snapshot"), F.col("s_suppkey").alias("point_id"), (1.3 + (F.col("s_suppkey") % 480) / F.lit(10.0)).alias("px"), ((F.col("s_suppkey") % 97) / F.lit(1000.0)).alias("py"))
+    return interp.cubic(pts, cells, "f", "value").select("point_id", q("value", 6))
+
+
 # --- views -----------------------------------------------------------------------------------------
 
 

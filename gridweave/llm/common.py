@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -63,6 +64,22 @@ def small(df: DataFrame, rows: int, extra: int = 0, limit: int | None = None) ->
     return F.broadcast(df) if rows * width + extra <= (BROADCAST_BYTES if limit is None else limit) else df
 
 
+def trim() -> None:
+    """Give what a Python worker has freed back to the system: workers outlive their tasks, and allocators keep it."""
+    pa.default_memory_pool().release_unused()
+    free = getattr(ctypes.CDLL(None), "malloc_trim", None)  # not in every C library
+    if free is not None:
+        free(0)
+
+
+def trimmed(fn: Callable[..., pa.Table], *tables: pa.Table) -> pa.Table:
+    """fn(*tables), after which what it freed goes back to the system."""
+    try:
+        return fn(*tables)
+    finally:
+        trim()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str, size: int = 4 << 20, rows: int = 2000
 ) -> DataFrame:
@@ -72,6 +89,7 @@ def map_batches(
         for batch in batches:
             for piece in sliced(batch, size, rows):
                 yield fn(piece)
+        trim()
 
     return df.mapInArrow(run, schema)
 

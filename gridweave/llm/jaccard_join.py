@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_view, drop_stored, map_batches, small, stored, texts_of
+from .common import doc_view, drop_stored, map_batches, small, stored, texts_of, trim, trimmed
 from .components import components, with_values
 from .shingles import finalised, set_key, shingle_sets
 
@@ -193,7 +193,7 @@ class Join:
             nodes, tokens, freq = nodes[keep], tokens[keep], freq[keep]
             return _rows(_COUNTED_SCHEMA, *_split((nodes % node_buckets).astype(np.int32), node_buckets, nodes, tokens, freq))
 
-        return packed.groupBy("bucket").applyInArrow(run, _COUNTED)
+        return packed.groupBy("bucket").applyInArrow(lambda table: trimmed(run, table), _COUNTED)
 
     def _by_node(self, counted: DataFrame, emit, schema: str) -> DataFrame:
         """emit(node, n, tokens, freq) over the classes that keep enough shared tokens to have a partner."""
@@ -211,7 +211,7 @@ class Join:
             return emit([(int(names[k]), int(size[k]), tokens[begin[k] : begin[k] + shared[k]], freq[begin[k] : begin[k] + shared[k]]) for k in np.flatnonzero(alive)])
 
         sizes = self.classes.select(F.pmod("node", F.lit(node_buckets)).cast("int").alias("bucket"), "node", "n")
-        return counted.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(run, schema)
+        return counted.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lambda left, right: trimmed(run, left, right), schema)
 
     def again(self, counted: DataFrame) -> DataFrame:
         """Shared tokens of the classes that may have a partner, packed by token."""
@@ -332,7 +332,7 @@ class Join:
                         out.append((int(nodes[k]), int(nodes[y])))
             return _rows(schema, [o[0] for o in out], [o[1] for o in out])
 
-        return dealt.groupBy("pack", "i", "j").applyInArrow(probe, "a long, b long")
+        return dealt.groupBy("pack", "i", "j").applyInArrow(lambda table: trimmed(probe, table), "a long, b long")
 
     def verified(self, pairs: DataFrame, alive: DataFrame) -> DataFrame:
         """The pairs that pass the second order's filter and then reach the similarity."""
@@ -351,6 +351,7 @@ class Join:
                         ok = 100 * common >= num * (na + nb - common)
                     good.append(ok)
                 yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            trim()
 
         return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "sa", "sb", "ta", "tb").mapInArrow(run, "a long, b long")
 

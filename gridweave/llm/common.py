@@ -35,14 +35,14 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/gridweave/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
+def stored(df: DataFrame, tag: str, codec: str = "none") -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive executors.
 
-    Not compressed: these are hashes and packed arrays, and codecs hold buffers outside the heap for each file.
+    Mostly not compressed: these are hashes and packed arrays, and codecs hold buffers outside the heap for each file.
     """
     spark = df.sparkSession
     path = table_path(spark, tag)
-    df.write.option("compression", "none").parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

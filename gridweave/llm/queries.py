@@ -17,6 +17,7 @@ from .bilstm_crf import KINDS
 from .pii import BASE, personal_data
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
+from .token_alignment import alignments
 from .token_output import read_tokens, write_tokens
 
 
@@ -100,7 +101,11 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output)}
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignments(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_sql(),

@@ -35,7 +35,7 @@ from .bpe import byte_alphabet
 from .common import BROADCAST_BYTES, doc_view, sliced, stored, trim
 
 #: Bytes of texts that a task tokenises together, and bytes that a tokenizer gets in one call.
-TOGETHER, CALL = 4 << 20, 1 << 14
+TOGETHER, CALL = 3 << 19, 1 << 14
 
 #: Entries of a worker's memory of units; it is emptied when full and changes no result.
 MEMORY = 250_000
@@ -209,10 +209,10 @@ def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFram
     return doc_view(docs, "doc_id", "text").mapInArrow(run, BATCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def _step(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with more columns that are reckoned once, however often and deep in functions later steps read them:
+def _step(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """Columns of rows and more that are reckoned once, however often and deep in functions later steps read them:
     the optimizer would put a mere projection's expressions into those functions."""
-    return rows.select(F.inline(F.array(F.struct("*", *(c.alias(n) for n, c in columns.items())))))
+    return rows.select(F.inline(F.array(F.struct(*keep, *(c.alias(n) for n, c in columns.items())))))
 
 
 def _first(last: str, k: Column) -> Column:
@@ -229,33 +229,22 @@ def _listed(ids: str, last: str, g: Column, i: Column) -> Column:
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """A row a batch. units: links (a, b of each place where both tokenizations end) and times of its distinct units; docs: doc_id, n_a, n_b,
     n_links, groups_sha256 and codes, the numbers of its units."""
-    at = _step(tokenised(docs, paths), cuts=F.array_intersect("a_ends", "b_ends"))
+    at = _step(tokenised(docs, paths), "a", "b", "a_of", "b_of", "u_ends", "times", "docs", cuts=F.array_intersect("a_ends", "b_ends"))
     # a unit's end is sorted in behind the cut there, so the k-th unit's end stands behind as many cuts as its place less k
     high, mark = F.lit(1 << 32), F.lit(1 << 31)
     ends = F.concat(F.transform("cuts", lambda e: e.cast("long") * high), F.transform("u_ends", lambda e: e.cast("long") * high + mark))
     token = lambda of: F.transform("cuts", lambda c: F.get(of, c - 1))
-    at = _step(at, a_at=token("a_of"), b_at=token("b_of"), merged=F.sort_array(ends), a_names=F.col("a").cast("array<string>"), b_names=F.col("b").cast("array<string>"))
+    size = lambda of: F.transform("u_ends", lambda e, k: F.get(of, e - 1) - F.when(k > 0, F.get(of, F.get("u_ends", k - 1) - 1)).otherwise(F.lit(-1)))
+    names = {f"{n}_names": F.col(n).cast("array<string>") for n in "ab"}
+    at = _step(at, "a", "b", "times", "docs", a_at=token("a_of"), b_at=token("b_of"), merged=F.sort_array(ends), u_a=size("a_of"), u_b=size("b_of"), **names)
     marked = F.filter(F.transform("merged", lambda x, k: F.when(x.bitwiseAND(mark) != 0, k)), lambda k: k.isNotNull())
-    at = _step(
-        at,
-        **{
-            "u_at": F.transform(marked, lambda k, u: k - u - 1),
-            "links": F.transform("a_at", lambda i, g: F.struct(F.get("a", i).alias("a"), F.get("b", F.get("b_at", g)).alias("b"))),
-            "texts": F.transform("a_at", lambda i, g: F.concat(_listed("a_names", "a_at", g, i), F.lit("|"), _listed("b_names", "b_at", g, F.get("b_at", g)))),
-        }
-    )
+    links = F.transform("a_at", lambda i, g: F.struct(F.get("a", i).alias("a"), F.get("b", F.get("b_at", g)).alias("b")))
+    texts = F.transform("a_at", lambda i, g: F.concat(_listed("a_names", "a_at", g, i), F.lit("|"), _listed("b_names", "b_at", g, F.get("b_at", g))))
+    at = _step(at, "times", "docs", "u_a", "u_b", u_at=F.transform(marked, lambda k, u: k - u - 1), links=links, texts=texts)
     part = lambda x, u, k: F.slice(x, _first("u_at", k) + 1, u - _first("u_at", k) + 1)
-    size = lambda of: F.transform("u_ends", lambda e, k: (F.get(of, e - 1) - F.when(k > 0, F.get(of, F.get("u_ends", k - 1) - 1)).otherwise(F.lit(-1))).cast("long"))
-    at = _step(
-        at,
-        **{
-            "units": F.transform("u_at", lambda u, k: F.struct(part("links", u, k).alias("links"), F.get("times", k).alias("times"))),
-            "u_text": F.transform("u_at", lambda u, k: F.when(u == _first("u_at", k), F.get("texts", u)).otherwise(F.array_join(part("texts", u, k), ";"))),
-            "u_links": F.transform("u_at", lambda u, k: (u - _first("u_at", k) + 1).cast("long")),
-            "u_a": size("a_of"),
-            "u_b": size("b_of"),
-        }
-    )
+    units = F.transform("u_at", lambda u, k: F.struct(part("links", u, k).alias("links"), F.get("times", k).alias("times")))
+    u_text = F.transform("u_at", lambda u, k: F.when(u == _first("u_at", k), F.get("texts", u)).otherwise(F.array_join(part("texts", u, k), ";")))
+    at = _step(at, "docs", "u_a", "u_b", units=units, u_text=u_text, u_links=F.transform("u_at", lambda u, k: u - _first("u_at", k) + 1))
 
     def doc(d: Column) -> Column:
         total = lambda of: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get(of, c))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import encode_decode
+from .centroid_clustering import clusters
+from .centroid_clustering import oracle_sql as clusters_sql
 from .jaccard_join import near_duplicates
 from .jaccard_join import oracle_sql as jaccard_sql
 from .license_scan import license_matches
@@ -17,6 +19,7 @@ from .bilstm_crf import KINDS
 from .pii import BASE, personal_data
 from .quality_gbt import quality_rules
 from .quality_qda import quality_scores
+from . import simhash_dedup
 from .token_alignment import alignments
 from .token_output import read_tokens, write_tokens
 
@@ -101,14 +104,23 @@ def op10_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op11_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(_table(spark, sf_dir, "embeddings"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignments(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output, op13_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_mixing, op6_personal_data, op7_jaccard_join, op8_nearest_neighbours, op9_bpe, op10_token_output, op11_simhash_dedup, op12_centroid_clustering, op13_token_alignment)}
 
 ORACLE_SQL: dict[str, str] = {
     "op1_license_scan": license_sql(),
     "op4_line_dedup": f"WITH {oracle_ctes()} SELECT doc_id, n_lines, n_removed, text FROM deduped",
     "op7_jaccard_join": jaccard_sql(),
+    "op12_centroid_clustering": clusters_sql(),
 }

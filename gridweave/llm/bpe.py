@@ -45,9 +45,46 @@ FLUSH = 2048
 #: Bytes of a text pushed at a time; characters that the pattern may look ahead; most characters of a pre-token held whole.
 PIECE, MARGIN, HELD = 1 << 16, 3, 256
 
-#: White space by Unicode's property, and the byte-level pre-tokenizer's pattern.
+#: White space by Unicode's property, and the byte-level pre-tokenizer's pattern over classes of letters and numbers.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+"
+PATTERN = "'s|'t|'re|'ve|'m|'ll|'d| ?[{letters}]+| ?[{numbers}]+| ?[^{space}{letters}{numbers}]+|[{space}]+(?![^{space}])|[{space}]+"
+
+#: Planes of Unicode that hold letters or numbers; the others are unassigned or private.
+PLANES = (0, 1, 2, 3, 14)
+
+#: The classes by the regex module's tables.
+USUAL = (r"\p{L}", r"\p{N}")
+
+_CLASSES: dict[str, tuple[str, str, str]] = {}
+
+
+def char_classes(source: bytes) -> tuple[str, str, str]:
+    """(letters, numbers) as ranges of a regular expression's class, as the library itself cuts texts, and the
+    characters that USUAL takes otherwise: the two modules' Unicode tables are of different ages. About two seconds for a file, once a process."""
+    key = hashlib.sha256(source).hexdigest()
+    if key not in _CLASSES:
+        from tokenizers import Tokenizer
+
+        cut = Tokenizer.from_str(source.decode()).pre_tokenizer.pre_tokenize_str
+        points = [c for plane in PLANES for c in range(plane << 16, (plane + 1) << 16) if not 0xD800 <= c < 0xE000]
+        out, odd = [], set()
+        for near, usual in zip("a1", USUAL, strict=True):  # a letter between letters, and a number between numbers, is one pre-token with them
+            ranges: list[list[int]] = []
+            mine = regex.compile(usual)
+            for at in range(0, len(points), 1 << 14):
+                some = points[at : at + (1 << 14)]
+                whole = {b for _, (b, e) in cut("".join(f"{near}{chr(c)}{near}\n" for c in some)) if e - b == 3}
+                for k, c in enumerate(some):
+                    if (4 * k in whole) != (mine.match(chr(c)) is not None):
+                        odd.add(chr(c))
+                    if 4 * k in whole:
+                        if ranges and ranges[-1][1] == c - 1:
+                            ranges[-1][1] = c
+                        else:
+                            ranges.append([c, c])
+            out.append("".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges))
+        _CLASSES[key] = (out[0], out[1], "".join(sorted(odd)))
+    return _CLASSES[key]
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -61,7 +98,8 @@ def byte_alphabet() -> dict[str, int]:
 class MergeList:
     """A vocabulary with ranked merges, and the compatibility of neighbouring tokens."""
 
-    def __init__(self, source: bytes):
+    def __init__(self, source: bytes, classes: tuple[str, str, str] | None = None):
+        self.classes = classes or char_classes(source)
         spec = json.loads(source)
         alphabet = byte_alphabet()
         model = spec["model"]
@@ -208,6 +246,12 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _patterns(letters: str, numbers: str) -> tuple[regex.Pattern, list[regex.Pattern]]:
+    """The pre-tokens' pattern and those of their runs, over classes of letters and numbers."""
+    runs = (f"[{letters}]*", f"[{numbers}]*", f"[{SPACE}]*", f"[^{SPACE}{letters}{numbers}]*")
+    return regex.compile(PATTERN.format(letters=letters, numbers=numbers, space=SPACE)), [regex.compile(x) for x in runs]
+
+
 class Stream:
     """A text pushed in pieces to ids: finds pre-tokens and sends each through the transducer.
 
@@ -220,8 +264,9 @@ class Stream:
     def __init__(self, merges: MergeList):
         self.m = merges
         self.transducer = Transducer(merges)
-        self.pattern = regex.compile(PATTERN)
-        self.runs = [regex.compile(x) for x in (r"\p{L}*", r"\p{N}*", rf"[{SPACE}]*", rf"[^{SPACE}\p{{L}}\p{{N}}]*")]
+        *exact, odd = merges.classes
+        self.odd = frozenset(odd)
+        self.patterns = [_patterns(*USUAL), _patterns(*exact)]
         self.special = regex.compile("|".join(map(regex.escape, sorted(merges.specials, key=len, reverse=True)))) if merges.specials else None
         self.arcs: dict[str, bytes] = _Arcs(self.transducer)
         self.start()
@@ -253,8 +298,10 @@ class Stream:
     def _plain(self, text: str, final: bool) -> bytes:
         out = []
         text, self.held = self.held + text, ""
+        # the exact classes have hundreds of ranges and are slow: they are used where a character asks for them
+        pattern, runs = self.patterns[not text.isascii() and not self.odd.isdisjoint(text)]
         if self.run >= 0:
-            end = self.runs[self.run].match(text).end()
+            end = runs[self.run].match(text).end()
             if end == len(text) and not final:
                 self.held = text[-1:]  # the last of white space may belong to what follows
                 return self._into(text[:-1])
@@ -262,7 +309,7 @@ class Stream:
                 end -= 1
             out.append(self._into(text[:end]) + packed(self.transducer.finish()))
             text, self.run = text[end:], -1
-        found = self.pattern.findall(text)
+        found = pattern.findall(text)
         if not final:
             cut = n = len(text)
             while found and cut > n - MARGIN:
@@ -270,7 +317,7 @@ class Stream:
             self.held = text[cut:]
         out += map(self.arcs.__getitem__, found)
         if len(self.held) > HELD:
-            self.run = next(k for k, x in enumerate(self.runs) if x.match(self.held, 1).end() > 1)
+            self.run = next(k for k, x in enumerate(runs) if x.match(self.held, 1).end() > 1)
             text, self.held = self.held[:-MARGIN], self.held[-MARGIN:]
             out.append(self._into(text))
         return b"".join(out)
@@ -343,11 +390,11 @@ class Decoder:
 _LOADED: dict[str, tuple[Encoder, Decoder]] = {}
 
 
-def coders(source: bytes) -> tuple[Encoder, Decoder]:
+def coders(source: bytes, classes: tuple[str, str, str] | None = None) -> tuple[Encoder, Decoder]:
     """The coders of a worker process for a tokenizer file's content."""
     key = hashlib.sha256(source).hexdigest()
     if key not in _LOADED:
-        merges = MergeList(source)
+        merges = MergeList(source, classes)
         _LOADED[key] = (Encoder(merges), Decoder(merges))
     return _LOADED[key]
 
@@ -364,10 +411,11 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
     path: a byte-level BPE file of the tokenizers library, read once on the driver.
     """
     with open(path or default_path(), "rb") as f:
-        shared = docs.sparkSession.sparkContext.broadcast(f.read())
+        source = f.read()
+    shared = docs.sparkSession.sparkContext.broadcast((source, char_classes(source)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        encoder, decoder = coders(shared.value)
+        encoder, decoder = coders(*shared.value)
         ids = [encoder.encode(t) for t in texts_of(batch["text"])]
         decoded = [decoder.text(np.frombuffer(x, "<u4")) for x in ids]
         return pa.record_batch(
@@ -383,7 +431,7 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for piece in sliced(batch):
                 yield run(piece)
-        coders(shared.value)[0].stream.arcs.clear()  # the worker goes on to other stages
+        coders(*shared.value)[0].stream.arcs.clear()  # the worker goes on to other stages
         pa.default_memory_pool().release_unused()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -317,14 +317,33 @@ def decoded_spans(texts: list[str], model: Tagger) -> list[list[tuple[int, int,
 def tagged_spans(texts: list[str], model: Tagger) -> list[list[tuple[str, int, int]]]:
     """Spans of each text that reach their kind's threshold and what a span must have."""
     least = model.p["least"]
-    return [
-        [(KINDS[k], a, b) for k, a, b, sure in spans if sure >= least[k] and _has_least(KINDS[k], text[a:b])]
-        for text, spans in zip(texts, decoded_spans(texts, model), strict=True)
-    ]
+    out: list[list[tuple[str, int, int]]] = []
+    for text, spans in zip(texts, decoded_spans(texts, model), strict=True):
+        sure = [(KINDS[k], a, b) for k, a, b, p in spans if p >= least[k]]
+        each = [(kind, x, y) for kind, a, b in sure for x, y in (_cards(text, a, b) if kind == "card" else [(a, b)])]
+        out.append([(kind, a, b) for kind, a, b in each if _has_least(text[a:b])])
+    return out
 
 
-def _has_least(kind: str, piece: str) -> bool:
-    return len(piece) >= LEAST_CHARS and _HELD.search(piece) is not None and (kind != "card" or luhn("".join(c for c in piece if "0" <= c <= "9")))
+def _has_least(piece: str) -> bool:
+    return len(piece) >= LEAST_CHARS and _HELD.search(piece) is not None
+
+
+def _cards(text: str, start: int, end: int) -> list[tuple[int, int]]:
+    """The cards of a decoded stretch: all of it if its 13 to 19 digits pass Luhn's check; of more digits, from each
+    run of digits on the fewest runs that do, so that cards written one after the other stay several."""
+    runs = [(start + m.start(), start + m.end()) for m in re.finditer("[0-9]+", text[start:end])]
+    digits = lambda some: "".join(text[a:b] for a, b in some)
+    good = lambda d: 13 <= len(d) <= 19 and luhn(d)
+    if sum(b - a for a, b in runs) <= 19:
+        return [(start, end)] if good(digits(runs)) else []
+    out, k = [], 0
+    while k < len(runs):
+        stop = next((j for j in range(k + 1, min(k + 19, len(runs)) + 1) if good(digits(runs[k:j]))), None)
+        if stop:
+            out.append((runs[k][0], runs[stop - 1][1]))
+        k = stop or k + 1
+    return out
 
 
 def personal_data(docs: DataFrame, model: Tagger | None = None) -> DataFrame:

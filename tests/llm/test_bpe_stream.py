@@ -84,3 +84,16 @@ def test_edges(spark):
     got = sorted(((d["doc_id"] or 0, d["n_tokens"], len(d["decoded"])) for d in bpe.encode_decode(docs).collect()))
     assert got == [(0, 2, 3), (0, 2, 3), (3, 0, 0), (4, 0, 0), (5, 50_001, 250_000)]
     assert bpe.encode_decode(docs.limit(0)).count() == 0
+
+
+def test_classes_are_the_librarys_at_every_code_point(library, merges):
+    cut = library.pre_tokenizer.pre_tokenize_str
+    stream = bpe.Stream(merges)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(points), 8192):
+        some = points[k : k + 8192]
+        for exact, own in enumerate((set(some) - stream.odd, set(some) & stream.odd)):
+            text = "".join(f"a{c}a1{c}1!{c}! {c} {c}a\n" for c in sorted(own))
+            assert [e for _, (_, e) in cut(text)] == [m.end() for m in stream.patterns[exact][0].finditer(text)]
+    for text in ("\U0001df48蜛", "\U00018e08葢"):
+        assert np.frombuffer(bpe.Encoder(merges).encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids

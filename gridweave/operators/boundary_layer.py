@@ -14,7 +14,9 @@ from ..functions.gas import MU_REF, R_AIR, S_AIR, T_REF, viscosity
 from ..functions.numeric import NAN, first_where
 from .interp import cubic_grid_at
 from .numeric import adaptive_smooth, savgol, surface_normals
+from .spline import moments
 from .stencil import gradient, head_slope, trapezoid_steps
+from .tiles import TILE, by_tile, routed, sampled
 
 
 @dataclass(frozen=True)
@@ -145,74 +147,164 @@ def layer_of(s: np.ndarray, u: np.ndarray, stream: FreeStream, second: bool, gua
     return {"u_edge": edge, "delta_99": float(d99), "delta_star": float(star), "theta": float(theta), "H": float(star / theta) if theta > 1e-12 else NAN}
 
 
-def single_point(grid: Grid, i: int, nx: float, ny: float, wall: float, stream: FreeStream, height: float = 0.015, n: int = 500, fit_cells: int = 6) -> dict[str, float]:
-    """The layer at a wall point of column i: the wall slope by u = a s + b s**2 over fluid cell centres, the
-    wall temperature by distance between fluid and ghost cell, and the profile from the first fluid cell outward
-    with the wall (u = 0) before it. ValueError where there is too little to go by."""
-    x, y = grid.x, grid.y
+def single_plan(x: np.ndarray, y: np.ndarray, i: int, nx: float, ny: float, wall: float, height: float = 0.015, n: int = 500, fit_cells: int = 6) -> tuple[dict, np.ndarray, np.ndarray]:
+    """What a wall point of column i asks of the grid: (facts, px, py). The first two places are the ghost and the fluid cell, then the
+    fit's cell centres, then the profile from the first fluid cell outward as far as it stays in the grid. ValueError where less than ten are left."""
     above = int(np.searchsorted(y, wall))
     fluid = min(above, len(y) - 1) if ny >= 0 else max(above - 1, 0)
     ghost = max(fluid - 1, 0) if ny >= 0 else min(fluid + 1, len(y) - 1)
     df, dg = abs(y[fluid] - wall), abs(y[ghost] - wall)
     tx, ty = (ny, -nx) if ny >= 0 else (-ny, nx)
-    x0 = np.array([x[i]])
-    tg, tf = grid.at("T", x0, y[[ghost]])[0], grid.at("T", x0, y[[fluid]])[0]
+    js = np.arange(fluid, min(fluid + fit_cells, len(y))) if ny >= 0 else np.arange(fluid, max(fluid - fit_cells, -1), -1)
+    out_s = df + np.tanh(1.5 * np.linspace(0, 1, n)) / np.tanh(1.5) * height
+    px, py = x[i] + out_s * nx, wall + out_s * ny
+    outside = np.flatnonzero((px < x[0]) | (px > x[-1]) | (py < y[0]) | (py > y[-1]))
+    keep = outside[0] if len(outside) and outside[0] > 0 else n
+    if keep < 10:
+        raise ValueError("the profile leaves the grid")
+    facts = {"x": float(x[i]), "df": float(df), "dg": float(dg), "tx": float(tx), "ty": float(ty), "fit": np.abs(y[js] - wall), "s": out_s[:keep]}
+    place = np.concatenate([[y[ghost], y[fluid]], y[js]])
+    return facts, np.concatenate([np.full(len(place), x[i]), px[:keep]]), np.concatenate([place, py[:keep]])
+
+
+def single_layer(facts: dict, u: np.ndarray, v: np.ndarray, t: np.ndarray, stream: FreeStream) -> dict[str, float]:
+    """The layer at a wall point from the values at its plan's places: the wall slope by u = a s + b s**2 over fluid cell centres, the
+    wall temperature by distance between fluid and ghost cell, and the profile with the wall (u = 0) before
+    it. ValueError where there is too little to go by."""
+    fit, out_s, tx, ty, df, dg = (facts[k] for k in ("fit", "s", "tx", "ty", "df", "dg"))
+    tg, tf = t[:2]
     if np.isfinite(tg) and np.isfinite(tf) and df + dg > 1e-15:
         t_wall = (dg * tf + df * tg) / (df + dg)
     else:
         t_wall = tf if np.isfinite(tf) else 300.0
-    js = np.arange(fluid, min(fluid + fit_cells, len(y))) if ny >= 0 else np.arange(fluid, max(fluid - fit_cells, -1), -1)
-    at = np.full(len(js), x[i])
-    ut = grid.at("u", at, y[js]) * tx + grid.at("v", at, y[js]) * ty
-    s = np.abs(y[js] - wall)
+    cells = slice(2, 2 + len(fit))
+    ut = u[cells] * tx + v[cells] * ty
     ok = np.isfinite(ut)
     if ok.sum() < 2:
         raise ValueError("fewer than two fluid cells to fit")
-    slope = np.linalg.lstsq(np.stack([s[ok], s[ok] ** 2], 1), ut[ok], rcond=None)[0][0]
+    slope = np.linalg.lstsq(np.stack([fit[ok], fit[ok] ** 2], 1), ut[ok], rcond=None)[0][0]
     tau = mu(t_wall) * slope
-    out_s = df + np.tanh(1.5 * np.linspace(0, 1, n)) / np.tanh(1.5) * height
-    px, py = x[i] + out_s * nx, wall + out_s * ny
-    outside = np.flatnonzero((px < x[0]) | (px > x[-1]) | (py < y[0]) | (py > y[-1]))
-    keep = outside[0] if len(outside) and outside[0] > 0 else n
-    if keep < 10:
-        raise ValueError("the profile leaves the grid")
-    px, py, out_s = px[:keep], py[:keep], out_s[:keep]
-    u, v, t = (grid.at(k, px, py) for k in ("u", "v", "T"))
+    u, v, t = (k[2 + len(fit) :] for k in (u, v, t))
     ok = np.isfinite(u) & np.isfinite(v) & np.isfinite(t)
     if ok.sum() < 10:
         raise ValueError("fewer than ten samples in the field")
     if not ok.all():
-        every, good = np.arange(keep), np.flatnonzero(ok)
+        every, good = np.arange(len(u)), np.flatnonzero(ok)
         u, v, t = (np.interp(every, good, k[ok]) for k in (u, v, t))
     layer = layer_of(np.append(0.0, out_s), np.append(0.0, u * tx + v * ty), stream, second=False, guard=False)
-    far = mu(t[-1])
-    return layer | {"T_wall": float(t_wall), "tau_w": float(tau), "C_f": float(tau / stream.q), "Re_x": float(stream.rho * stream.u * x[i] / far), "Re_theta": float(stream.rho * stream.u * layer["theta"] / far)}
+    return layer | _wall(t_wall, tau, t[-1], layer["theta"], facts["x"], stream)
 
 
-def marker_point(grid: Grid, i: int, j: int, nx: float, ny: float, stream: FreeStream, height: float = 0.010, n: int = 200) -> dict[str, float]:
-    """The layer from a fluid cell centre along its normal, by linear samples that extrapolate off the grid;
-    the wall slope is a line through six samples."""
+def _wall(t_wall, tau, far, theta, x, stream: FreeStream) -> dict[str, float]:
+    far = mu(far)
+    return {"T_wall": float(t_wall), "tau_w": float(tau), "C_f": float(tau / stream.q), "Re_x": float(stream.rho * stream.u * x / far), "Re_theta": float(stream.rho * stream.u * theta / far)}
+
+
+def single_point(grid: Grid, i: int, nx: float, ny: float, wall: float, stream: FreeStream, **options) -> dict[str, float]:
+    """The layer at a wall point of a grid at hand."""
+    facts, px, py = single_plan(grid.x, grid.y, i, nx, ny, wall, **options)
+    return single_layer(facts, *(grid.at(k, px, py) for k in ("u", "v", "T")), stream)
+
+
+def marker_plan(x: np.ndarray, y: np.ndarray, i: int, j: int, nx: float, ny: float, height: float = 0.010, n: int = 200) -> tuple[dict, np.ndarray, np.ndarray]:
+    """What a fluid cell next to the wall asks of the grid: (facts, px, py) from its centre along its normal."""
     s = np.tanh(1.5 * np.linspace(0, 1, n)) / np.tanh(1.5) * height
-    px, py = grid.x[i] + s * nx, grid.y[j] + s * ny
     tx, ty = (ny, -nx) if ny >= 0 else (-ny, nx)
-    u = grid.at("u", px, py) * tx + grid.at("v", px, py) * ty
-    t = grid.at("T", px, py)
+    return {"x": float(x[i]), "df": 0.0, "dg": 0.0, "tx": float(tx), "ty": float(ty), "fit": np.empty(0), "s": s}, x[i] + s * nx, y[j] + s * ny
+
+
+def marker_layer(facts: dict, u: np.ndarray, v: np.ndarray, t: np.ndarray, stream: FreeStream) -> dict[str, float]:
+    """The layer from a fluid cell centre along its normal, by linear samples that extrapolate off the grid;
+    the wall slope is a line through six samples."""
+    s, u = facts["s"], u * facts["tx"] + v * facts["ty"]
     layer = layer_of(s, u, stream, second=True, guard=True)
     tau = mu(t[0]) * np.polyfit(s[:6], u[:6], 1)[0]
-    far = mu(t[-1])
-    return layer | {"T_wall": float(t[0]), "tau_w": float(tau), "C_f": float(tau / stream.q), "Re_x": float(stream.rho * stream.u * grid.x[i] / far), "Re_theta": float(stream.rho * stream.u * layer["theta"] / far)}
+    return layer | _wall(t[0], tau, t[-1], layer["theta"], facts["x"], stream)
+
+
+def marker_point(grid: Grid, i: int, j: int, nx: float, ny: float, stream: FreeStream, **options) -> dict[str, float]:
+    """The layer from a fluid cell of a grid at hand."""
+    facts, px, py = marker_plan(grid.x, grid.y, i, j, nx, ny, **options)
+    return marker_layer(facts, *(grid.at(k, px, py) for k in ("u", "v", "T")), stream)
 
 
 POINT = ("u_edge", "delta_99", "delta_star", "theta", "H", "T_wall", "tau_w", "C_f", "Re_x", "Re_theta")
 
 
-def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode: str = "marker", cubic: bool = False, smooth: bool = True, keys=("case_id", "snapshot"), height: float | None = None, n: int | None = None) -> DataFrame:
+def _point_number(surface: DataFrame) -> DataFrame:
+    """surface with `point`: idx and side in one number, unique in a case."""
+    return surface.withColumn("point", F.col("idx").cast("long") * 2 + (F.col("side") == "lower").cast("long"))
+
+
+def layers(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode: str = "marker", cubic: bool = False, keys=("case_id", "snapshot"), height: float | None = None, n: int | None = None, size: int = TILE) -> DataFrame:
+    """keys, point, and the layer of each point (POINT) whose profile says enough; others have no row.
+
+    surface: keys, point, i, j, nx, ny [, y_exact]. Profiles are cut at tile borders, each part is sampled in its tile, and a
+    profile's parts meet by its point: no task has more cells than a tile or, for cubic samples, a line.
+    """
+    marker = mode == "marker"
+    options = {k: v for k, v in (("height", height), ("n", n)) if v is not None}
+    types = {f.name: f.dataType.simpleString() for f in surface.schema}
+    need = ["i", "j", "nx", "ny", *([] if marker else ["y_exact"])]
+    points = surface.select(*keys, "point", *need)
+
+    def planned(row: dict, x: np.ndarray, y: np.ndarray):
+        if marker:
+            return marker_plan(x, y, row["i"], row["j"], row["nx"], row["ny"], **options)
+        return single_plan(x, y, row["i"], row["nx"], row["ny"], row["y_exact"], **options)
+
+    def plan(case: dict, table: pa.Table, x: np.ndarray, y: np.ndarray, size: int) -> list[dict]:
+        rows = []
+        for row in table.to_pylist():
+            try:
+                facts, px, py = planned(row, x, y)
+            except (ValueError, TypeError):  # a profile that leaves the grid, or a point without a normal or a wall
+                continue
+            if not marker:  # off the grid there is no value; next to a marked cell there is an extrapolated one
+                px = np.where((px >= x[0]) & (px <= x[-1]) & (py >= y[0]) & (py <= y[-1]), px, np.nan)
+            told = np.concatenate([[facts[k] for k in ("x", "df", "dg", "tx", "ty")], [len(facts["fit"])], facts["fit"], facts["s"]])
+            parts = by_tile(case, np.full(len(px), row["point"]), np.arange(len(px), dtype=np.int32), px, py, x, y, size)
+            rows += [p | {"facts": told if k == 0 else None} for k, p in enumerate(parts)]
+        return rows
+
+    own = cells.select(*keys, "i", "j", "x", "y", "u", "v", F.col("Temperature").alias("T"))
+    fields = {k: k for k in ("u", "v", "T")}
+    smooth = cubic and not marker
+    source = moments(own, list(fields), keys) if smooth else own
+    if smooth:
+        fields = {f"{k}{m}": f"{k}{m}" for k in fields for m in ("", "_x", "_y", "_xy")}
+    route = routed(points, own, plan, keys, size, facts=True)
+    parts = sampled(route, source, fields, dict.fromkeys(("u", "v", "T"), "cubic" if smooth else "linear"), keys, size, carry=("facts",))
+    whole = parts.groupBy(*keys, "point").agg(F.max("facts").alias("facts"), F.flatten(F.collect_list(F.arrays_zip("codes", "u", "v", "T"))).alias("samples"))
+    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "point long", *(f"{c} double" for c in POINT)])
+
+    def finish(batches):
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                told = np.array(row["facts"])
+                k = int(told[5])
+                facts = dict(zip(("x", "df", "dg", "tx", "ty"), told[:5].tolist(), strict=True)) | {"fit": told[6 : 6 + k], "s": told[6 + k :]}
+                got = sorted(row["samples"], key=lambda q: q["codes"])
+                values = (np.array([q[c] for q in got], np.float64) for c in ("u", "v", "T"))
+                try:
+                    layer = marker_layer(facts, *values, stream) if marker else single_layer(facts, *values, stream)
+                except (ValueError, np.linalg.LinAlgError):
+                    continue
+                rows.append({**{q: row[q] for q in keys}, "point": row["point"], **layer})
+            kinds = [*(batch.schema.field(q).type for q in keys), pa.int64(), *[pa.float64()] * len(POINT)]
+            yield pa.record_batch([pa.array([r[c] for r in rows], t) for c, t in zip([*keys, "point", *POINT], kinds, strict=True)], [*keys, "point", *POINT])
+
+    return whole.mapInArrow(finish, schema)
+
+
+def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode: str = "marker", cubic: bool = False, smooth: bool = True, keys=("case_id", "snapshot"), height: float | None = None, n: int | None = None, size: int = TILE) -> DataFrame:
     """keys, side, idx, x, y, s, p, Temperature, rho, the layer of each point, C_p, q_w and status.
 
     surface: keys, side, idx, i, j, x, y, nx, ny [, y_exact]; marker mode takes the smoothed normals of a surface
     with y_interp that brings none (numeric.surface_normals). A point that fails has status "failed" and NaNs.
     C_f, tau_w and the thicknesses are smoothed along each side. q_w is 0: heat flux isn't computed.
-    A case's grid goes to one task, as profiles cross its lines; cases and snapshots run in parallel.
+    Profiles are sampled through tiles of size x size cells (layers); only a side's points, a row each, meet in one task to be smoothed.
     """
     keys = [k for k in keys if k in cells.columns and k in surface.columns]
     if mode == "marker" and not {"nx", "ny"} <= set(surface.columns):
@@ -220,47 +312,29 @@ def surface_table(surface: DataFrame, cells: DataFrame, stream: FreeStream, mode
     types = {f.name: f.dataType.simpleString() for f in surface.schema}
     base = ("x", "y", "s", "p", "Temperature", "rho")
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "side string", "idx int", *(f"{c} double" for c in (*base, *POINT, "C_p", "q_w")), "status string"])
-    options = {k: v for k, v in (("height", height), ("n", n)) if v is not None}
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        pts, c = left.to_pandas().sort_values(["side", "idx"]), right.to_pandas()
-        ni, nj = int(c.i.max()) + 1, int(c.j.max()) + 1
-        x, y = np.zeros(ni), np.zeros(nj)
-        x[c.i], y[c.j] = c.x, c.y
-        fields = {}
-        for name in ("u", "v", "T", "p", "rho"):
-            fields[name] = np.full((ni, nj), np.nan)
-            fields[name][c.i, c.j] = c[name]
-        grid = Grid(x, y, fields, cubic and mode != "marker", mode == "marker")
-        out = []
-        for side, own in pts.groupby("side"):
-            rows = []
-            wall = own.y_exact if mode != "marker" else own.y
-            step = np.hypot(np.diff(own.x), np.diff(wall))
-            length = np.append(0.0, np.cumsum(step))
-            for k, r in enumerate(own.itertuples()):
-                row = {**{q: getattr(r, q) for q in keys}, "side": side, "idx": r.idx, "x": r.x, "y": r.y, "s": length[k],
-                       "p": fields["p"][r.i, r.j], "Temperature": fields["T"][r.i, r.j], "rho": fields["rho"][r.i, r.j], "q_w": 0.0}
-                try:
-                    row |= marker_point(grid, r.i, r.j, r.nx, r.ny, stream, **options) if mode == "marker" else single_point(grid, r.i, r.nx, r.ny, r.y_exact, stream, **options)
-                    row["status"] = "ok"
-                except (ValueError, np.linalg.LinAlgError):
-                    row |= dict.fromkeys(POINT, NAN) | {"status": "failed"}
-                rows.append(row)
-            t = pd.DataFrame(rows)
-            if smooth:
-                for name in ("C_f", "tau_w", "delta_99", "delta_star", "theta", "H"):
-                    t[name] = adaptive_smooth(t[name].to_numpy(), float(length[-1]))
-            t["C_p"] = (t.p - stream.rho * R_AIR * (stream.T or t.Temperature.mean())) / stream.q
-            out.append(t)
+    need = [*keys, "side", "idx", "i", "j", "x", "y", "nx", "ny", *(["y_exact"] if mode != "marker" else [])]
+    points = _point_number(surface.select(*need))
+    found = layers(points, cells, stream, mode, cubic, keys, height, n, size)
+    at = cells.select(*(F.col(k).alias(k) for k in (*keys, "i", "j", "p", "Temperature", "rho")))
+    joined = points.join(at, [*keys, "i", "j"], "left").join(found, [*keys, "point"], "left")
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.to_pandas().sort_values("idx")
+        wall = t.y_exact if mode != "marker" else t.y
+        t["s"] = np.append(0.0, np.cumsum(np.hypot(np.diff(t.x), np.diff(wall))))
+        t["status"], t["q_w"] = np.where(t.u_edge.isna(), "failed", "ok"), 0.0
+        if smooth:
+            for name in ("C_f", "tau_w", "delta_99", "delta_star", "theta", "H"):
+                t[name] = adaptive_smooth(t[name].to_numpy(float), float(t.s.iloc[-1]))
+        t["C_p"] = (t.p - stream.rho * R_AIR * (stream.T or t.Temperature.mean())) / stream.q
         names = [*keys, "side", "idx", *base, *POINT, "C_p", "q_w", "status"]
-        got = pd.concat(out) if out else pd.DataFrame(columns=names)
-        return pa.Table.from_pandas(got[names].astype({"idx": "int32"}), preserve_index=False)
+        done = pa.Table.from_pandas(t[names].astype({"idx": "int32"}), preserve_index=False)
+        for k, c in enumerate(done.column_names):  # pandas' NaN is a value here
+            if pa.types.is_floating(done.schema.field(c).type):
+                done = done.set_column(k, c, done[c].fill_null(NAN))
+        return done
 
-    need = [*keys, "side", "idx", "i", "j", "x", "y", "nx", "ny", *(["y_exact"] if mode != "marker" else [])]
-    # new names' worth of columns: the points may come from the same cells
-    fields = cells.select(*(F.col(k).alias(k) for k in (*keys, "i", "j", "x", "y", "u", "v", "p", "rho")), F.col("Temperature").alias("T"))
-    return surface.select(*need).groupBy(*keys).cogroup(fields.groupBy(*keys)).applyInArrow(run, schema)
+    return joined.groupBy(*keys, "side").applyInArrow(run, schema)
 
 
 def edge_place(predicate: Column, order: str = "ord") -> Column:

@@ -1,9 +1,8 @@
-"""Interpolation and location on axes: piecewise-linear, bilinear, cubic, and cells next to a wall."""
+"""Interpolation and location on axes: piecewise-linear, bilinear, splines of arrays, and cells next to a wall."""
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,9 +49,9 @@ def bilinear(points: DataFrame, cells: DataFrame, field: str, out: str, x0: floa
     return total.withColumn(out, F.when(inside, F.col(out)))
 
 
-def wall_cells(walls: DataFrame, axis: DataFrame, keys=KEYS) -> DataFrame:
+def wall_cells(walls: DataFrame, axis: DataFrame, keys=KEYS, strict: bool = False) -> DataFrame:
     """walls (keys, …, side, wall_y) with j_fluid, y_fluid, j_ghost, y_ghost: the first centre at or above an upper
-    wall (last below a lower one) and its neighbour across the wall, both clamped to the axis.
+    wall (last at or below a lower one; with `strict` last below it) and its neighbour across the wall, both clamped to the axis.
 
     axis (keys, j, y) is one column of coordinates a case, folded to a sorted array row; without keys there
     is one such row.
@@ -60,9 +59,10 @@ def wall_cells(walls: DataFrame, axis: DataFrame, keys=KEYS) -> DataFrame:
     keys = [k for k in keys if k in walls.columns and k in axis.columns]
     ys = axis.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct("y", "j"))), lambda s: s["y"]).alias("_ys"))
     both = walls.join(ys, keys) if keys else walls.crossJoin(F.broadcast(ys))
-    below = F.size(F.filter("_ys", lambda y: y < F.col("wall_y")))  # centres below the wall
-    n = F.size("_ys")
     upper = F.col("side") == "upper"
+    under = (lambda y: y < F.col("wall_y")) if strict else (lambda y: F.when(upper, y < F.col("wall_y")).otherwise(y <= F.col("wall_y")))
+    below = F.size(F.filter("_ys", under))  # centres below the wall
+    n = F.size("_ys")
     fluid = F.when(upper, F.least(below, n - 1)).otherwise(F.greatest(below - 1, F.lit(0)))
     ghost = F.when(upper, F.greatest(fluid - 1, F.lit(0))).otherwise(F.least(fluid + 1, n - 1))
     out = both.withColumns({"j_fluid": fluid, "j_ghost": ghost})
@@ -124,22 +124,3 @@ def cubic_grid_at(x: np.ndarray, y: np.ndarray, f: np.ndarray, px: np.ndarray, p
         m, k, every = spline_moments(x, rows), _knot(x, a), np.arange(len(a))
         out[at : at + together] = _between(x, a, k, rows[every, k], rows[every, k + 1], m[every, k], m[every, k + 1])
     return out
-
-
-def cubic(points: DataFrame, cells: DataFrame, field: str, out: str, keys=KEYS) -> DataFrame:
-    """points (keys, point_id, px, py) with the field by a tensor cubic spline, NaN outside. A case's grid
-    meets its points in one task, as the spline is solved over whole lines."""
-    keys = [k for k in keys if k in cells.columns]
-    types = {f.name: f.dataType.simpleString() for f in points.schema}
-    schema = ", ".join([*(f"{k} {types[k]}" for k in keys), f"point_id {types['point_id']}", "px double", "py double", f"{out} double"])
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        i, j = np.asarray(right["i"]), np.asarray(right["j"])
-        f = np.full((i.max() + 1, j.max() + 1), np.nan)
-        x, y = np.zeros(i.max() + 1), np.zeros(j.max() + 1)
-        f[i, j], x[i], y[j] = np.asarray(right["f"]), np.asarray(right["x"]), np.asarray(right["y"])
-        value = cubic_grid_at(x, y, f, np.asarray(left["px"], float), np.asarray(left["py"], float))
-        return left.select([*keys, "point_id", "px", "py"]).append_column(out, pa.array(value))
-
-    grid = cells.select(*keys, "i", "j", "x", "y", F.col(field).alias("f"))
-    return points.groupBy(*keys).cogroup(grid.groupBy(*keys)).applyInArrow(run, schema)

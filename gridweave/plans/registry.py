@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from ..functions.numeric import fdiv, quantised, quantised_sql
 from ..operators import boundary_layer as bl
 from ..operators import fields as fo
 from ..operators import grid as g
-from ..operators import interp, numeric, probe, stencil, surface, theory, views
+from ..operators import interp, numeric, probe, spline, stencil, surface, theory, tiles, views
 from ..sources import text as src
 from . import bindings as b
 from . import controllers
@@ -305,15 +306,15 @@ def bilinear(spark, d):
     return interp.bilinear(pts, b.grid(spark, d), "p", "value", 1.0, 1.0, 50, 0.0, 0.01, 11).select("point_id", q("value", 4))
 
 
-_WALLS = "walls AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'upper' ELSE 'lower' END AS side, (s_suppkey % 120) / CAST(1000 AS DOUBLE) - CAST(0.0055 AS DOUBLE) AS wall_y FROM supplier)"
+_WALLS = "walls AS (SELECT s_suppkey AS id, CASE WHEN s_suppkey % 2 = 0 THEN 'upper' ELSE 'lower' END AS side, CAST(s_suppkey % 25 - 1 AS DOUBLE) / 200 AS wall_y FROM supplier)"
 
 
 def _walls(spark, d):
     key = F.col("s_suppkey")
-    return b.table(spark, d, "supplier").select(key.alias("id"), F.when(key % 2 == 0, "upper").otherwise("lower").alias("side"), ((key % 120) / F.lit(1000.0) - 0.0055).alias("wall_y"))
+    return b.table(spark, d, "supplier").select(key.alias("id"), F.when(key % 2 == 0, "upper").otherwise("lower").alias("side"), ((key % 25 - 1).cast("double") / 200.0).alias("wall_y"))
 
 
-@query(f"""WITH {b.GRID}, {_WALLS}, ax AS (SELECT DISTINCT j, y FROM grid) SELECT id, side, CASE WHEN side = 'upper' THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall_y), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y < wall_y), 0) END AS j_fluid FROM walls""")
+@query(f"""WITH {b.GRID}, {_WALLS}, ax AS (SELECT DISTINCT j, y FROM grid) SELECT id, side, CASE WHEN side = 'upper' THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall_y), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y <= wall_y), 0) END AS j_fluid FROM walls""")
 def nearest_wall_cell(spark, d):
     return interp.wall_cells(_walls(spark, d), b.grid(spark, d).select("j", "y").distinct()).select("id", "side", "j_fluid")
 
@@ -322,7 +323,7 @@ def nearest_wall_cell(spark, d):
 gh AS (SELECT *, CASE WHEN side = 'upper' THEN greatest(j_fluid - 1, 0) ELSE least(j_fluid + 1, 10) END AS j_ghost FROM fl)
 SELECT id, j_fluid, j_ghost, f.y AS y_fluid, o.y AS y_ghost FROM gh JOIN ax f ON f.j = j_fluid JOIN ax o ON o.j = j_ghost""")
 def searchsorted_neighbours(spark, d):
-    return interp.wall_cells(_walls(spark, d), b.grid(spark, d).select("j", "y").distinct()).select("id", "j_fluid", "j_ghost", "y_fluid", "y_ghost")
+    return interp.wall_cells(_walls(spark, d), b.grid(spark, d).select("j", "y").distinct(), strict=True).select("id", "j_fluid", "j_ghost", "y_fluid", "y_ghost")
 
 
 _EDGES = f"""{b.POINTS}, e AS (SELECT tri_id, CAST(k AS INT) AS edge, xs[k+1] AS xa, ys[k+1] AS ya, zs[k+1] AS za, xs[(k+1)%3+1] AS xb, ys[(k+1)%3+1] AS yb, zs[(k+1)%3+1] AS zb FROM tri, range(3) t(k)),
@@ -427,14 +428,77 @@ def bl_single_point(spark, d):
     return bl.surface_table(pts, cells, STREAM, mode="body", cubic=True, smooth=False, n=100).select("idx", q("C_f", 9), q("T_wall", 4), q("u_edge", 3), q("H", 4), "status")
 
 
-@query(f"""WITH {b.STATIONS}, pr AS (SELECT x, max(y) AS yu, min(y) AS yl FROM stations GROUP BY x), pg AS (SELECT *, {_gradient_sql('yu', 'x', 'OVER (ORDER BY x)')} AS su, {_gradient_sql('yl', 'x', 'OVER (ORDER BY x)')} AS sl FROM pr),
+def _body_grid(spark, d, nj=120):
+    """A layer over a body that grows and curves with x, one column for each grid station; both sides are wetted."""
+    x = b.grid(spark, d).select("case_id", "snapshot", "i", "x", F.col("u").alias("u0")).groupBy("case_id", "snapshot", "i", "x").agg(F.avg("u0").alias("u0"))
+    cells = x.withColumns({"x": F.col("x") / 100.0, "j": F.explode(F.sequence(F.lit(0), F.lit(nj - 1)))})
+    y, depth = (F.col("j") - nj / 2) * 0.0005 + 0.0002, F.abs(F.col("y")) - F.col("wall")
+    cells = cells.withColumns({"y": y, "wall": 0.004 + 0.02 * F.col("x") * F.col("x")})
+    return cells.withColumns({"u": 1000.0 * F.tanh(depth / 0.003), "v": F.lit(0.0), "Temperature": 300.0 + F.col("u0") / 100.0, "p": F.lit(2000.0), "rho": F.lit(0.02), "ib_markers": F.when(depth < 0, 1.0).otherwise(0.0), "vel_mag": F.when(depth < 0, 0.0).otherwise(100.0)})
+
+
+def _wall_points(cells):
+    """The fluid cells on both sides with the wall and its outward normal."""
+    sign, slope = F.when(F.col("side") == "upper", 1.0).otherwise(-1.0), 0.04 * F.col("x")
+    size = F.sqrt(1.0 + slope * slope)
+    return surface.marker_surface(cells, max_x=100.0).withColumns({"nx": -slope / size, "ny": sign / size, "y_exact": sign * (0.004 + 0.02 * F.col("x") * F.col("x"))})
+
+
+@query()
+def surface_table_sides(spark, d):
+    cells = _body_grid(spark, d)
+    out = bl.surface_table(_wall_points(cells), cells, STREAM, mode="body", height=0.012, n=200, size=16)
+    return out.select("side", "idx", q("s", 6), q("C_f", 9), q("delta_99", 7), q("delta_star", 7), q("theta", 7), q("H", 4), q("C_p", 6), "q_w", "status")
+
+
+@query()
+def surface_table_markers_sides(spark, d):
+    cells = _body_grid(spark, d)
+    return bl.surface_table(surface.marker_surface(cells, max_x=100.0), cells, STREAM, mode="marker", size=16).select("side", "idx", q("s", 6), q("C_f", 9), q("delta_99", 7), q("H", 4), "status")
+
+
+@query()
+def bl_single_point_sides(spark, d):
+    cells = _body_grid(spark, d)
+    out = bl.surface_table(_wall_points(cells), cells, STREAM, mode="body", cubic=True, smooth=False, height=0.012, n=100, size=16)
+    return out.select("side", "idx", q("C_f", 9), q("T_wall", 4), q("u_edge", 3), q("H", 4), "status")
+
+
+# samples along lines that leave each station outward and cross tiles of four cells
+@query(f"""WITH {b.STATIONS}, pts AS (SELECT side, i, k, x + k * CAST(0.37 AS DOUBLE) AS px, y + (CASE WHEN side = 'upper' THEN 1 ELSE -1 END) * k * CAST(0.0123 AS DOUBLE) AS py FROM stations, range(9) t(k)),
+l AS (SELECT *, CAST(least(greatest(floor(px - 1), 0), 48) AS INT) AS i0, CAST(least(greatest((SELECT count(DISTINCT y) FROM grid WHERE y <= py) - 1, 0), 9) AS INT) AS j0 FROM pts),
+m AS (SELECT *, px - (1 + i0) AS a, (py - j0 / CAST(100 AS DOUBLE)) / CAST(0.01 AS DOUBLE) AS bw FROM l)
+SELECT side, m.i, k AS code, {s('p', 3, '(1-a)*((1-bw)*g00.p + bw*g01.p) + a*((1-bw)*g10.p + bw*g11.p)')} FROM m JOIN grid g00 ON g00.i = i0 AND g00.j = j0 JOIN grid g01 ON g01.i = i0 AND g01.j = j0 + 1
+ JOIN grid g10 ON g10.i = i0 + 1 AND g10.j = j0 JOIN grid g11 ON g11.i = i0 + 1 AND g11.j = j0 + 1""")
+def tile_samples(spark, d):
+    def plan(case, table, x, y, size):
+        point, sign = np.asarray(table["point"]), np.where(np.asarray(table["side"]) == "upper", 1.0, -1.0)
+        px, py = (np.asarray(table[c])[:, None] for c in "xy")
+        k = np.arange(9)
+        px, py = px + k * 0.37, py + sign[:, None] * k * 0.0123
+        return tiles.by_tile(case, np.repeat(point, 9), np.tile(k.astype(np.int32), len(point)), px.ravel(), py.ravel(), x, y, size)
+
+    cells = b.grid(spark, d)
+    point = (F.col("i").cast("long") * 2 + (F.col("side") == "lower").cast("long")).alias("point")
+    pts = b.stations(spark, d).select(F.lit("a").alias("case_id"), F.lit(0).cast("long").alias("snapshot"), "side", "x", "y", point)
+    route = tiles.routed(pts, cells, plan, ("case_id", "snapshot"), 4)
+    got = tiles.sampled(route, cells, {"p": "p"}, {"p": "linear"}, ("case_id", "snapshot"), 4)
+    each = got.select("point", F.inline(F.arrays_zip("codes", F.col("p").alias("value"))))
+    side = F.when(F.col("point") % 2 == 1, "lower").otherwise("upper").alias("side")
+    return each.select(side, F.floor(F.col("point") / 2).cast("int").alias("i"), F.col("codes").cast("long").alias("code"), q("p", 3, F.col("value")))
+
+
+# a body whose walls slope, and lie on cell centres in some columns and between them in others
+@query(f"""WITH {b.STATIONS}, pr AS (SELECT DISTINCT x, CAST(12 + i % 5 AS DOUBLE) / 200 AS yu, CAST(4 + i % 4 AS DOUBLE) / 200 AS yl FROM stations),
+pg AS (SELECT *, {_gradient_sql('yu', 'x', 'OVER (ORDER BY x)')} AS su, {_gradient_sql('yl', 'x', 'OVER (ORDER BY x)')} AS sl FROM pr),
 ax AS (SELECT DISTINCT j, y FROM grid), co AS (SELECT DISTINCT i, x FROM grid WHERE x <= 45),
 wl AS (SELECT 'upper' AS side, i, x, yu AS wall, su AS sl, CAST(1 AS DOUBLE) AS sg FROM co JOIN pg USING (x) UNION ALL SELECT 'lower', i, x, yl, sl, CAST(-1 AS DOUBLE) FROM co JOIN pg USING (x)),
-jf AS (SELECT *, CASE WHEN side = 'upper' THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y < wall), 0) END AS j FROM wl)
+jf AS (SELECT *, CASE WHEN side = 'upper' THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y <= wall), 0) END AS j FROM wl)
 SELECT side, row_number() OVER (PARTITION BY side ORDER BY i) - 1 AS idx, i, j, x, y, {s('y_exact', 9, 'wall')}, {s('nx', 9, '-sg * sl / sqrt(1 + sl * sl)')}, {s('ny', 9, 'sg / sqrt(1 + sl * sl)')}, {s('dist_to_wall', 9, 'abs(y - wall)')}
 FROM jf JOIN ax USING (j) WHERE CASE WHEN side = 'upper' THEN y >= wall ELSE y <= wall END""")
 def surface_profile(spark, d):
-    prof =b.stations(spark, d).groupBy("x").agg(F.max("y").alias("y_upper"), F.min("y").alias("y_lower"))
+    i = F.col("i")
+    prof = b.stations(spark, d).select("x", ((12 + i % 5).cast("double") / 200.0).alias("y_upper"), ((4 + i % 4).cast("double") / 200.0).alias("y_lower")).distinct()
     w = Window.orderBy("x")
     prof = prof.withColumns({"dyu_dx": stencil.gradient("y_upper", "x", w), "dyl_dx": stencil.gradient("y_lower", "x", w)})
     out = surface.profile_surface(b.grid(spark, d), prof, max_x=45.0)
@@ -665,7 +729,7 @@ def adaptive_smooth(spark, d):
 @query()
 def cubic_grid(spark, d):
     pts = b.table(spark, d, "supplier").select(F.lit("a").alias("case_id"), F.lit(0).cast("long").alias("snapshot"), F.col("s_suppkey").alias("point_id"), (1.3 + (F.col("s_suppkey") % 480) / F.lit(10.0)).alias("px"), ((F.col("s_suppkey") % 97) / F.lit(1000.0)).alias("py"))
-    return interp.cubic(pts, b.grid(spark, d), "p", "value").select("point_id", q("value", 4))
+    return spline.cubic(pts, b.grid(spark, d), "p", "value").select("point_id", q("value", 4))
 
 
 @query(f"""WITH pt AS (SELECT s_suppkey AS point_id, CAST(1.3 AS DOUBLE) + (s_suppkey % 480) / CAST(10 AS DOUBLE) AS x, (s_suppkey % 97) / CAST(1000 AS DOUBLE) AS y FROM supplier)
@@ -675,7 +739,7 @@ def cubic_exact(spark, d):
     x, y = F.col("x"), F.col("y")
     cells = b.grid(spark, d).withColumn("f", x * x * x / 1000.0 - 20.0 * x * x * y + 300.0 * x * y * y - 5000.0 * y * y * y + 2.0)
     pts = b.table(spark, d, "supplier").select(F.lit("a").alias("case_id"), F.lit(0).cast("long").alias("snapshot"), F.col("s_suppkey").alias("point_id"), (1.3 + (F.col("s_suppkey") % 480) / F.lit(10.0)).alias("px"), ((F.col("s_suppkey") % 97) / F.lit(1000.0)).alias("py"))
-    return interp.cubic(pts, cells, "f", "value").select("point_id", q("value", 6))
+    return spline.cubic(pts, cells, "f", "value").select("point_id", q("value", 6))
 
 
 # --- views -----------------------------------------------------------------------------------------

@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import drop_stored, small, stored
+from .components import HUB, HUBS
 
 #: Weights of the sources in their order, repeating.
 WEIGHTS = (3.0, 1.0, 2.0)
@@ -198,7 +199,16 @@ def _copies(rows: DataFrame, choice: DataFrame) -> DataFrame:
     repeated = choice.filter("rows > 1")
     n = repeated.count()
     per = choice.select(F.col("u1").alias("__gw_u1"), F.col("u2").alias("__gw_u2"), F.col("rows").alias("__gw_rows"), F.col("all").alias("__gw_all"))
-    joined = _nth(rows, repeated, n).join(per, (F.col("u1") == F.col("__gw_u1")) & (F.col("u2") == F.col("__gw_u2")), "left")
+    same = (F.col("u1") == F.col("__gw_u1")) & (F.col("u2") == F.col("__gw_u2"))
+    numbered, units, most = _nth(rows, repeated, n), *choice.agg(F.count("*"), F.coalesce(F.sum("rows"), F.lit(0))).head()
+    hinted = small(per, units)
+    if hinted is not per:
+        joined = numbered.join(hinted, same, "left")
+    else:  # units of many rows, of which there are few, are broadcast; the rest meet by a shuffle without a hot key
+        hub = F.col("__gw_rows") > max(HUB, most // HUBS)
+        met = numbered.join(F.broadcast(per.filter(hub)), same, "left")
+        rest = met.filter("__gw_u1 is null").select(*numbered.columns).join(per.filter(~hub), same, "left")
+        joined = met.filter("__gw_u1 is not null").unionByName(rest)
     whole = F.floor(F.col("__gw_all") / F.col("__gw_rows"))
     copies = whole + (F.col("__gw_nth") < F.col("__gw_all") - whole * F.col("__gw_rows")).cast("long")
     return joined.withColumn("__gw_copies", F.coalesce(copies, F.lit(0)).cast("int")).drop("__gw_u1", "__gw_u2", "__gw_rows", "__gw_all", "__gw_nth")

@@ -105,3 +105,15 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     with pytest.raises(ValueError):
         common.shared_dir(Remote)
     assert common.shared_dir(spark)
+
+
+def test_mixing_by_hubs_gives_the_same_copies(spark, monkeypatch):
+    from gridweave.llm import common, mixing
+
+    rows = [(k, "the same words here" if k % 3 == 0 else f"document {k} " * (k % 7 + 1), "ab"[k % 2]) for k in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    want = sorted(map(tuple, mixing.mixed(docs).select("doc_id", "taken").collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(mixing, "HUB", 10)
+    monkeypatch.setattr(mixing, "HUBS", 1 << 40)
+    assert sorted(map(tuple, mixing.mixed(docs).select("doc_id", "taken").collect())) == want

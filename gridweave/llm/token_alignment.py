@@ -5,8 +5,8 @@ tokenizer's tokens cross, so a text is a list of units. A batch of texts holds e
 with how often it stands, and each text as its units' numbers. All that follows is higher-order functions:
 array_intersect of both tokenizations' ends gives a unit's cuts, from whose places groups and links are built, and
 a text's groups and sums are its units' by their numbers. Links are counted over all texts, a unit's as
-often as it stands, with map-side sums. The most frequent pairs' counts, as many as a broadcast may hold,
-meet the links without a shuffle; a rare pair's links meet its count by a shuffled join in which no pair is hot.
+often as it stands, with map-side sums. While the pairs' counts fit a broadcast, links find them in arrays by their ids; beyond that
+the most frequent pairs are broadcast and a rare pair's links meet its count by a shuffled join in which no pair is hot.
 
 A batch is about TOGETHER bytes or one longer text, a unit as long as its text only if no space follows another
 character there. Every step is linear in the batch's tokens but for a sort of ascending runs.
@@ -40,13 +40,16 @@ TOGETHER, CALL = 3 << 19, 1 << 14
 #: Entries of a worker's memory of units; it is emptied when full and changes no result.
 MEMORY = 250_000
 
+#: What an id pair's first id is multiplied by in one number.
+PAIR = 1 << 32
+
 #: Bytes of a pair's row as a broadcast table holds it: key, count, flag and what a row takes.
 PAIR_BYTES = 48
 
 #: A unit begins with a space that follows what isn't white space to either tokenizer.
 BORDER, UNSAFE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
-INTS = ("a", "a_ends", "a_of", "b", "b_ends", "b_of", "u_ends", "times")
+INTS = ("a", "a_ends", "a_of", "a_unit", "b", "b_ends", "b_of", "u_a", "u_b", "times")
 BATCH = ", ".join(f"{c} array<int>" for c in INTS) + ", docs array<struct<doc_id: {id}, codes: array<int>>>"
 
 
@@ -161,10 +164,12 @@ class Coder:
         numbers = [np.fromiter(map(codes.__getitem__, own), np.int32, len(own)) for own in lists]
         times = np.fromiter(map(often.__getitem__, codes), np.int32, len(codes))
         row = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x))
-        columns = {"u_ends": np.cumsum([len(u.encode()) + 1 for u in codes], dtype=np.int32), "times": times}
+        columns = {"times": times}
         for k, name, size in ((0, "a", self.a_size), (1, "b", self.b_size)):
-            flat = np.frombuffer(b"".join([v[k] for v in values]), np.int32)
-            columns |= {name: flat, f"{name}_ends": np.cumsum(size[flat], dtype=np.int32), f"{name}_of": np.repeat(np.arange(len(flat), dtype=np.int32), size[flat])}
+            own = [v[k] for v in values]
+            flat = np.frombuffer(b"".join(own), np.int32)
+            columns |= {f"u_{name}": np.fromiter(map(len, own), np.int32, len(own)) // 4, name: flat, f"{name}_ends": np.cumsum(size[flat], dtype=np.int32), f"{name}_of": np.repeat(np.arange(len(flat), dtype=np.int32), size[flat])}
+        columns["a_unit"] = np.repeat(np.arange(len(codes), dtype=np.int32), columns["u_a"])
         edges = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
         docs = pa.StructArray.from_arrays([ids, pa.ListArray.from_arrays(edges, np.concatenate([np.empty(0, np.int32), *numbers]))], ["doc_id", "codes"])
         return pa.record_batch({**{c: row(columns[c]) for c in INTS}, "docs": row(docs)})
@@ -189,7 +194,7 @@ def default_paths() -> tuple[str, str]:
 
 def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
     """A row a batch. Of its distinct units one after the other: ids of both tokenizers (a, b), where their tokens end in
-    bytes, which token each byte belongs to (a_of, b_of), where units end and how often each stands; docs: doc_id and the numbers of a text's units.
+    bytes, which token each byte belongs to (a_of, b_of), which unit each token of a belongs to, how many tokens units have and how often each stands; docs: doc_id and the numbers of a text's units.
 
     paths: a byte-level file of the tokenizers library and a sentencepiece model, read once on the driver.
     """
@@ -227,24 +232,20 @@ def _listed(ids: str, last: str, g: Column, i: Column) -> Column:
 
 
 def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """A row a batch. units: links (a, b of each place where both tokenizations end) and times of its distinct units; docs: doc_id, n_a, n_b,
-    n_links, groups_sha256 and codes, the numbers of its units."""
-    at = _step(tokenised(docs, paths), "a", "b", "a_of", "b_of", "u_ends", "times", "docs", cuts=F.array_intersect("a_ends", "b_ends"))
-    # a unit's end is sorted in behind the cut there, so the k-th unit's end stands behind as many cuts as its place less k
-    high, mark = F.lit(1 << 32), F.lit(1 << 31)
-    ends = F.concat(F.transform("cuts", lambda e: e.cast("long") * high), F.transform("u_ends", lambda e: e.cast("long") * high + mark))
+    """A row a batch. Of its distinct units: links (a * 2^32 + b of each place where both tokenizations end), the unit of each (l_unit), each unit's
+    last link (u_at) and times; docs: doc_id, n_a, n_b, n_links, groups_sha256 and codes, the numbers of its units."""
+    at = _step(tokenised(docs, paths), "a", "b", "a_of", "b_of", "a_unit", "u_a", "u_b", "times", "docs", cuts=F.array_intersect("a_ends", "b_ends"))
     token = lambda of: F.transform("cuts", lambda c: F.get(of, c - 1))
-    size = lambda of: F.transform("u_ends", lambda e, k: F.get(of, e - 1) - F.when(k > 0, F.get(of, F.get("u_ends", k - 1) - 1)).otherwise(F.lit(-1)))
     names = {f"{n}_names": F.col(n).cast("array<string>") for n in "ab"}
-    at = _step(at, "a", "b", "times", "docs", a_at=token("a_of"), b_at=token("b_of"), merged=F.sort_array(ends), u_a=size("a_of"), u_b=size("b_of"), **names)
-    marked = F.filter(F.transform("merged", lambda x, k: F.when(x.bitwiseAND(mark) != 0, k)), lambda k: k.isNotNull())
-    links = F.transform("a_at", lambda i, g: F.struct(F.get("a", i).alias("a"), F.get("b", F.get("b_at", g)).alias("b")))
+    at = _step(at, "a", "b", "a_unit", "u_a", "u_b", "times", "docs", a_at=token("a_of"), b_at=token("b_of"), **names)
+    links = F.transform("a_at", lambda i, g: F.get("a", i).cast("long") * F.lit(PAIR) + F.get("b", F.get("b_at", g)))
     texts = F.transform("a_at", lambda i, g: F.concat(_listed("a_names", "a_at", g, i), F.lit("|"), _listed("b_names", "b_at", g, F.get("b_at", g))))
-    at = _step(at, "times", "docs", "u_a", "u_b", u_at=F.transform(marked, lambda k, u: k - u - 1), links=links, texts=texts)
-    part = lambda x, u, k: F.slice(x, _first("u_at", k) + 1, u - _first("u_at", k) + 1)
-    units = F.transform("u_at", lambda u, k: F.struct(part("links", u, k).alias("links"), F.get("times", k).alias("times")))
-    u_text = F.transform("u_at", lambda u, k: F.when(u == _first("u_at", k), F.get("texts", u)).otherwise(F.array_join(part("texts", u, k), ";")))
-    at = _step(at, "docs", "u_a", "u_b", units=units, u_text=u_text, u_links=F.transform("u_at", lambda u, k: u - _first("u_at", k) + 1))
+    at = _step(at, "times", "docs", "u_a", "u_b", l_unit=F.transform("a_at", lambda i: F.get("a_unit", i)), links=links, texts=texts)
+    last = F.transform("l_unit", lambda u, g: F.when(F.coalesce(F.get("l_unit", g + 1), F.lit(-1)) != u, g))  # a unit's end is a cut, so each unit has a link
+    at = _step(at, "times", "docs", "u_a", "u_b", "l_unit", "links", "texts", u_at=F.filter(last, lambda g: g.isNotNull()))
+    part = lambda u, k: F.slice("texts", _first("u_at", k) + 1, u - _first("u_at", k) + 1)
+    u_text = F.transform("u_at", lambda u, k: F.when(u == _first("u_at", k), F.get("texts", u)).otherwise(F.array_join(part(u, k), ";")))
+    at = _step(at, "times", "docs", "u_a", "u_b", "l_unit", "links", "u_at", u_text=u_text, u_links=F.transform("u_at", lambda u, k: u - _first("u_at", k) + 1))
 
     def doc(d: Column) -> Column:
         total = lambda of: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get(of, c))
@@ -252,13 +253,13 @@ def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
         digest = F.when(F.size(d["codes"]) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
         return F.struct(d["doc_id"].alias("doc_id"), total("u_a").alias("n_a"), total("u_b").alias("n_b"), total("u_links").alias("n_links"), digest.alias("groups_sha256"), d["codes"].alias("codes"))
 
-    return at.select("units", F.transform("docs", doc).alias("docs"))
+    return at.select("links", "l_unit", "u_at", "times", F.transform("docs", doc).alias("docs"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
     """pair, n, best of links (pair, times): how many links hold each id pair (a * 2^32 + b), and whether no pair of its b has more."""
     n = links.groupBy("pair").agg(F.sum(F.col("times").cast("long")).alias("n"))
-    most = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND((1 << 32) - 1)))
+    most = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND(PAIR - 1)))
     return n.withColumn("best", F.col("n") == most)
 
 
@@ -281,16 +282,38 @@ def with_counts(links: DataFrame, counts: DataFrame, limit: int | None = None) -
     return met.filter("n is not null").unionByName(met.filter("n is null").drop("n", "best").join(few, "pair"))
 
 
+def looked_up(base: DataFrame, counts: DataFrame) -> DataFrame:
+    """u_at, docs, n, best (of each link of a batch's units, in order) from one row that holds all counts, in order of the ids of b and, for each, the most
+    frequent first; a few comparisons find a pair."""
+    of = counts.select(F.col("pair").bitwiseAND(PAIR - 1).cast("int").alias("b"), F.shiftright("pair", 32).cast("int").alias("a"), "n")
+    own = of.groupBy("b").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "a")))).alias("p")).select("b", F.struct(F.col("p.a").alias("a"), F.col("p.n").alias("n")).alias("p"))
+    every = base.sparkSession.range((own.agg(F.max("b")).head()[0] or 0) + 1).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
+    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]).alias("by_b")).withColumn("one", F.lit(1))
+    met = base.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
+    entry = lambda link: F.get("by_b", link.bitwiseAND(PAIR - 1).cast("int"))
+    number = lambda link: F.get(entry(link)["n"], (F.array_position(entry(link)["a"], F.shiftright(link, 32).cast("int")) - 1).cast("int"))
+    met = _step(met, "u_at", "docs", "links", "by_b", n=F.transform("links", number))
+    best = F.transform("links", lambda link, k: (F.get("n", k) == F.get(entry(link)["n"], F.lit(0))).cast("long"))
+    return _step(met, "u_at", "docs", "n", best=best)
+
+
+def joined(base: DataFrame, counts: DataFrame, limit: int | None) -> DataFrame:
+    """The same by joins, however many counts there are; a batch's links come together by the row's number."""
+    links = base.select("row", F.posexplode("links").alias("pos", "pair"))
+    met = with_counts(links, counts, limit).repartition("row")
+    each = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", F.col("best").cast("long").alias("best")))).alias("v"))
+    return base.select("row", "u_at", "docs").join(each, "row", "left").select("u_at", "docs", F.col("v.n").alias("n"), F.col("v.best").alias("best"))
+
+
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs."""
-    base = stored(aligned(docs, paths).select(F.monotonically_increasing_id().alias("row"), "units", "docs"), "aligned", "zstd")
-    units = base.select("row", F.posexplode("units").alias("pos", "u")).select("row", "pos", "u.times", F.explode("u.links").alias("l"))
-    links = units.select("row", "pos", "times", (F.col("l.a").cast("long") * (1 << 32) + F.col("l.b")).alias("pair"))
-    counts = stored(pair_counts(links), "pairs")
-    met = with_counts(links.drop("times"), counts, limit).select("row", "pos", (F.col("n") * 2 + F.col("best").cast("long")).alias("v"))
-    # a batch's units come together once, by the row's number; every unit has a link, so its number is its place
-    unit = met.repartition("row").groupBy("row", "pos").agg(F.sum(F.col("v").bitwiseAND(1)).alias("best"), F.sum(F.shiftright("v", 1)).alias("n"))
-    sums = unit.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("pos", "best", "n"))).alias("sums"))
-    total = lambda d, k: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get("sums", c)[k])
-    done = base.select("row", "docs").join(sums, "row", "left").select(F.explode(F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_links"].alias("n_groups"), d["n_links"], total(d, "best").alias("n_best"), total(d, "n").alias("count_sum"), d["groups_sha256"]))).alias("d"))
-    return done.select("d.*")
+    base = stored(aligned(docs, paths).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned", "zstd")
+    each = F.arrays_zip(F.col("links").alias("pair"), F.transform("l_unit", lambda u: F.get("times", u)).alias("times"))
+    counts = stored(pair_counts(base.select(F.inline(each).alias("pair", "times"))), "pairs")
+    fits = counts.count() * PAIR_BYTES <= (BROADCAST_BYTES if limit is None else limit)
+    met = looked_up(base, counts) if fits else joined(base, counts, limit)
+    of_unit = lambda v: F.transform("u_at", lambda u, k: F.aggregate(F.slice(v, _first("u_at", k) + 1, u - _first("u_at", k) + 1), F.lit(0).cast("long"), lambda acc, x: acc + x))
+    met = _step(met, "docs", u_n=of_unit("n"), u_best=of_unit("best"))
+    total = lambda d, of: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get(of, c))
+    done = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_links"].alias("n_groups"), d["n_links"], total(d, "u_best").alias("n_best"), total(d, "u_n").alias("count_sum"), d["groups_sha256"]))
+    return met.select(F.inline(done))

@@ -7,22 +7,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .grid import KEYS
+from .scan import parts, with_neighbours
 
 
 def interpolate(queries: DataFrame, knots: DataFrame, x: str, y: str, out: str, keys=()) -> DataFrame:
     """queries with y interpolated at x between ascending knots, ends clamped; keys match queries to knot sets.
 
-    Knots and queries are merged in one ordered window per key (a shuffle on the key, no pair is formed),
-    so the cost is that of a sort whatever the number of knots.
+    Knots and queries are merged in order (no pair is formed), so the cost is that of a sort whatever the number of
+    knots: in a window per key or, without keys, in range partitions that carry their last and first knots over.
     """
     keys = list(keys)
     own = knots.groupBy(*keys, F.col(x).alias("_x")).agg(F.min(y).alias("_y"))
     q = queries.select(*keys, F.col(x).alias("_x")).distinct().withColumn("_y", F.lit(None).cast("double")).withColumn("_q", F.lit(True))
     both = own.withColumn("_q", F.lit(False)).unionByName(q)
-    w = Window.partitionBy(*keys).orderBy("_x")
     at = F.when(~F.col("_q"), F.struct(F.col("_x").alias("x"), F.col("_y").alias("y")))
-    a = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
-    b = F.first(at, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    if keys:
+        w = Window.partitionBy(*keys).orderBy("_x")
+        a = F.last(at, ignorenulls=True).over(w.rangeBetween(Window.unboundedPreceding, 0))
+        b = F.first(at, ignorenulls=True).over(w.rangeBetween(0, Window.unboundedFollowing))
+    else:
+        both = with_neighbours(parts(both.withColumn("_at", at), (), "_x"), (), "_x", "_at")
+        a, b = F.col("_before"), F.col("_after")
     value = F.when(a.isNull(), b["y"]).when(b.isNull(), a["y"]).when(a["x"] == b["x"], a["y"]).otherwise(a["y"] + (b["y"] - a["y"]) * ((F.col("_x") - a["x"]) / (b["x"] - a["x"])))
     found = both.withColumn(out, value).filter("_q").select(*keys, F.col("_x").alias(x), out)
     return queries.join(found, [*keys, x])
@@ -53,20 +58,26 @@ def wall_cells(walls: DataFrame, axis: DataFrame, keys=KEYS, strict: bool = Fals
     """walls (keys, …, side, wall_y) with j_fluid, y_fluid, j_ghost, y_ghost: the first centre at or above an upper
     wall (last at or below a lower one; with `strict` last below it) and its neighbour across the wall, both clamped to the axis.
 
-    axis (keys, j, y) is one column of coordinates a case, folded to a sorted array row; without keys there
-    is one such row.
+    axis (keys, j, y) is one column of coordinates a case, j from 0 without gaps. Walls and centres are merged in order over
+    range partitions; the neighbours' coordinates come by their j.
     """
     keys = [k for k in keys if k in walls.columns and k in axis.columns]
-    ys = axis.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_set(F.struct("y", "j"))), lambda s: s["y"]).alias("_ys"))
-    both = walls.join(ys, keys) if keys else walls.crossJoin(F.broadcast(ys))
-    upper = F.col("side") == "upper"
-    under = (lambda y: y < F.col("wall_y")) if strict else (lambda y: F.when(upper, y < F.col("wall_y")).otherwise(y <= F.col("wall_y")))
-    below = F.size(F.filter("_ys", under))  # centres below the wall
-    n = F.size("_ys")
-    fluid = F.when(upper, F.least(below, n - 1)).otherwise(F.greatest(below - 1, F.lit(0)))
-    ghost = F.when(upper, F.greatest(fluid - 1, F.lit(0))).otherwise(F.least(fluid + 1, n - 1))
-    out = both.withColumns({"j_fluid": fluid, "j_ghost": ghost})
-    return out.withColumns({"y_fluid": F.col("_ys")[F.col("j_fluid")], "y_ghost": F.col("_ys")[F.col("j_ghost")]}).drop("_ys")
+    own = axis.select(*keys, "j", "y").distinct()
+    asked = walls.select(*keys, F.col("wall_y").alias("_y")).filter("_y is not null").distinct()
+    marked = own.select(*keys, F.col("y").cast("double").alias("_y"), F.struct("y", "j").alias("_at")).unionByName(asked, allowMissingColumns=True)
+    near = with_neighbours(parts(marked, keys, "_y"), keys, "_y", "_at").filter("_at is null").select(*keys, F.col("_y").alias("wall_y"), "_before", "_after")
+    last = own.groupBy(*keys).agg(F.max("j").alias("_n"))  # a row a case
+    both = walls.join(near, [*keys, "wall_y"])
+    both = both.join(F.broadcast(last), keys) if keys else both.crossJoin(F.broadcast(last))
+    upper, tie = F.col("side") == "upper", (F.col("_before.y") == F.col("wall_y")) if strict else F.lit(False)
+    above, below = F.coalesce("_after.j", "_n"), F.coalesce(F.col("_before.j") - tie.cast("int"), F.lit(0))
+    fluid = F.when(upper, above).otherwise(F.greatest(below, F.lit(0)))
+    out = both.withColumn("j_fluid", fluid.cast("int"))
+    ghost = F.when(upper, F.greatest(F.col("j_fluid") - 1, F.lit(0))).otherwise(F.least(F.col("j_fluid") + 1, F.col("_n")))
+    out = out.withColumn("j_ghost", ghost.cast("int")).drop("_before", "_after", "_n")
+    for name in ("fluid", "ghost"):
+        out = out.join(own.select(*(F.col(k).alias(k) for k in keys), F.col("j").alias(f"j_{name}"), F.col("y").alias(f"y_{name}")), [*keys, f"j_{name}"])
+    return out.select(*walls.columns, "j_fluid", "j_ghost", "y_fluid", "y_ghost")
 
 
 # --- cubic ---------------------------------------------------------------------------------------

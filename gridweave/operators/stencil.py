@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fdiv, num
+from .scan import parts, with_previous, with_running_sum
 
 
 def gradient_uniform(f, w, spacing) -> Column:
@@ -36,8 +37,13 @@ def running(w):
     return w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def with_arc_length(df: DataFrame, x: str, y: str, keys, order: str, out: str = "s") -> DataFrame:
-    """Running length of the polyline, 0 at its first point."""
+def with_arc_length(df: DataFrame, x: str, y: str, keys, order: str, out: str = "s", long: bool = False) -> DataFrame:
+    """Running length of the polyline, 0 at its first point. long: lines may be longer than a task should hold,
+    and go through range partitions."""
+    if long:
+        cut = with_previous(parts(df, keys, order), keys, order, [x, y], "_p")
+        step = F.sqrt(F.pow(F.col(x) - F.col(f"_p.{x}"), F.lit(2.0)) + F.pow(F.col(y) - F.col(f"_p.{y}"), F.lit(2.0)))
+        return with_running_sum(cut, keys, order, step, out).select(*df.columns, out)
     w = Window.partitionBy(*keys).orderBy(order)
     dx, dy = difference(x, w), difference(y, w)
     return df.withColumn("_ds", F.coalesce(F.sqrt(dx * dx + dy * dy), F.lit(0.0))).withColumn(out, F.sum("_ds").over(running(w))).drop("_ds")
@@ -48,13 +54,23 @@ def trapezoid_steps(f, s, w) -> Column:
     return (F.lag(f).over(w) + f) / 2.0 * (s - F.lag(s).over(w))
 
 
-def with_running_trapezoid(df: DataFrame, f, s, keys, order: str, out: str) -> DataFrame:
+def _long_steps(df: DataFrame, f, s, keys, order: str) -> DataFrame:
+    """Parts of df with _step, each row's term of the trapezoid rule, null on a key's first row."""
+    cut = parts(df.withColumns({"_f": num(f), "_s": num(s)}), keys, order)
+    return with_previous(cut, keys, order, ["_f", "_s"], "_p").withColumn("_step", (F.col("_p._f") + F.col("_f")) / 2.0 * (F.col("_s") - F.col("_p._s")))
+
+
+def with_running_trapezoid(df: DataFrame, f, s, keys, order: str, out: str, long: bool = False) -> DataFrame:
+    if long:
+        return with_running_sum(_long_steps(df, f, s, keys, order), keys, order, F.col("_step"), out).select(*df.columns, out)
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_step", F.coalesce(trapezoid_steps(f, s, w), F.lit(0.0))).withColumn(out, F.sum("_step").over(running(w))).drop("_step")
 
 
-def trapezoid(df: DataFrame, f, s, keys, order: str, out: str) -> DataFrame:
-    """keys and the integral of f over s; 0 for one point."""
+def trapezoid(df: DataFrame, f, s, keys, order: str, out: str, long: bool = False) -> DataFrame:
+    """keys and the integral of f over s; 0 for one point. long: as in with_arc_length."""
+    if long:
+        return _long_steps(df, f, s, keys, order).groupBy(*keys).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias(out))
     w = Window.partitionBy(*keys).orderBy(order)
     return df.withColumn("_step", trapezoid_steps(f, s, w)).groupBy(*keys).agg(F.coalesce(F.sum("_step"), F.lit(0.0)).alias(out))
 

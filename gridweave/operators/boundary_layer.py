@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.gas import MU_REF, R_AIR, S_AIR, T_REF, viscosity
-from ..functions.numeric import NAN, first_where
-from .interp import cubic_grid_at
+from ..functions.numeric import NAN, first_where, num
+from .grid import KEYS
+from .interp import cubic_grid_at, wall_cells
 from .numeric import adaptive_smooth, savgol, surface_normals
 from .spline import moments
 from .stencil import gradient, head_slope, trapezoid_steps
@@ -68,6 +69,34 @@ def first_cell_friction(surface: DataFrame, stream: FreeStream) -> DataFrame:
     return surface.withColumn("C_f_direct", F.when(dn >= 1e-12, viscosity("T_wall") * F.col("u_t") / dn / stream.q))
 
 
+def first_cell_from_grid(surface: DataFrame, cells: DataFrame, stream: FreeStream, keys=KEYS) -> DataFrame:
+    """surface (keys, i, wall_y, nx, ny, ...) with C_f, tau_w, du_dn_wall, mu_wall, T_cell, j1, j2, dn1, dn2, u_tang1, u_tang2 of the first
+    fluid cell of its column and the next one outward.
+
+    ny >= 0: the first centre at or above the wall, else the last one below it, clamped to the grid. A point whose two cells are one, or
+    whose first centre lies within 1e-12 of the wall, or whose cell is missing, has nulls. Walls meet the axis by an as-of merge, cells by their (i, j).
+    """
+    keys = [k for k in keys if k in cells.columns and k in surface.columns]
+    new = ("C_f", "tau_w", "du_dn_wall", "mu_wall", "T_cell", "j1", "j2", "dn1", "dn2", "u_tang1", "u_tang2")
+    up = F.col("ny") >= 0
+    axis = cells.select(*(F.col(k).alias(k) for k in keys), "j", "y").distinct()
+    walls = surface.select(*keys, F.when(up, "upper").otherwise("lower").alias("side"), "wall_y").distinct()
+    found = wall_cells(walls, axis, keys, strict=True).select(*keys, F.col("side").alias("_side"), "wall_y", F.col("j_fluid").alias("j1"))
+    last = axis.groupBy(*keys).agg(F.max("j").alias("_n"))  # a row a case
+    out = surface.withColumn("_side", F.when(up, "upper").otherwise("lower")).join(found, [*keys, "_side", "wall_y"], "left")
+    out = out.join(F.broadcast(last), keys, "left") if keys else out.crossJoin(F.broadcast(last))
+    out = out.withColumn("j2", F.when(up, F.least(F.col("j1") + 1, F.col("_n"))).otherwise(F.greatest(F.col("j1") - 1, F.lit(0))))
+    tx, ty = (F.when(F.col("ny") < 0, -c).otherwise(c) for c in (num("ny"), -num("nx")))
+    for n in "12":
+        cell = cells.select(*(F.col(k).alias(k) for k in keys), F.col("i").alias("i"), F.col("j").alias(f"j{n}"), *(F.col(c).alias(f"_{c}{n}") for c in ("u", "v", "y", "Temperature")))
+        out = out.join(cell, [*keys, "i", f"j{n}"], "left")
+        out = out.withColumns({f"dn{n}": F.abs(F.col(f"_y{n}") - F.col("wall_y")), f"u_tang{n}": F.col(f"_u{n}") * tx + F.col(f"_v{n}") * ty})
+    out = out.withColumns({"T_cell": F.col("_Temperature1"), "mu_wall": viscosity("_Temperature1"), "du_dn_wall": F.try_divide("u_tang1", "dn1")})
+    out = out.withColumn("tau_w", F.col("mu_wall") * F.col("du_dn_wall")).withColumn("C_f", F.col("tau_w") / stream.q)
+    good = (F.col("j1") != F.col("j2")) & (F.col("dn1") >= 1e-12)
+    return out.select(*surface.columns, *(F.when(good, F.col(c)).alias(c) for c in new))
+
+
 def in_bounds_prefix(profile: DataFrame, inside: Column, keys, order: str = "ord", least: int = 10) -> DataFrame:
     """The rows before the first one out of bounds, with `trimmed_ok` false where fewer than `least` are left.
     A profile whose first row is out is left whole."""

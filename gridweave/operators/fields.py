@@ -99,6 +99,42 @@ def visible(field: str, low: float, high: float, ib: str | None = None, deadband
     return out
 
 
+def overlay(
+    cells: DataFrame, base: str = "Schlieren", field: str = "vorticity", low: float | None = None, high: float | None = None, signed: bool | None = None, deadband: float | None = None,
+    mask_out_of_range: bool = True, base_low: float | None = None, base_high: float | None = None, ib: str = "ib_markers", keys=g.KEYS,
+) -> DataFrame:
+    """keys, i, j, x, y, base (NaN in a body), value, shown, and its case's base_low, base_high, low, high, signed, colours: a field over another.
+
+    Limits that aren't given are a case's own: the base's 1st and 99th percentile in the fluid, the field's range over its finite values there;
+    bounds in the wrong order change places. signed: whether the field has a value below 0. A value is shown if it is finite and in the
+    fluid, in the range (unless mask_out_of_range is off) and past the dead band. Cells without a body's marker column are all fluid. A
+    case without a finite value raises when it is read. Limits are a row a case and are broadcast.
+    """
+    keys = _keys(cells, keys)
+    marked = ib in cells.columns
+    fluid = (F.col(ib) < 0.1) if marked else F.lit(True)
+    own = cells.withColumns({"_base": solid_masked(base, ib) if marked else F.col(base).cast("double"), "_value": F.col(field).cast("double")})
+    seen = finite("_value") & fluid
+    at = lambda q: F.percentile(F.when(finite("_base"), F.col("_base")), F.lit(q))
+    given = lambda v, c: (F.lit(float(v)) if v is not None else c)
+    limits = own.groupBy(*keys).agg(
+        F.count_if(seen).alias("_n"), given(base_low, at(0.01)).alias("base_low"), given(base_high, at(0.99)).alias("base_high"),
+        F.min(F.when(seen, F.col("_value"))).alias("_low"), F.max(F.when(seen, F.col("_value"))).alias("_high"),
+    )
+    a, b = given(low, F.col("_low")), given(high, F.col("_high"))
+    sign = F.lit(signed) if signed is not None else F.col("_low") < 0
+    empty = F.raise_error(F.concat(F.lit("no finite value of "), F.lit(field))).cast("double")
+    limits = limits.select(
+        *keys, "base_low", "base_high", F.when(F.col("_n") == 0, empty).otherwise(F.least(a, b)).alias("low"), F.greatest(a, b).alias("high"), sign.alias("signed"),
+        F.lit("RdBu_r" if signed else "turbo").alias("colours"),
+    )
+    both = own.join(F.broadcast(limits), keys) if keys else own.crossJoin(F.broadcast(limits))
+    shown = seen & F.col("_value").between(F.col("low"), F.col("high")) if mask_out_of_range else seen & F.col("low").isNotNull()
+    if deadband is not None:
+        shown = shown & (F.when(F.col("signed"), F.abs("_value")).otherwise(F.col("_value")) >= float(deadband))
+    return both.select(*keys, "i", "j", "x", "y", F.col("_base").alias("base"), F.col("_value").alias("value"), shown.alias("shown"), "base_low", "base_high", "low", "high", "signed", "colours")
+
+
 def shown_fraction(cells: DataFrame, shown: Column, keys=g.KEYS) -> DataFrame:
     keys = _keys(cells, keys)
     return cells.groupBy(*keys).agg(F.count_if(shown).alias("shown"), F.count("*").alias("cells")).withColumn("share", F.col("shown") / F.col("cells"))

@@ -235,6 +235,19 @@ def overlay_visibility(spark, d):
     return cells.select("i", "j", fo.visible("v", 1.0, -1.0, ib="ib_markers", deadband=0.05, signed=True).alias("shown"), q("base", 6, fo.solid_masked("p")))
 
 
+@query(f"""WITH {b.GRID}, seen AS (SELECT *, ib_markers < 0.1 AS fluid FROM grid), lim AS (SELECT min(v) FILTER (fluid) AS lo, max(v) FILTER (fluid) AS hi, quantile_cont(p, 0.01) FILTER (fluid) AS b0, quantile_cont(p, 0.99) FILTER (fluid) AS b1 FROM seen)
+SELECT i, j, {s('base', 6, 'CASE WHEN fluid THEN p END')}, {s('value', 6, 'v')}, fluid AND abs(v) >= 0.02 AS shown, {s('base_low', 4, 'b0')}, {s('base_high', 4, 'b1')}, {s('low', 6, 'lo')}, {s('high', 6, 'hi')}, lo < 0 AS signed, 'turbo' AS colours FROM seen CROSS JOIN lim""")
+def overlay(spark, d):
+    out = fo.overlay(b.grid(spark, d), base="p", field="v", deadband=0.02)
+    return out.select("i", "j", q("base", 6), q("value", 6), "shown", q("base_low", 4), q("base_high", 4), q("low", 6), q("high", 6), "signed", "colours")
+
+
+@query(f"""WITH {b.GRID}, lim AS (SELECT max(v) FILTER (ib_markers < 0.1) AS hi FROM grid)
+SELECT i, j, v BETWEEN least(CAST(0.01 AS DOUBLE), hi) AND greatest(CAST(0.01 AS DOUBLE), hi) AND ib_markers < 0.1 AND v >= 0.03 AS shown, {s('low', 6, 'least(CAST(0.01 AS DOUBLE), hi)')}, false AS signed, 'turbo' AS colours FROM grid CROSS JOIN lim""")
+def overlay_given_range(spark, d):
+    return fo.overlay(b.grid(spark, d), base="p", field="v", low=0.01, signed=False, deadband=0.03).select("i", "j", "shown", q("low", 6), "signed", "colours")
+
+
 @query(f"WITH {b.GRID} SELECT CAST(count_if(v BETWEEN -1 AND 1) AS BIGINT) AS shown, count(*) AS cells, {s('share', 9, 'count_if(v BETWEEN -1 AND 1) / CAST(count(*) AS DOUBLE)')} FROM grid")
 def shown_share(spark, d):
     return fo.shown_fraction(b.grid(spark, d), fo.visible("v", -1.0, 1.0)).select("shown", "cells", q("share", 9))
@@ -398,6 +411,19 @@ def first_cell_friction(spark, d):
     return bl.first_cell_friction(pts, STREAM).select("i", q("C_f_direct", 9))
 
 
+# walls on centres, between them and off the grid; the first cell and the next one outward
+@query(f"""WITH {b.GRID}, w AS (SELECT s_suppkey AS id, CAST(s_suppkey % 50 AS INT) AS i, CAST(s_suppkey % 25 - 1 AS DOUBLE) / 200 AS wall, CASE WHEN s_suppkey % 3 = 0 THEN CAST(-0.8 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS ny, CAST(0.6 AS DOUBLE) AS nx FROM supplier),
+ax AS (SELECT DISTINCT j, y FROM grid), a AS (SELECT *, CASE WHEN ny >= 0 THEN coalesce((SELECT min(j) FROM ax WHERE y >= wall), 10) ELSE coalesce((SELECT max(j) FROM ax WHERE y < wall), 0) END AS j1 FROM w),
+c AS (SELECT *, CASE WHEN ny >= 0 THEN least(j1 + 1, 10) ELSE greatest(j1 - 1, 0) END AS j2 FROM a),
+m AS (SELECT c.*, abs(f.y - wall) AS dn, CASE WHEN ny >= 0 THEN f.u * ny - f.v * nx ELSE -f.u * ny + f.v * nx END AS ut, f.Temperature AS T, abs(g2.y - wall) AS dn2 FROM c JOIN grid f ON f.i = c.i AND f.j = j1 JOIN grid g2 ON g2.i = c.i AND g2.j = j2),
+k AS (SELECT *, j1 <> j2 AND dn >= 1e-12 AS good FROM m)
+SELECT id, CASE WHEN good THEN j1 ELSE -1 END AS j1, CASE WHEN good THEN j2 ELSE -1 END AS j2, {s('dn2', 9, 'CASE WHEN good THEN dn2 END')}, {s('u_tang1', 6, 'CASE WHEN good THEN ut END')}, {s('C_f', 9, 'CASE WHEN good THEN MU * (ut / dn) / (CAST(0.5 AS DOUBLE) * CAST(0.0267 AS DOUBLE) * 1022121) END')} FROM k""".replace("MU", "CAST(1.716e-5 AS DOUBLE) * pow(T / CAST(273.15 AS DOUBLE), 1.5) * CAST(383.55 AS DOUBLE) / (T + CAST(110.4 AS DOUBLE))"))
+def first_cell_from_grid(spark, d):
+    key = F.col("s_suppkey")
+    pts = b.table(spark, d, "supplier").select(key.alias("id"), (key % 50).cast("int").alias("i"), ((key % 25 - 1).cast("double") / 200.0).alias("wall_y"), F.lit(0.6).alias("nx"), F.when(key % 3 == 0, -0.8).otherwise(0.8).alias("ny"))
+    return bl.first_cell_from_grid(pts, b.grid(spark, d), STREAM).select("id", F.coalesce("j1", F.lit(-1)).alias("j1"), F.coalesce("j2", F.lit(-1)).alias("j2"), q("dn2", 9), q("u_tang1", 6), q("C_f", 9))
+
+
 def _layer_grid(spark, d, nj=60):
     """A layer over a flat wall at y = 0, one column for each grid station."""
     x = b.grid(spark, d).select("case_id", "snapshot", "i", "x", F.col("u").alias("u0")).groupBy("case_id", "snapshot", "i", "x").agg(F.avg("u0").alias("u0"))

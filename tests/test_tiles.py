@@ -103,3 +103,19 @@ def test_wall_cells_at_ties(spark):
     at = lambda strict: {r["id"]: (r["j_fluid"], r["j_ghost"]) for r in interp.wall_cells(walls, axis, strict=strict).collect()}
     assert at(False) == {1: (1, 2), 2: (1, 0), 3: (0, 1), 4: (2, 1), 5: (1, 2)}
     assert at(True) == {1: (0, 1), 2: (1, 0), 3: (0, 1), 4: (2, 1), 5: (1, 2)}
+
+
+def test_overlay_entry(spark):
+    from gridweave.operators import fields
+
+    rows = [("a", k, 0, float(k), 0.0, float(v), 5.0 - k, 1.0 if k == 3 else 0.0) for k, v in enumerate([-2.0, 0.1, 3.0, 99.0, float("nan")])] + [("b", 0, 0, 0.0, 0.0, 1.0, 1.0, 0.0)]
+    cells = spark.createDataFrame(rows, "case_id string, i int, j int, x double, y double, vorticity double, Schlieren double, ib_markers double")
+    of = lambda **how: {(r["case_id"], r["i"]): r for r in fields.overlay(cells, **how).collect()}
+    got = of()
+    assert [got["a", k]["shown"] for k in range(5)] == [True, True, True, False, False] and got["a", 3]["base"] != got["a", 3]["base"]
+    assert (got["a", 0]["low"], got["a", 0]["high"], got["a", 0]["signed"], got["b", 0]["signed"], got["b", 0]["shown"]) == (-2.0, 3.0, True, False, True)
+    assert [of(deadband=0.5)["a", k]["shown"] for k in range(3)] == [True, False, True]
+    assert [of(low=1.0, high=-1.0)["a", k]["shown"] for k in range(3)] == [False, True, False]
+    assert [of(low=-1.0, high=1.0, mask_out_of_range=False, signed=False, deadband=0.0)["a", k]["shown"] for k in range(3)] == [False, True, True]
+    with pytest.raises(Exception, match="no finite value of vorticity"):
+        fields.overlay(cells.filter("i = 4")).collect()

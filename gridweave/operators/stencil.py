@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import fdiv, num
-from .scan import parts, with_previous, with_running_sum
+from .scan import held, parts, with_neighbours, with_previous, with_running_sum
 
 
 def gradient_uniform(f, w, spacing) -> Column:
@@ -110,27 +110,58 @@ def fill_gaps(df: DataFrame, f: str, keys, order: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(ok, F.col(f)).when(a.isNull(), b["v"]).when(b.isNull(), a["v"]).otherwise(middle))
 
 
+def _successors(rows: DataFrame, keys) -> DataFrame:
+    """rows (keys, _run, _x, _tol) with _next: the first station of the run that is _tol or more beyond _x, if there is one. The place to
+    look at is rounded, so the station before it and the two after it are held against the rule itself."""
+    by = [*keys, "_run"]
+    stations = rows.select(*by, F.col("_x").alias("_q"), F.struct("_x").alias("_at"), F.lit(None).cast("double").alias("_from"), "_tol")
+    asked = rows.select(*by, (F.col("_x") + F.col("_tol")).alias("_q"), F.lit(None).cast("struct<_x:double>").alias("_at"), F.col("_x").alias("_from"), "_tol")
+    cut = with_neighbours(parts(stations.unionByName(asked), by, "_q"), by, "_q", "_at")
+    near = cut.filter("_from is not null").select(*by, F.col("_from").alias("_x"), "_tol", F.col("_before._x").alias("_b"), F.col("_after._x").alias("_a"))
+    following = with_previous(parts(rows.select(*by, "_x"), by, "_x"), by, "_x", ["_x"], "_p").select(*by, F.col("_p._x").alias("_a"), F.col("_x").alias("_c")).filter("_a is not null")
+    near = near.join(following, [*by, "_a"], "left")
+    far = lambda c: F.when(F.col(c) - F.col("_x") >= F.col("_tol"), F.col(c))
+    return near.select(*by, "_x", F.coalesce(far("_b"), far("_a"), far("_c")).alias("_next"))
+
+
 def anchored_bins(df: DataFrame, x: str, keys, tolerance: Column | float | None = None, values=()) -> DataFrame:
     """keys, bin, x and the min and max of each value: a bin ends when x is `tolerance` or more from its FIRST x.
 
-    The rule isn't a chain of gaps, so each group is folded in order; tolerance is the range / 1e6 if none is given.
-    Distinct x of a group meet in one row: a body's stations.
+    The rule isn't a chain of gaps. But a station that far from the one before it begins a bin whatever came before, so runs
+    between such gaps are apart, and a run shorter than the tolerance is one bin. In other runs each station knows its successor, the
+    next bin's first x if it were one itself; the first x's are those reached from the run's first station, found by doubling
+    the jumps. Stations lie in range partitions throughout, so a body of any number of them needs no task to hold it.
+    The tolerance, or the range / 1e6 if none is given, is a group's own. Null x's are left out.
     """
     keys = list(keys)
-    stations = df.groupBy(*keys, x).agg(*(f(v).alias(f"{n}_{v}") for v in values for n, f in (("min", F.min), ("max", F.max))))
-    per = stations.groupBy(*keys).agg(F.array_sort(F.collect_set(x)).alias("_xs"))
-    tol = num(tolerance) if tolerance is not None else (F.element_at("_xs", -1) - F.element_at("_xs", 1)) / 1e6
-    per = per.withColumn("_tol", tol)
-    start = F.struct(F.lit(None).cast("double").alias("a"), F.lit(-1).alias("b"), F.lit([]).cast("array<struct<x:double,bin:int,anchor:double>>").alias("o"))
-
-    def step(s: Column, v: Column, t: Column) -> Column:
-        fresh = s["a"].isNull() | (v - s["a"] >= t)
-        b, a = F.when(fresh, s["b"] + 1).otherwise(s["b"]), F.when(fresh, v).otherwise(s["a"])
-        return F.struct(a.alias("a"), b.alias("b"), F.array_append(s["o"], F.struct(v.alias("x"), b.alias("bin"), a.alias("anchor"))).alias("o"))
-
-    folded = per.select(*keys, F.inline(F.aggregate("_xs", start, lambda s, v: step(s, v, F.col("_tol")))["o"]))
-    joined = folded.withColumnRenamed("x", "_x").join(stations.withColumnRenamed(x, "_x"), [*keys, "_x"])
-    return joined.groupBy(*keys, "bin", F.col("anchor").alias(x)).agg(*(f(f"{n}_{v}").alias(f"{n}_{v}") for v in values for n, f in (("min", F.min), ("max", F.max))))
+    stations = df.filter(F.col(x).isNotNull()).groupBy(*keys, F.col(x).cast("double").alias("_x")).agg(*(f(v).alias(f"{n}_{v}") for v in values for n, f in (("min", F.min), ("max", F.max))))
+    cut = parts(stations, keys, "_x")
+    by = keys or ["_all"]
+    tol = num(tolerance) if tolerance is not None else (F.max("_x") - F.min("_x")) / 1e6
+    cut = cut.join(F.broadcast(cut.groupBy(*by).agg(tol.alias("_tol") if tolerance is None else F.first(tol).alias("_tol"))), by)  # a row a group
+    cut = with_previous(cut, keys, "_x", ["_x"], "_p")
+    opens = F.col("_p").isNull() | (F.col("_x") - F.col("_p._x") >= F.col("_tol"))
+    cut = held(with_running_sum(cut.withColumn("_open", opens), keys, "_x", opens.cast("double"), "_run").drop("_p"))
+    runs = cut.groupBy(*by, "_run").agg(F.min("_x").alias("_lo"), F.max("_x").alias("_hi"), F.first("_tol").alias("_t"))
+    wide = runs.filter(F.col("_hi") - F.col("_lo") >= F.col("_t")).select(*by, "_run", "_lo")
+    marks = wide.select(*by, "_run", F.col("_lo").alias("_x"))
+    if wide.head(1):
+        dense = cut.select(*by, "_run", "_x", "_tol").join(wide.select(*by, "_run"), [*by, "_run"])
+        jumps = held(_successors(dense, by).filter("_next is not null"))
+        marks, count = held(marks), 0
+        while (n := marks.count()) != count:
+            count, at = n, [*by, "_run", "_x"]
+            moved = marks.join(jumps, at).select(*by, "_run", F.col("_next").alias("_x"))
+            marks = held(marks.union(moved).distinct())
+            twice = jumps.select(*by, "_run", F.col("_x").alias("_next"), F.col("_next").alias("_then"))
+            jumps = held(jumps.join(twice, [*by, "_run", "_next"]).select(*by, "_run", "_x", F.col("_then").alias("_next")))
+    first = marks.select(*(F.col(k).alias(k) for k in by), F.col("_x").alias("_x"), F.lit(True).alias("_mark"))
+    cut = cut.join(first, [*by, "_x"], "left")
+    anchor = F.when(F.col("_open") | F.coalesce("_mark", F.lit(False)), F.struct("_x"))
+    cut = with_neighbours(cut.withColumn("_at", anchor), keys, "_x", "_at")
+    cut = with_running_sum(cut, keys, "_x", F.col("_at").isNotNull().cast("double"), "_bin")
+    done = cut.groupBy(*keys, (F.col("_bin") - 1).cast("int").alias("bin"), F.col("_before._x").alias(x))
+    return done.agg(*(f(f"{n}_{v}").alias(f"{n}_{v}") for v in values for n, f in (("min", F.min), ("max", F.max))) or [F.count("*").alias("_n")]).drop("_n")
 
 
 def natural_key(path) -> Column:

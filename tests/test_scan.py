@@ -63,3 +63,32 @@ def test_empty_tables(spark):
     assert interp.interpolate(none, df, "x", "y", "v").count() == 0
     walls = spark.createDataFrame([], "id int, side string, wall_y double")
     assert interp.wall_cells(walls, spark.createDataFrame([(0, 0.0), (1, 1.0)], "j int, y double")).count() == 0
+
+
+def fold(xs, tol):
+    bins, anchor = [], None
+    for x in sorted(set(xs)):
+        if anchor is None or x - anchor >= tol:
+            anchor = x
+            bins.append([])
+        bins[-1].append(x)
+    return [(k, b[0], b[0], b[-1]) for k, b in enumerate(bins)]
+
+
+@pytest.mark.parametrize("tol", [0.5, 0.1, 1e-9, 1000.0])
+def test_anchored_bins_equal_the_fold(spark, tol):
+    r = np.random.default_rng(7)
+    xs = {"dense": np.round(r.uniform(0, 30, 1500), 3), "grid": np.arange(200) * 0.1, "apart": r.uniform(0, 1e6, 50), "one": np.array([3.0])}
+    rows = [(k, float(x)) for k, own in xs.items() for x in own]
+    df = spark.createDataFrame(rows, "key string, x double").withColumn("v", F.col("x"))
+    got = {}
+    for b in stencil.anchored_bins(df, "x", ["key"], tol, ("v",)).collect():
+        got.setdefault(b["key"], []).append((b["bin"], b["x"], b["min_v"], b["max_v"]))
+    assert {k: sorted(v) for k, v in got.items()} == {k: fold(v.tolist(), tol) for k, v in xs.items()}
+
+
+def test_anchored_bins_without_keys_or_tolerance(spark):
+    xs = [0.0, 1e-7, 0.5, 0.5 + 3e-7, 0.5 + 1.2e-6, 1.0]
+    df = spark.createDataFrame([(x, x) for x in xs], "x double, v double")
+    assert sorted((b["bin"], b["x"], b["min_v"], b["max_v"]) for b in stencil.anchored_bins(df, "x", [], None, ("v",)).collect()) == fold(xs, 1e-6)
+    assert stencil.anchored_bins(df.limit(0), "x", [], None, ("v",)).count() == 0

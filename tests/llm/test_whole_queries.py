@@ -79,3 +79,62 @@ def test_mixing(spark, docs, texts):
     for k in texts:
         assert got[k]["source_size"] == sizes[source[k]] and got[k]["target"] == pytest.approx(want[source[k]])
     assert all(abs(taken[s] - want[s]) <= largest[s] for s in sizes)
+
+
+def test_bpe_ids_and_decoded_text(spark, texts):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    library.no_truncation()
+    library.no_padding()
+    got = rows_of(spark, "op9_bpe", texts)
+    for k, t in texts.items():
+        ids = library.encode(t, add_special_tokens=False).ids
+        r = got[k]
+        assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r["decoded_sha256"] == hashlib.sha256(library.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def passes_luhn(digits):
+    return sum(d if k % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def brute_personal(t):
+    import re
+
+    rules = {
+        "email": (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        "ip": (r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        "card": (r"[0-9]([\x20-]?[0-9])+", lambda m: 16 <= len(re.sub("[^0-9]", "", m)) <= 19 and passes_luhn(re.sub("[^0-9]", "", m))),
+        "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 8 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    }
+    return {kind: [(m.start(), m.end()) for m in re.finditer(p, t) if good(m[0])] for kind, (p, good) in rules.items()}
+
+
+def test_personal_data_base(spark, texts):
+    import hashlib
+
+    got = rows_of(spark, "op6_personal_data", texts)
+    found = 0
+    for k, t in texts.items():
+        want = brute_personal(t)
+        spans = ",".join(f"{kind}:{a}:{b}" for kind, own in want.items() for a, b in own)
+        r = got[k]
+        assert [r[f"n_{kind}"] for kind in want] == [len(own) for own in want.values()]
+        assert r["base_sha256"] == hashlib.sha256(spans.encode()).hexdigest()
+        assert set(filter(None, spans.split(","))) <= set(r["spans"].split(","))
+        found += len(spans) > 0
+    assert found
+
+
+def test_cards_that_follow_each_other_stay_several():
+    from gridweave.llm.pii import _cards
+
+    one = "4465758382889437"
+    text = f"x {one} {one}, 4111 1111 1111 1111 y"
+    assert _cards(text, 2, 18) == [(2, 18)] and _cards(text, 2, 35) == [(2, 18), (19, 35)]
+    assert _cards(text, 2, len(text) - 2) == [(2, 18), (19, 35), (37, 56)]
+    assert _cards("1234 5678", 0, 9) == [] and _cards("0" * 33, 0, 33) == []

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import finite
+from .grid import KEYS
 from .probe import LENGTH, SPEED
 from .stencil import linspace
 
@@ -75,8 +76,11 @@ def group_summary(table: DataFrame, values, keys=("case_id",)) -> DataFrame:
 
 
 def theory_view(simulation: DataFrame, theory: DataFrame) -> DataFrame:
-    """Simulated and theoretical coefficients at the same surface points."""
-    return simulation.select("side", "idx", "x", "C_p", "C_f", "H").join(theory.drop("x"), ["side", "idx"])
+    """Simulated and theoretical coefficients at the same surface points, of the same case and snapshot where both have them; a theory
+    without them goes with all."""
+    keys = [k for k in KEYS if k in simulation.columns]
+    shared = [k for k in keys if k in theory.columns]
+    return simulation.select(*keys, "side", "idx", "x", "C_p", "C_f", "H").join(theory.drop("x"), [*shared, "side", "idx"])
 
 
 def probe_view(cases: list[tuple[str, DataFrame]], column: str = "p_ratio", second: list[tuple[str, DataFrame]] = (), curves: list[tuple[str, DataFrame]] = ()) -> DataFrame:
@@ -116,8 +120,10 @@ def geometry_view(surface: DataFrame, cells: DataFrame, field: str, low: float =
     """(surface points, the field's cells, its colour limits) of a body drawn over a field."""
     from .fields import colour_limits
 
-    points = surface.select("side", "idx", "x", F.coalesce(*(F.col(c) for c in ("y_exact", "y_interp", "y") if c in surface.columns)).alias("y"))
-    return points, cells.select("i", "j", "x", "y", F.col(field).alias("value")), colour_limits(cells, field, low, high)
+    keys = [k for k in KEYS if k in surface.columns]
+    own = [k for k in KEYS if k in cells.columns]
+    points = surface.select(*keys, "side", "idx", "x", F.coalesce(*(F.col(c) for c in ("y_exact", "y_interp", "y") if c in surface.columns)).alias("y"))
+    return points, cells.select(*own, "i", "j", "x", "y", F.col(field).alias("value")), colour_limits(cells, field, low, high)
 
 
 def neighbourhood(cells: DataFrame, i: int, j: int, reach: int = 8) -> DataFrame:

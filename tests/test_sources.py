@@ -196,6 +196,10 @@ def test_views_of_surfaces(spark):
     one = table.filter("snapshot = 0").withColumn("x", F.col("s"))
     theory = one.select("side", "idx", "x", F.lit(0.5).alias("Cp_newton"))
     assert views.theory_view(one, theory).count() == 3
+    both = table.filter("side = 'upper'").withColumns({"x": F.col("s"), "case_id": F.lit("a")})
+    of_both = both.select("case_id", "snapshot", "side", "idx", "x", F.col("snapshot").cast("double").alias("Cp_newton"))
+    joined = views.theory_view(both, of_both)
+    assert joined.count() == 6 and joined.filter("Cp_newton <> snapshot").count() == 0 and views.theory_view(both, theory).count() == 6
     cells = spark.createDataFrame([(i, j, float(i), float(j), float(i * j)) for i in range(3) for j in range(3)], "i int, j int, x double, y double, p double")
     points, shown, limits = views.geometry_view(spark.createDataFrame([("upper", 0, 0.0, 1.0, 0.9)], "side string, idx int, x double, y double, y_interp double"), cells, "p", 0.0, 1.0)
     assert points.head()["y"] == 0.9 and shown.count() == 9 and tuple(limits.head()) == (0.0, 4.0)

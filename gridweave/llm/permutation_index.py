@@ -38,7 +38,7 @@ NEAR, VISIT, RERANK = 32, 64, 0.1
 BLOCK, QUERY_BLOCK = 8192, 1024
 
 #: Vectors of a block that are ranked again, at least.
-LEAST = 1024
+LEAST = 384
 
 
 def _vectors(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -1,13 +1,15 @@
 """Alignment of two tokenizers' tokens over the bytes of each text, and how often ids are linked.
 
 Tasks tokenise: a text is cut where a space follows a character that isn't white space, which neither
-tokenizer's tokens cross, so a text is a list of units. A batch of texts holds each distinct unit's tokens once,
-with how often it stands, and each text as its units' numbers. All that follows is higher-order functions:
+tokenizer's tokens cross, so a text is a list of units. Units that are frequent in a bounded sample of texts are aligned
+once for the whole table; a batch of texts holds the tokens of each other distinct unit once,
+with how often it stands, and each text as its units' numbers, frequent ones first. The alignment is higher-order functions:
 array_intersect of both tokenizations' ends gives a unit's cuts, from whose places groups and links are built, and
-a text's groups and sums are its units' by their numbers. Links are counted over all texts, a unit's as
-often as it stands, with map-side sums. While the pairs' counts fit a broadcast, links find them in arrays by their ids; beyond that
+a text's groups are its units' by their numbers. Links are counted over all texts, a unit's as
+often as it stands, with map-side sums. While the pairs' counts fit a broadcast, tasks look links up in sorted arrays; beyond that
 the most frequent pairs are broadcast and a rare pair's links meet its count by a shuffled join in which no pair is hot.
 
+Which units are taken for frequent changes no result, only how often a unit is aligned.
 A batch is about TOGETHER bytes or one longer text, a unit as long as its text only if no space follows another
 character there. Every step is linear in the batch's tokens but for a sort of ascending runs.
 
@@ -24,7 +26,7 @@ import json
 import re
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ from .common import BROADCAST_BYTES, doc_view, sliced, stored, trim
 #: Bytes of texts that a task tokenises together, and bytes that a tokenizer gets in one call.
 TOGETHER, CALL = 3 << 19, 1 << 14
 
-#: Entries of a worker's memory of units; it is emptied when full and changes no result.
-MEMORY = 250_000
+#: Most frequent units that are aligned once, the most characters of one, and the texts and characters of a text that they are counted in.
+MEMORY, SHORT = 120_000, 64
+SAMPLE_ROWS, SAMPLE_CHARS = 6000, 1 << 16
 
 #: What an id pair's first id is multiplied by in one number.
 PAIR = 1 << 32
@@ -49,8 +52,9 @@ PAIR_BYTES = 48
 #: A unit begins with a space that follows what isn't white space to either tokenizer.
 BORDER, UNSAFE = re.compile(r"(?<=\S) "), re.compile(r"\s ")
 
-INTS = ("a", "a_ends", "a_of", "a_unit", "b", "b_ends", "b_of", "u_a", "u_b", "times")
-BATCH = ", ".join(f"{c} array<int>" for c in INTS) + ", docs array<struct<doc_id: {id}, codes: array<int>>>"
+INTS = ("a", "a_ends", "a_of", "a_to", "a_times", "b", "b_ends", "b_of", "b_to", "u_a", "u_b", "u_to")
+UNITS = ", ".join(f"{c} array<int>" for c in INTS) + ", a_last array<boolean>, a_text binary, b_text binary"
+BATCH = UNITS + ", docs array<struct<doc_id: {id}, n_a: bigint, n_b: bigint, codes: array<int>>>, often array<struct<code: int, times: bigint>>"
 
 
 def byte_encoder(source: bytes) -> Callable[[str], np.ndarray]:
@@ -93,6 +97,8 @@ class Coder:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(re.search("[^▁]▁", p) for p in pieces)
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int32) for x in (self.a_bytes, self.b_bytes))
+        self.a_name, self.b_name = ([b"%d," % i for i in range(len(x))] for x in (self.a_bytes, self.b_bytes))
+        self.a_wide, self.b_wide = (np.array(list(map(len, x)), np.int32) for x in (self.a_name, self.b_name))
         self.space = np.array([self.b.piece_to_id("▁")], np.int32)
         self.known: dict[str, tuple[bytes, bytes] | None] = {}
 
@@ -104,75 +110,131 @@ class Coder:
         return (x, y) if back else None
 
     def learn(self, units: list[str]) -> None:
-        """Ids of units (without their leading space), None for those that aren't given back. About CALL bytes of units
-        are one text to the tokenizers: it has their borders."""
+        """Ids of units (without their leading space) into `known`, None for those that aren't given back."""
+        for some, found in self.pieces(units):
+            cut = []
+            for ids, counts in found or ():
+                edges, blob = np.cumsum([0, *counts * 4]).tolist(), ids.tobytes()
+                cut.append([blob[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
+            self.known.update(zip(some, zip(*cut, strict=True) if found else (None,), strict=True))
+
+    def pieces(self, units: list[str]) -> Iterator[tuple[list[str], list[tuple[np.ndarray, np.ndarray]] | None]]:
+        """Units in their order and, by either tokenizer, their ids and each unit's number of ids; None for one that isn't given back.
+        About CALL bytes of units are one text to the tokenizers: it has their borders."""
         some: list[str] = []
         weight = 0
-        for u in [*units, None]:
-            if some and (u is None or weight > CALL):
-                self._learn(some)
+        for u in units:
+            joins = u and not u[-1].isspace() and self.cuts
+            if some and (not joins or weight > CALL):
+                yield from self._pieces(some)
                 some, weight = [], 0
-            if u is None:
-                break
-            if u and not u[-1].isspace() and self.cuts:
+            if joins:
                 some.append(u)
                 weight += len(u)
             else:
-                self._learn([u])
+                yield from self._pieces([u])
+        if some:
+            yield from self._pieces(some)
 
-    def _learn(self, units: list[str]) -> None:
-        found = self.both(" ".join(units))
+    def _pieces(self, units: list[str]) -> Iterator[tuple[list[str], list[tuple[np.ndarray, np.ndarray]] | None]]:
+        text = " ".join(units)
+        found = self.both(text)
         if found is None and len(units) > 1:
             half = len(units) // 2
-            self._learn(units[:half])
-            self._learn(units[half:])
+            yield from self._pieces(units[:half])
+            yield from self._pieces(units[half:])
             return
         if found is None:
-            self.known[units[0]] = None
+            yield units, None
             return
-        ends = np.cumsum([len(u.encode()) + 1 for u in units])
+        ends = np.cumsum(list(map(len, units if text.isascii() else map(str.encode, units)))) + np.arange(1, len(units) + 1)
         cut = []
         for ids, size in zip(found, (self.a_size, self.b_size), strict=True):
             at = np.cumsum(size[ids])
             stop = np.searchsorted(at, ends)
             if not np.array_equal(at[stop], ends):
                 raise ValueError("a token crosses a unit's border")
-            edges, blob = ((np.concatenate([[0], stop + 1])) * 4).tolist(), ids.astype(np.int32).tobytes()
-            cut.append([blob[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)])
-        self.known.update(zip(units, zip(*cut, strict=True), strict=True))
+            cut.append((ids, np.diff(stop, prepend=-1)))
+        yield units, cut
 
     def units(self, text: str) -> list[str]:
         if not self.cuts:
             return [text]
         return BORDER.split(text) if text[0] == " " or UNSAFE.search(text) else text.split(" ")
 
-    def batch(self, ids: pa.Array, texts: list[str]) -> pa.RecordBatch:
-        """One row: the batch's distinct units and its texts as units' numbers; a text that isn't given back has none."""
+    def tokens(self, units: list[str]) -> tuple[list[str], list[np.ndarray], list[np.ndarray]]:
+        """Units that aren't given back; ids of the others one after the other by either tokenizer, and each one's number of ids."""
+        found, lost = [], []
+        for some, own in self.pieces(units):
+            if own is None:
+                lost += some
+            else:
+                found.append(own)
+        flat = lambda k, j: np.concatenate([np.empty(0, np.int32), *(x[k][j] for x in found)]).astype(np.int32)
+        return lost, [flat(k, 0) for k in (0, 1)], [flat(k, 1) for k in (0, 1)]
+
+    def columns(self, ids: list[np.ndarray], counts: list[np.ndarray], times: np.ndarray) -> dict[str, pa.Array]:
+        """The columns of UNITS, one row."""
+        out, u_to = {}, 0
+        for name, flat, n, size, width, names in zip("ab", ids, counts, (self.a_size, self.b_size), (self.a_wide, self.b_wide), (self.a_name, self.b_name), strict=True):
+            of = size[flat]
+            to = np.cumsum(width[flat], dtype=np.int32)
+            u_to = u_to + to[np.cumsum(n) - 1]
+            out |= {name: flat, f"{name}_ends": np.cumsum(of, dtype=np.int32), f"{name}_of": np.repeat(np.arange(len(flat), dtype=np.int32), of), f"{name}_to": to, f"u_{name}": n}
+            out[f"{name}_text"] = pa.array([b"".join(map(names.__getitem__, flat.tolist()))], pa.binary())
+        last = np.zeros(len(ids[0]), bool)
+        last[np.cumsum(counts[0]) - 1] = True
+        out |= {"u_to": u_to, "a_times": np.repeat(times, counts[0]).astype(np.int32), "a_last": last}
+        return {c: out[c] if c in ("a_text", "b_text") else one_row(pa.array(out[c])) for c in (*INTS, "a_last", "a_text", "b_text")}
+
+    def batch(self, ids: pa.Array, texts: list[str], often: Often) -> pa.RecordBatch:
+        """One row: the batch's distinct units that aren't frequent, and its texts as units' numbers; a text that isn't given back has none."""
         lists = [self.units(t) if t else [] for t in texts]
-        often = Counter(chain.from_iterable(lists))
-        new = [u for u in often if u not in self.known]
-        if new and len(self.known) + len(new) > MEMORY:
-            self.known.clear()
-            new = list(often)
-        self.learn(new)
-        lost = {u for u in often if self.known[u] is None}
-        if lost:
-            lists = [[] if lost.intersection(own) else own for own in lists]
-            often = Counter(chain.from_iterable(lists))
-        codes = {u: k for k, (u, _) in enumerate(often.most_common())}  # small numbers are frequent, and take less room
-        values = list(map(self.known.__getitem__, codes))
-        numbers = [np.fromiter(map(codes.__getitem__, own), np.int32, len(own)) for own in lists]
-        times = np.fromiter(map(often.__getitem__, codes), np.int32, len(codes))
-        row = lambda x: pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), pa.array(x))
-        columns = {"times": times}
-        for k, name, size in ((0, "a", self.a_size), (1, "b", self.b_size)):
-            own = [v[k] for v in values]
-            flat = np.frombuffer(b"".join(own), np.int32)
-            columns |= {f"u_{name}": np.fromiter(map(len, own), np.int32, len(own)) // 4, name: flat, f"{name}_ends": np.cumsum(size[flat], dtype=np.int32), f"{name}_of": np.repeat(np.arange(len(flat), dtype=np.int32), size[flat])}
-        columns["a_unit"] = np.repeat(np.arange(len(codes), dtype=np.int32), columns["u_a"])
-        edges = np.cumsum([0, *map(len, numbers)]).astype(np.int32)
-        docs = pa.StructArray.from_arrays([ids, pa.ListArray.from_arrays(edges, np.concatenate([np.empty(0, np.int32), *numbers]))], ["doc_id", "codes"])
-        return pa.record_batch({**{c: row(columns[c]) for c in INTS}, "docs": row(docs)})
+        first = len(often.codes)
+        while True:
+            codes = _Codes(often.codes)
+            edges = np.cumsum([0, *map(len, lists)]).astype(np.int32)
+            flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(lists)), np.int32, edges[-1])
+            lost, found, counts = self.tokens(list(islice(codes, first, None)))
+            if not lost:
+                break
+            gone = set(lost)
+            lists = [[] if gone.intersection(own) else own for own in lists]
+        times = np.bincount(flat, minlength=len(codes))
+        often.times += times[:first]
+        totals = []
+        for known, own in zip(often.sizes, counts, strict=True):
+            upto = np.concatenate([[0], np.cumsum(np.concatenate([known, own])[flat], dtype=np.int64)])
+            totals.append(pa.array(upto[edges[1:]] - upto[edges[:-1]]))
+        docs = pa.StructArray.from_arrays([ids, *totals, pa.ListArray.from_arrays(edges, flat)], ["doc_id", "n_a", "n_b", "codes"])
+        return pa.record_batch({**self.columns(found, counts, times[first:]), "docs": one_row(docs), "often": one_row(often.none)})
+
+
+class _Codes(dict):
+    """Units' numbers, a new one's on first use."""
+
+    def __missing__(self, unit: str) -> int:
+        self[unit] = k = len(self)
+        return k
+
+
+class Often:
+    """Frequent units' numbers, their counts of ids by either tokenizer, and how often a task has met them."""
+
+    def __init__(self, units: list[str], sizes: list[np.ndarray]):
+        self.codes, self.sizes = {u: k for k, u in enumerate(units)}, sizes
+        self.times = np.zeros(len(units), np.int64)
+        self.none = self._struct(np.empty(0, np.int64))
+
+    def _struct(self, met: np.ndarray) -> pa.Array:
+        return pa.StructArray.from_arrays([pa.array(met, pa.int32()), pa.array(self.times[met])], ["code", "times"])
+
+    def met(self) -> pa.Array:
+        return self._struct(np.flatnonzero(self.times))
+
+
+def one_row(x: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(np.array([0, len(x)], np.int32), x)
 
 
 _LOADED: dict[str, Coder] = {}
@@ -192,23 +254,66 @@ def default_paths() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
 
 
-def tokenised(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """A row a batch. Of its distinct units one after the other: ids of both tokenizers (a, b), where their tokens end in
-    bytes, which token each byte belongs to (a_of, b_of), which unit each token of a belongs to, how many tokens units have and how often each stands; docs: doc_id and the numbers of a text's units.
-
-    paths: a byte-level file of the tokenizers library and a sentencepiece model, read once on the driver.
-    """
+def _sources(docs: DataFrame, paths: tuple[str, str] | None):
+    """Both files' contents, read once on the driver, as a broadcast."""
     read = []
     for path in paths or default_paths():
         with open(path, "rb") as f:
             read.append(f.read())
-    shared = docs.sparkSession.sparkContext.broadcast(tuple(read))
+    return docs.sparkSession.sparkContext.broadcast(tuple(read))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _strings(column: pa.Array) -> list[str]:
+    return [str(t or b"", "utf-8", "replace") for t in column.cast(pa.binary()).to_pylist()]
+
+
+def frequent(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
+    """Rows of units that stand twice or more in about SAMPLE_ROWS texts, the MEMORY most frequent and none longer than SHORT: units and the columns of UNITS, with
+    a unit's number in place of times."""
+    shared = _sources(docs, paths)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(*shared.value)
+        for batch in batches:
+            for piece in sliced(batch):
+                n = Counter(chain.from_iterable(own.units(t) for t in _strings(piece["text"]) if t))
+                some = [(u, k) for u, k in n.items() if len(u) <= SHORT]
+                yield pa.record_batch({"unit": pa.array([u for u, _ in some], pa.string()), "n": pa.array([k for _, k in some], pa.int64())})
+
+    def learnt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = coder(*shared.value)
+        start = 0
+        for batch in batches:
+            units = batch["unit"].to_pylist()
+            lost, found, counts = own.tokens(units)
+            gone = set(lost)
+            units = [u for u in units if u not in gone]
+            yield pa.record_batch({**own.columns(found, counts, np.arange(start, start + len(units))), "units": one_row(pa.array(units, pa.string()))})
+            start += len(units)
+        trim()
+
+    share = min(1.0, SAMPLE_ROWS / max(docs.count(), 1))
+    some = doc_view(docs, "text").sample(share, 1).filter(F.length("text") <= SAMPLE_CHARS)
+    n = some.mapInArrow(counted, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n")).filter("n > 1")
+    return n.orderBy(F.desc("n"), "unit").limit(MEMORY).mapInArrow(learnt, UNITS + ", units array<string>")
+
+
+def tokenised(docs: DataFrame, often: tuple[list[str], list[np.ndarray]], paths: tuple[str, str] | None = None) -> DataFrame:
+    """A row a batch. Of its distinct units that aren't frequent, one after the other: ids of both tokenizers (a, b), where their tokens end in
+    bytes, which token each byte belongs to (a_of, b_of), where tokens' decimal ids end in a_text and b_text (a_to, b_to), how often each token of a stands (a_times),
+    whether it is its unit's last, and where units end in both texts together (u_to); docs: doc_id, both numbers of tokens and the numbers of a text's units.
+    A task's last row holds how often it has met frequent units."""
+    shared, known = _sources(docs, paths), docs.sparkSession.sparkContext.broadcast(often)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, often, last = coder(*shared.value), Often(*known.value), None
         for batch in batches:
             for piece in sliced(batch, TOGETHER, 20_000):
-                yield own.batch(piece["doc_id"], [str(t or b"", "utf-8", "replace") for t in piece["text"].cast(pa.binary()).to_pylist()])
+                yield own.batch(piece["doc_id"], _strings(piece["text"]), often)
+                last = piece
+        if last is not None:
+            row = own.batch(last["doc_id"][:0], [], often)
+            yield row.set_column(row.schema.get_field_index("often"), "often", one_row(often.met()))
         trim()
 
     return doc_view(docs, "doc_id", "text").mapInArrow(run, BATCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
@@ -225,35 +330,50 @@ def _first(last: str, k: Column) -> Column:
     return F.when(k > 0, F.get(last, k - 1) + 1).otherwise(F.lit(0))
 
 
-def _listed(ids: str, last: str, g: Column, i: Column) -> Column:
-    """The g-th group's ids, comma-joined; i: the place of its last token."""
-    first = _first(last, g)
-    return F.when(first == i, F.get(ids, i)).otherwise(F.array_join(F.slice(ids, first + 1, i - first + 1), ","))
+def _held(value: str, fn: Callable[[Column], Column]) -> Column:
+    """fn of a binary column that is read once: each mention of the column itself would copy all of it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
 
+def _part(text: Column, to: str, k: Column, end: Column) -> Column:
+    """The k-th of the parts that end, with a separator each, at `to` in a text."""
+    start = F.when(k > 0, F.get(to, k - 1)).otherwise(F.lit(0))
+    return F.substring(text, start + 1, end - start - 1)
 
-def aligned(docs: DataFrame, paths: tuple[str, str] | None = None) -> DataFrame:
-    """A row a batch. Of its distinct units: links (a * 2^32 + b of each place where both tokenizations end), the unit of each (l_unit), each unit's
-    last link (u_at) and times; docs: doc_id, n_a, n_b, n_links, groups_sha256 and codes, the numbers of its units."""
-    at = _step(tokenised(docs, paths), "a", "b", "a_of", "b_of", "a_unit", "u_a", "u_b", "times", "docs", cuts=F.array_intersect("a_ends", "b_ends"))
+
+def aligned(tokens: DataFrame, *keep: str) -> DataFrame:
+    """Of a row's units: links (a * 2^32 + b of each place where both tokenizations end), how often each stands (times), each unit's
+    last link (u_at) and its groups (u_text)."""
+    texts = ("a_text", "b_text")
+    at = _step(tokens, *keep, *texts, "a", "b", "a_of", "b_of", "a_to", "b_to", "a_times", "a_last", "u_to", cuts=F.array_intersect("a_ends", "b_ends"))
     token = lambda of: F.transform("cuts", lambda c: F.get(of, c - 1))
-    names = {f"{n}_names": F.col(n).cast("array<string>") for n in "ab"}
-    at = _step(at, "a", "b", "a_unit", "u_a", "u_b", "times", "docs", a_at=token("a_of"), b_at=token("b_of"), **names)
+    at = _step(at, *keep, *texts, "a", "b", "a_to", "b_to", "a_times", "a_last", "u_to", a_at=token("a_of"), b_at=token("b_of"))
     links = F.transform("a_at", lambda i, g: F.get("a", i).cast("long") * F.lit(PAIR) + F.get("b", F.get("b_at", g)))
-    texts = F.transform("a_at", lambda i, g: F.concat(_listed("a_names", "a_at", g, i), F.lit("|"), _listed("b_names", "b_at", g, F.get("b_at", g))))
-    at = _step(at, "times", "docs", "u_a", "u_b", l_unit=F.transform("a_at", lambda i: F.get("a_unit", i)), links=links, texts=texts)
-    last = F.transform("l_unit", lambda u, g: F.when(F.coalesce(F.get("l_unit", g + 1), F.lit(-1)) != u, g))  # a unit's end is a cut, so each unit has a link
-    at = _step(at, "times", "docs", "u_a", "u_b", "l_unit", "links", "texts", u_at=F.filter(last, lambda g: g.isNotNull()))
-    part = lambda u, k: F.slice("texts", _first("u_at", k) + 1, u - _first("u_at", k) + 1)
-    u_text = F.transform("u_at", lambda u, k: F.when(u == _first("u_at", k), F.get("texts", u)).otherwise(F.array_join(part(u, k), ";")))
-    at = _step(at, "times", "docs", "u_a", "u_b", "l_unit", "links", "u_at", u_text=u_text, u_links=F.transform("u_at", lambda u, k: u - _first("u_at", k) + 1))
+    of = lambda x: F.transform("a_at", lambda i: F.get(x, i))
+    to = {"a_to": of("a_to"), "b_to": F.transform("b_at", lambda i: F.get("b_to", i))}
+    last = F.filter(F.transform("a_at", lambda i, g: F.when(F.get("a_last", i), g)), lambda g: g.isNotNull())  # a unit's end is a cut, so each unit has a link
+    at = _step(at, *keep, *texts, "u_to", links=links, times=of("a_times"), u_at=last, **to)
+    group = lambda a, b: F.transform("a_to", lambda end, g: F.concat(_part(a, "a_to", g, end), F.lit(b"|"), _part(b, "b_to", g, F.get("b_to", g))).cast("string"))
+    groups = _held("a_text", lambda a: _held("b_text", lambda b: group(a, b)))
+    at = _step(at, *keep, "u_to", "links", "times", "u_at", text=F.array_join(groups, ";").cast("binary"))  # as long as both texts of ids up to the same place
+    u_text = _held("text", lambda t: F.transform("u_to", lambda end, k: _part(t, "u_to", k, end).cast("string")))
+    return at.select(*keep, "links", "times", "u_at", u_text.alias("u_text"))
+
+
+def _whole(rows: DataFrame, *names: str) -> DataFrame:
+    """One row with the arrays of all rows joined in the rows' order."""
+    listed = rows.agg(F.array_sort(F.collect_list(F.struct("row", *names))).alias("v"))
+    return listed.select(*(F.flatten(f"v.{c}").alias(f"often_{c}") for c in names), F.lit(1).alias("one"))
 
-    def doc(d: Column) -> Column:
-        total = lambda of: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get(of, c))
-        text = F.array_join(F.transform(d["codes"], lambda c: F.get("u_text", c)), ";")
-        digest = F.when(F.size(d["codes"]) > 0, F.sha2(text, 256)).otherwise(F.lit(""))
-        return F.struct(d["doc_id"].alias("doc_id"), total("u_a").alias("n_a"), total("u_b").alias("n_b"), total("u_links").alias("n_links"), digest.alias("groups_sha256"), d["codes"].alias("codes"))
 
-    return at.select("links", "l_unit", "u_at", "times", F.transform("docs", doc).alias("docs"))
+def hashed(batches: DataFrame, often: DataFrame) -> DataFrame:
+    """The batches' docs with groups_sha256; frequent units' groups come from one broadcast row."""
+    met = batches.withColumn("one", F.lit(1)).join(F.broadcast(_whole(often, "u_text")), "one")
+    met = _step(met, "links", "times", "u_at", "docs", "often", texts=F.concat("often_u_text", "u_text"))
+    text = lambda d: F.array_join(F.transform(d["codes"], lambda c: F.get("texts", c)), ";")
+    digest = lambda d: F.when(F.size(d["codes"]) > 0, F.sha2(text(d), 256)).otherwise(F.lit(""))
+    docs = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), digest(d).alias("groups_sha256"), d["codes"].alias("codes")))
+    return met.select("links", "times", "u_at", "often", docs.alias("docs"))
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -279,41 +399,93 @@ def with_counts(links: DataFrame, counts: DataFrame, limit: int | None = None) -
     if held == sum(number for _, number in classes):
         return met
     few = counts.filter(size < least)
-    return met.filter("n is not null").unionByName(met.filter("n is null").drop("n", "best").join(few, "pair"))
-
-
-def looked_up(base: DataFrame, counts: DataFrame) -> DataFrame:
-    """u_at, docs, n, best (of each link of a batch's units, in order) from one row that holds all counts, in order of the ids of b and, for each, the most
-    frequent first; a few comparisons find a pair."""
-    of = counts.select(F.col("pair").bitwiseAND(PAIR - 1).cast("int").alias("b"), F.shiftright("pair", 32).cast("int").alias("a"), "n")
-    own = of.groupBy("b").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "a")))).alias("p")).select("b", F.struct(F.col("p.a").alias("a"), F.col("p.n").alias("n")).alias("p"))
-    every = base.sparkSession.range((own.agg(F.max("b")).head()[0] or 0) + 1).select(F.col("id").cast("int").alias("b")).join(own, "b", "left")
-    table = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("b", "p"))), lambda x: x["p"]).alias("by_b")).withColumn("one", F.lit(1))
-    met = base.withColumn("one", F.lit(1)).join(F.broadcast(table), "one")
-    entry = lambda link: F.get("by_b", link.bitwiseAND(PAIR - 1).cast("int"))
-    number = lambda link: F.get(entry(link)["n"], (F.array_position(entry(link)["a"], F.shiftright(link, 32).cast("int")) - 1).cast("int"))
-    met = _step(met, "u_at", "docs", "links", "by_b", n=F.transform("links", number))
-    best = F.transform("links", lambda link, k: (F.get("n", k) == F.get(entry(link)["n"], F.lit(0))).cast("long"))
-    return _step(met, "u_at", "docs", "n", best=best)
+    return met.filter("n is not null").unionByName(met.filter("n is null").drop("n", "best").join(few, "pair", "left"))
 
 
 def joined(base: DataFrame, counts: DataFrame, limit: int | None) -> DataFrame:
-    """The same by joins, however many counts there are; a batch's links come together by the row's number."""
+    """row, u_at, docs, n, best (of each link of a row's units, in order), however many counts there are; a row's links come together by its number."""
     links = base.select("row", F.posexplode("links").alias("pos", "pair"))
     met = with_counts(links, counts, limit).repartition("row")
     each = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", F.col("best").cast("long").alias("best")))).alias("v"))
-    return base.select("row", "u_at", "docs").join(each, "row", "left").select("u_at", "docs", F.col("v.n").alias("n"), F.col("v.best").alias("best"))
+    return base.select("row", "u_at", "docs").join(each, "row", "left").select("row", "u_at", "docs", F.col("v.n").alias("n"), F.col("v.best").alias("best"))
+
+
+class Counts:
+    """All pairs' counts in order of the pairs: n and best of links by binary search; zeros for a pair that no text has."""
+
+    def __init__(self, pair: np.ndarray, n: np.ndarray, best: np.ndarray):
+        order = np.argsort(pair)
+        self.pair, self.n, self.best = pair[order], n[order], best[order].astype(np.int64)
+
+    def of(self, links: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(self.pair):
+            return (np.zeros(len(links), np.int64),) * 2
+        some, back = np.unique(links, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.pair, some), len(self.pair) - 1)
+        there = self.pair[at] == some
+        return (self.n[at] * there)[back], (self.best[at] * there)[back]
+
+
+def unit_sums(row: pa.RecordBatch, counts: Counts | None) -> list[np.ndarray]:
+    """Of one row's units: links, links of the highest count, and the sum of their links' counts."""
+    own = lambda c: row[c].flatten().fill_null(0).to_numpy(zero_copy_only=False)
+    n, best = counts.of(own("links")) if counts else (own("n"), own("best"))
+    to = own("u_at") + 1
+    upto = lambda x: np.concatenate([[0], np.cumsum(x, dtype=np.int64)])[to]
+    return [np.diff(x, prepend=0) for x in (to.astype(np.int64), upto(best), upto(n))]
+
+
+def summed(base: DataFrame, often: DataFrame, counts: DataFrame, limit: int | None, id_type: str) -> DataFrame:
+    """A row a document: its units' sums. Where all counts fit a broadcast, links find them in it; else rows bring them."""
+    context = base.sparkSession.sparkContext
+    table, rows, known = None, joined(base, counts, limit), joined(often, counts, limit)
+    if counts.count() * PAIR_BYTES <= (BROADCAST_BYTES if limit is None else limit):
+        found = counts.toArrow()
+        table = context.broadcast([found[c].to_numpy() for c in ("pair", "n", "best")])
+        rows, known = base.select("row", "links", "u_at", "docs"), often.select("row", "links", "u_at")
+
+    def held() -> Counts | None:
+        return Counts(*table.value) if table else None
+
+    def of_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                yield pa.record_batch({"row": row["row"], "sums": one_row(pa.array(np.concatenate(unit_sums(row, own))))})
+
+    units = sorted(known.mapInArrow(of_units, "row long, sums array<long>").collect())  # MEMORY units at most
+    first = [np.concatenate([np.empty(0, np.int64), *(np.split(np.array(r["sums"], np.int64), 3)[k] for r in units)]) for k in range(3)]
+    shared = context.broadcast(first)
+
+    def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = held()
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = batch.slice(k, 1)
+                doc_id, n_a, n_b, digest, codes = row["docs"].flatten().flatten()
+                flat = codes.flatten().to_numpy()
+                edges = np.cumsum(np.concatenate([[0], codes.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)
+                out = []
+                for x, y in zip(shared.value, unit_sums(row, own), strict=True):
+                    upto = np.concatenate([[0], np.cumsum(np.concatenate([x, y])[flat])])
+                    out.append(pa.array(upto[edges[1:]] - upto[edges[:-1]]))
+                yield pa.record_batch([doc_id, n_a, n_b, out[0], *out, digest], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+        trim()
+
+    return rows.mapInArrow(of_docs, f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs."""
-    base = stored(aligned(docs, paths).select(F.monotonically_increasing_id().alias("row"), "*"), "aligned", "zstd")
-    each = F.arrays_zip(F.col("links").alias("pair"), F.transform("l_unit", lambda u: F.get("times", u)).alias("times"))
-    counts = stored(pair_counts(base.select(F.inline(each).alias("pair", "times"))), "pairs")
-    fits = counts.count() * PAIR_BYTES <= (BROADCAST_BYTES if limit is None else limit)
-    met = looked_up(base, counts) if fits else joined(base, counts, limit)
-    of_unit = lambda v: F.transform("u_at", lambda u, k: F.aggregate(F.slice(v, _first("u_at", k) + 1, u - _first("u_at", k) + 1), F.lit(0).cast("long"), lambda acc, x: acc + x))
-    met = _step(met, "docs", u_n=of_unit("n"), u_best=of_unit("best"))
-    total = lambda d, of: F.aggregate(d["codes"], F.lit(0).cast("long"), lambda acc, c: acc + F.get(of, c))
-    done = F.transform("docs", lambda d: F.struct(d["doc_id"], d["n_a"], d["n_b"], d["n_links"].alias("n_groups"), d["n_links"], total(d, "u_best").alias("n_best"), total(d, "u_n").alias("count_sum"), d["groups_sha256"]))
-    return met.select(F.inline(done))
+    row = F.monotonically_increasing_id().alias("row")
+    often = stored(aligned(frequent(docs, paths), "units", "u_a", "u_b").select(row, "*"), "often", "zstd")
+    known = sorted(often.select("row", "units", "u_a", "u_b").collect())  # MEMORY units at most
+    sizes = [np.concatenate([np.empty(0, np.int32), *(r[c] for r in known)]).astype(np.int32) for c in ("u_a", "u_b")]
+    batches = tokenised(docs, ([u for r in known for u in r["units"]], sizes), paths)
+    base = stored(hashed(aligned(batches, "docs", "often"), often).select(row, "*"), "aligned", "zstd")
+    met = base.select(F.inline("often")).groupBy("code").agg(F.sum("times").alias("times"))
+    pairs = lambda rows, of: rows.select(F.inline(F.arrays_zip(F.col("links").alias("pair"), F.col("times").alias(of))))
+    links = pairs(base, "times").select("pair", F.col("times").cast("long")).unionByName(pairs(often, "code").join(met, "code").select("pair", "times"))
+    counts = stored(pair_counts(links), "pairs")
+    return summed(base, often.withColumn("docs", F.lit(0)), counts, limit, docs.schema["doc_id"].dataType.simpleString())

@@ -96,3 +96,18 @@ def test_byte_encoder_equals_the_library_at_every_code_point(libraries):
         texts = [f"a{c}a1{c}1!{c}! {c} {c}a" for c in points[k : k + 4096]]
         whole = "\n".join(texts)
         assert encode(whole).tolist() == libraries[0].encode(whole, add_special_tokens=False).ids
+
+
+def test_frequent_units_are_aligned_once_for_all_batches(spark):
+    texts = [f"the same few words in every text but word{k}" for k in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(8)
+    rows = ta.frequent(docs).collect()
+    units = [u for r in rows for u in r["units"]]
+    assert set(units) == set("the same few words in every text but".split())
+    sizes = [np.concatenate([r[c] for r in rows]).astype(np.int32) for c in ("u_a", "u_b")]
+    batches = ta.tokenised(docs, (units, sizes)).collect()
+    assert sum(len(r["u_a"]) for r in batches) == 40 and all(n == 1 for r in batches for n in r["a_times"])
+    met = Counter()
+    for r in batches:
+        met.update({units[x["code"]]: x["times"] for x in r["often"]})
+    assert met == dict.fromkeys(units, 40)

@@ -33,11 +33,14 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_view, sliced, texts_of
+from .common import doc_view, sliced, texts_of, trim
 
-#: Entries of a worker's memory of arcs and of token pairs; it is emptied when full, that of arcs
-#: also after each task, and changes no result.
-MEMORY = 700_000
+#: Entries of a worker's memory of token pairs, emptied when full, and of each half of its memory of arcs: when the newer half
+#: is full it becomes the older one, from which arcs met again come back. Arcs are also forgotten after each task. Neither changes a result.
+MEMORY, ARCS = 700_000, 80_000
+
+#: Bytes of texts that are encoded together.
+TOGETHER = 1 << 20
 
 #: Bytes that the transducer takes in before it looks for what is stable.
 FLUSH = 2048
@@ -332,16 +335,25 @@ class _Arcs(dict):
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, text: str) -> bytes:
-        data = text.encode()
-        got = packed(self.transducer.push(data) + self.transducer.finish())
-        if len(data) <= HELD:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[text] = got
+        got = self.older.get(text)
+        if got is None:
+            data = text.encode()
+            got = packed(self.transducer.push(data) + self.transducer.finish())
+            if len(data) > HELD:
+                return got
+        if len(self) >= ARCS:
+            self.older = dict(self)
+            super().clear()
+        self[text] = got
         return got
 
+    def clear(self) -> None:
+        super().clear()
+        self.older = {}
+
 
 class Encoder:
     """Whole texts to ids through one stream, a piece at a time."""
@@ -396,6 +408,7 @@ def coders(source: bytes, classes: tuple[str, str, str] | None = None) -> tuple[
     if key not in _LOADED:
         merges = MergeList(source, classes)
         _LOADED[key] = (Encoder(merges), Decoder(merges))
+        trim()  # what was read to make them
     return _LOADED[key]
 
 
@@ -429,10 +442,11 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for piece in sliced(batch):
+            for piece in sliced(batch, TOGETHER):
                 yield run(piece)
+            trim()
         coders(*shared.value)[0].stream.arcs.clear()  # the worker goes on to other stages
-        pa.default_memory_pool().release_unused()
+        trim()
 
     id_type = docs.schema["doc_id"].dataType.simpleString()
     return doc_view(docs, "doc_id", "text").mapInArrow(every, f"doc_id {id_type}, n_tokens long, ids binary, decoded string")

@@ -97,3 +97,16 @@ def test_classes_are_the_librarys_at_every_code_point(library, merges):
             assert [e for _, (_, e) in cut(text)] == [m.end() for m in stream.patterns[exact][0].finditer(text)]
     for text in ("\U0001df48蜛", "\U00018e08葢"):
         assert np.frombuffer(bpe.Encoder(merges).encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_memory_of_arcs_is_bounded_and_keeps_what_is_met_again(library, merges, monkeypatch):
+    monkeypatch.setattr(bpe, "ARCS", 50, raising=False)
+    encoder = bpe.Encoder(merges)
+    arcs = encoder.stream.arcs
+    for k in range(300):
+        text = f"the same words, then other{'abcdefghij'[k % 10] * (k // 10 + 1)}"
+        assert np.frombuffer(encoder.encode(text.encode()), "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert len(arcs) + len(arcs.older) <= 100
+    taken = encoder.stream.transducer.seen
+    encoder.encode(b"the same words")
+    assert encoder.stream.transducer.seen == taken

@@ -10,7 +10,11 @@ What is held back is thus a window of that length plus the part its prefixes dif
 
 A text is pushed in pieces of PIECE bytes. Pre-tokens are found as far as the next piece can't change them,
 and every one goes through the transducer: a long one as it comes, another as one arc from the transducer's
-start to its finish, which is remembered, as a word's arc is the same wherever it stands.
+start to its finish, which is remembered, as a word's arc is the same wherever it stands. Texts of a batch are cut
+into units at spaces after other characters, where pre-tokens end whatever follows, and each distinct unit of a batch is pushed once.
+
+Whether a token may follow another is asked of the merges that made the two, undone from the last one back: a merge
+across their border that ranks before the one undone would have come first.
 
 Decoding is a state machine from token bytes to text that holds only an unfinished character.
 
@@ -30,10 +34,11 @@ from collections.abc import Iterable, Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from .common import doc_view, sliced, texts_of, trim
+from .common import doc_view, sliced, trim
 
 #: Entries of a worker's memory of token pairs, emptied when full, and of each half of its memory of arcs: when the newer half
 #: is full it becomes the older one, from which arcs met again come back. Arcs are also forgotten after each task. Neither changes a result.
@@ -87,6 +92,8 @@ def char_classes(source: bytes) -> tuple[str, str, str]:
                             ranges.append([c, c])
             out.append("".join(rf"\U{a:08x}-\U{b:08x}" for a, b in ranges))
         _CLASSES[key] = (out[0], out[1], "".join(sorted(odd)))
+        del cut, points
+        trim()  # on the driver the library's model would stay for all later stages
     return _CLASSES[key]
 
 
@@ -119,8 +126,13 @@ class MergeList:
         for rank, pair in enumerate(model["merges"]):
             a, b = (as_bytes(x) for x in (pair.split(" ") if isinstance(pair, str) else pair))
             self.merges.setdefault((self.ids[a], self.ids[b]), (rank, self.ids[a + b]))
+        made = [i for _, i in self.merges.values()]
+        base = {i for t, i in self.ids.items() if len(t) == 1}
+        #: The two tokens that a token is merged from, if ids ascend with ranks, as they do in the file of the contract; else None.
+        self.split = {i: pair for pair, (_, i) in self.merges.items()} if made == sorted(set(made)) and max(base, default=0) < min(made, default=0) else None
         self.lookahead = max(map(len, self.ids))
         self.size = list(map(len, self.bytes))
+        self.special_bytes = [t.encode() for t in self.specials]
         automaton = ahocorasick.Automaton()
         for t, i in self.ids.items():
             automaton.add_word(t.decode("latin-1"), i)
@@ -140,6 +152,12 @@ class MergeList:
             out[k : k + 2] = [self.merges[out[k], out[k + 1]][1]]
         return out
 
+    def holds_special(self, data: bytes) -> bool:
+        for x in self.special_bytes:
+            if x in data:
+                return True
+        return False
+
     def alone(self, token: int) -> bool:
         got = self._single.get(token)
         if got is None:
@@ -148,16 +166,36 @@ class MergeList:
 
     def fits(self, before: int, token: int) -> bool:
         """True if `token` may follow `before` (-1: the start)."""
-        if before < 0:
-            return self.alone(token)
         key = before << 24 | token
         got = self.pairs.get(key)
         if got is None:
             if len(self.pairs) > MEMORY:
                 self.pairs.clear()
-            got = self.pairs[key] = self.merge(self.bytes[before] + self.bytes[token]) == [before, token]
+            if before < 0:
+                got = self.alone(token)
+            elif self.split is None:
+                got = self.merge(self.bytes[before] + self.bytes[token]) == [before, token]
+            else:
+                got = self.alone(before) and self.alone(token) and self._apart(before, token)
+            self.pairs[key] = got
         return got
 
+    def _apart(self, a: int, b: int) -> bool:
+        """True if no merge across the border of two tokens, each alone, comes before those that made them."""
+        merges, split, limit = self.merges, self.split, len(self.bytes)
+        while True:
+            found = merges.get((a, b))
+            if found is not None and found[1] < limit:
+                return False
+            if a > b and a in split:
+                limit, a = a, split[a][1]
+            elif b in split:
+                limit, b = b + 1, split[b][0]  # of two equal merges the left one comes first
+            elif a in split:
+                limit, a = a, split[a][1]
+            else:
+                return True
+
 
 class Transducer:
     """Encodes one pre-token, pushed in pieces of bytes.
@@ -188,6 +226,29 @@ class Transducer:
                 out += self._flush(self._stable())
         return out
 
+    def whole(self, data: bytes) -> list[int]:
+        """Tokens of a pre-token that is held whole, from start to finish."""
+        size, fits, pairs, last, found = self.m.size, self.m.fits, self.m.pairs, [-1], 0
+        self.seen += len(data)
+        for end, token in self.m.automaton.iter(data.decode("latin-1")):
+            if end < found:
+                continue
+            before = last[end + 1 - size[token]]
+            good = pairs.get(before << 24 | token)
+            if good is None:
+                good = fits(before, token)
+            if good:
+                last.append(token)
+                found = end + 1
+        if found != len(data):
+            raise ValueError("the vocabulary lacks a byte")
+        out = []
+        while found:
+            out.append(last[found])
+            found -= size[last[found]]
+        out.reverse()
+        return out
+
     def finish(self) -> list[int]:
         out = self._flush(len(self.buffer))
         self.start()
@@ -301,8 +362,7 @@ class Stream:
     def _plain(self, text: str, final: bool) -> bytes:
         out = []
         text, self.held = self.held + text, ""
-        # the exact classes have hundreds of ranges and are slow: they are used where a character asks for them
-        pattern, runs = self.patterns[not text.isascii() and not self.odd.isdisjoint(text)]
+        pattern, runs = self._patterns_for(text)
         if self.run >= 0:
             end = runs[self.run].match(text).end()
             if end == len(text) and not final:
@@ -325,6 +385,15 @@ class Stream:
             out.append(self._into(text))
         return b"".join(out)
 
+    def _patterns_for(self, text: str) -> tuple[regex.Pattern, list[regex.Pattern]]:
+        """The exact classes have hundreds of ranges and are slow: they are used where a character asks for them."""
+        return self.patterns[not text.isascii() and not self.odd.isdisjoint(text)]
+
+    def whole(self, text: str) -> tuple[list[str], list[bytes]]:
+        """Pre-tokens of a text without special tokens, and the ids of each."""
+        found = self._patterns_for(text)[0].findall(text)
+        return found, list(map(self.arcs.__getitem__, found))
+
     def _into(self, text: str) -> bytes:
         return packed(self.transducer.push(text.encode()))
 
@@ -341,9 +410,9 @@ class _Arcs(dict):
         got = self.older.get(text)
         if got is None:
             data = text.encode()
-            got = packed(self.transducer.push(data) + self.transducer.finish())
             if len(data) > HELD:
-                return got
+                return packed(self.transducer.push(data) + self.transducer.finish())
+            got = packed(self.transducer.whole(data))
         if len(self) >= ARCS:
             self.older = dict(self)
             super().clear()
@@ -355,6 +424,14 @@ class _Arcs(dict):
         self.older = {}
 
 
+def _flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets from 0, bytes) of an array of strings or bytes; null counts as empty."""
+    texts = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return offsets - offsets[0], data
+
+
 class Encoder:
     """Whole texts to ids through one stream, a piece at a time."""
 
@@ -362,6 +439,47 @@ class Encoder:
         self.m = merges
         self.stream = Stream(merges)
 
+    def encode_all(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text; null counts as empty. Together the texts take 1 GB at most, and one of more than TOGETHER bytes goes alone."""
+        offsets, data = _flat(texts)
+        if len(texts) == 1 and len(data) > TOGETHER:
+            return pa.array([self.encode(data)], pa.binary())
+        first, units = self._units(offsets, data)
+        coded = units.dictionary_encode()
+        ids = self._once(coded.dictionary.to_pylist())
+        ends, blob = _flat(ids.take(coded.indices))
+        return pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(ends[first].astype(np.int32)), pa.py_buffer(blob)])
+
+    def _once(self, units: list[bytes]) -> pa.Array:
+        """Ids of each unit. Short ones that begin with a space and end in what is no white space are one text to the pattern."""
+        chained = [u[0] == 0x20 and (0x20 < u[-1] < 0x7F or u[-1] >= 0x80 and 0xC3 <= u[-2] < 0xE0) and len(u) <= HELD for u in units]
+        texts = [str(u, "utf-8", "replace") for u, c in zip(units, chained, strict=True) if c]
+        whole = "".join(texts)
+        if self.m.holds_special(whole.encode()):
+            return pa.array([self.encode(u) for u in units], pa.binary())
+        found, got = self.stream.whole(whole)
+        ends = np.cumsum([0, *map(len, got)])
+        last = np.searchsorted(np.cumsum([0, *map(len, found)]), np.cumsum([0, *map(len, texts)]))
+        edges, blob = ends[last], b"".join(got)
+        one = pa.BinaryArray.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(blob)])
+        others = pa.array([self.encode(u) for u, c in zip(units, chained, strict=True) if not c], pa.binary())
+        place = np.array(chained, bool)
+        return pa.concat_arrays([one, others]).take(pa.array(np.where(place, np.cumsum(place) - 1, len(texts) + np.cumsum(~place) - 1)))
+
+    def _units(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+        """(each text's first unit, and the number of units; units): cut at a space after a character that isn't white space, where ASCII or a
+        two-byte character from U+00C0 on shows that by its bytes. A text with a special token in it is one unit."""
+        at = np.flatnonzero(data == 0x20)
+        at = at[at > 1]
+        one, two = data[at - 1], data[at - 2]
+        at = at[(one > 0x20) & (one < 0x7F) | (one >= 0x80) & (two >= 0xC3) & (two < 0xE0)]
+        if self.m.holds_special(data.tobytes()):
+            special = np.array([self.m.holds_special(data[a:b].tobytes()) for a, b in zip(offsets[:-1], offsets[1:], strict=True)], bool)
+            at = at[~special[np.searchsorted(offsets, at, "right") - 1]]
+        starts = np.unique(np.concatenate([offsets, at]))
+        units = pa.BinaryArray.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer(data)])
+        return np.searchsorted(starts, offsets), units
+
     def encode(self, data: bytes | memoryview) -> bytes:
         """Ids of a text in UTF-8, as little-endian 32-bit integers."""
         if len(data) <= PIECE:
@@ -386,14 +504,14 @@ class Decoder:
     """Ids to text, a block at a time; an unfinished character is the only state."""
 
     def __init__(self, merges: MergeList):
-        self.table = merges.bytes
+        self.table, self.pieces = merges.bytes, pa.array(merges.bytes, pa.binary())
         self.machine = codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: Iterable[int], final: bool = False) -> str:
         return self.machine.decode(b"".join(map(self.table.__getitem__, ids)), final)
 
     def text(self, ids: np.ndarray, block: int = 1 << 16) -> str:
-        out = [self.feed(ids[k : k + block].tolist()) for k in range(0, len(ids), block)]
+        out = [self.machine.decode(_flat(self.pieces.take(pa.array(ids[k : k + block])))[1].tobytes()) for k in range(0, len(ids), block)]
         out.append(self.feed((), True))
         self.machine.reset()
         return "".join(out)
@@ -429,13 +547,14 @@ def encode_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         encoder, decoder = coders(*shared.value)
-        ids = [encoder.encode(t) for t in texts_of(batch["text"])]
-        decoded = [decoder.text(np.frombuffer(x, "<u4")) for x in ids]
+        ids = encoder.encode_all(batch["text"])
+        ends, blob = _flat(ids)
+        decoded = [decoder.text(blob[a:b].view("<u4")) for a, b in zip(ends[:-1], ends[1:], strict=True)]
         return pa.record_batch(
             {
                 "doc_id": batch["doc_id"],
-                "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()),
-                "ids": pa.array(ids, pa.binary()),
+                "n_tokens": pa.array(np.diff(ends) // 4, pa.int64()),
+                "ids": ids,
                 "decoded": pa.array(decoded, pa.string()),
             }
         )

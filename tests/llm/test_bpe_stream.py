@@ -110,3 +110,35 @@ def test_memory_of_arcs_is_bounded_and_keeps_what_is_met_again(library, merges,
     taken = encoder.stream.transducer.seen
     encoder.encode(b"the same words")
     assert encoder.stream.transducer.seen == taken
+
+
+def test_a_batch_gives_what_each_text_gives_and_takes_a_distinct_unit_once(library, merges):
+    import pyarrow as pa
+
+    r = np.random.default_rng(11)
+    texts = ["".join(PIECES[k] for k in r.integers(len(PIECES), size=r.integers(25))) for _ in range(1500)] + ["", None, "\u1680 x", "\u3000 x", "é x", "a <|endoftext|> b", " a", "  a"]
+    for column in (pa.array(texts), pa.array([None, "gone", *texts]).slice(2)):
+        got = bpe.Encoder(merges).encode_all(column).to_pylist()
+        for t, ids in zip(texts, got, strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(t or "", add_special_tokens=False).ids, repr(t)
+    odd = [b"\xc3 a b", b"a \xe6\xbc b", b"\xff\xfe \xc5\xff c"]
+    for data, ids in zip(odd, bpe.Encoder(merges).encode_all(pa.array(odd, pa.binary())).to_pylist(), strict=True):
+        assert ids == bpe.Encoder(merges).encode(data)
+    assert bpe.Encoder(merges).encode_all(pa.array([], pa.string())).to_pylist() == []
+    encoder, met = bpe.Encoder(merges), []
+    whole = encoder.stream.whole
+    encoder.stream.whole = lambda text: met.append(text) or whole(text)
+    encoder.encode_all(pa.array(["x" + " the same words" * 200] * 50))
+    assert sum(map(len, met)) == len(" the same words")
+
+
+def test_neighbours_by_their_merges_are_those_of_the_definition(merges):
+    r = np.random.default_rng(5)
+    tokens = [i for i in merges.ids.values() if merges.alone(i)]
+    pairs = [tuple(r.choice(tokens, 2).tolist()) for _ in range(3000)]
+    for i in r.choice(tokens, 3000).tolist():  # cuts of tokens mostly have a merge across
+        cut = int(r.integers(1, max(2, len(merges.bytes[i]))))
+        pairs += [(merges.ids[a], merges.ids[b]) for a, b in ((merges.bytes[i][:cut], merges.bytes[i][cut:]),) if a in merges.ids and b in merges.ids]
+    want = [merges.merge(merges.bytes[a] + merges.bytes[b]) == [a, b] for a, b in pairs]
+    assert merges.split is not None and {True, False} == set(want)
+    assert [merges.fits(a, b) for a, b in pairs] == want

@@ -39,7 +39,10 @@ def _star(edges: DataFrame, large: bool, most: int) -> DataFrame:
         out = moved.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
         out = moved.select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-    return out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    out = out.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    if large and small(out, 2 * most) is not out:  # few: the small star's minima take repeats, and a round is a shuffle shorter
+        return out
+    return out.distinct()
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -142,3 +142,21 @@ def test_neighbours_by_their_merges_are_those_of_the_definition(merges):
     want = [merges.merge(merges.bytes[a] + merges.bytes[b]) == [a, b] for a, b in pairs]
     assert merges.split is not None and {True, False} == set(want)
     assert [merges.fits(a, b) for a, b in pairs] == want
+
+
+def test_the_drivers_python_gives_back_what_it_took_for_the_classes():
+    import subprocess
+    import sys
+
+    code = """
+import re
+import pyarrow
+from gridweave.llm import bpe
+def held():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+before = held()
+bpe.char_classes(open(bpe.default_path(), "rb").read())
+print(held() - before)
+"""
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
+    assert float(got.stdout) < 25  # MB; 44 before

@@ -117,3 +117,15 @@ def test_mixing_by_hubs_gives_the_same_copies(spark, monkeypatch):
     monkeypatch.setattr(mixing, "HUB", 10)
     monkeypatch.setattr(mixing, "HUBS", 1 << 40)
     assert sorted(map(tuple, mixing.mixed(docs).select("doc_id", "taken").collect())) == want
+
+
+def test_a_round_of_few_links_is_a_shuffle_shorter(spark, monkeypatch):
+    links = [(k, k // 2) for k in range(1, 60)] + [(k, 0) for k in range(1, 20)] + [(100, 101), (101, 100), (102, 102)]
+    edges = spark.createDataFrame(links, "a long, b long")
+    found = []
+    for most in (common.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(common, "BROADCAST_BYTES", most)
+        plan = components._star(edges, True, len(links))._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("Aggregate [") == 1) == (most > 0)  # the minima alone; 2 before
+        found.append({r["node"]: r["component"] for r in components.components(edges).collect()})
+    assert found[0] == found[1] == {**dict.fromkeys(range(60), 0), 100: 100, 101: 100}

@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,11 @@ FALLBACK_DIR = "/tmp/checkpoints/gridweave"
 #: Most bytes of a side that may be broadcast.
 BROADCAST_BYTES = 32 << 20
 
+#: Bytes of heavy rows that a task hands to Python, or holds before it writes them, at a time.
+HEAVY_BYTES = 4 << 20
+HEAVY = {"spark.sql.execution.arrow.maxBytesPerBatch": str(HEAVY_BYTES), "spark.sql.parquet.columnarReaderBatchSize": "256"}
+HEAVY_FILES = {"parquet.block.size": HEAVY_BYTES, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
 #: Bytes of a value, and of a row beside its values, as a broadcast table holds them.
 _WIDTH = {"int": 4, "bigint": 8, "double": 8, "boolean": 1}
 _ROW = 24
@@ -35,14 +41,31 @@ def table_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/gridweave/{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, codec: str = "none") -> DataFrame:
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings while a table is written; what it had before comes back."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def stored(df: DataFrame, tag: str, codec: str = "none", heavy: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: lineage ends at files that outlive executors.
 
     Mostly not compressed: these are hashes and packed arrays, and codecs hold buffers outside the heap for each file.
+    heavy: what the tasks read or write are long texts or rows of a MB. Then as many rows as HEAVY_BYTES hold go to Python
+    together, the reader takes few rows at a time, and the writer, which else looks at its size every 100 rows, does after each.
     """
     spark = df.sparkSession
     path = table_path(spark, tag)
-    df.write.option("compression", codec).parquet(path)
+    write = df.write.option("compression", codec)
+    with settings(spark, HEAVY if heavy else {}):
+        (write.options(**HEAVY_FILES) if heavy else write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -319,61 +319,48 @@ def tokenised(docs: DataFrame, often: tuple[list[str], list[np.ndarray]], paths:
     return doc_view(docs, "doc_id", "text").mapInArrow(run, BATCH.format(id=docs.schema["doc_id"].dataType.simpleString()))
 
 
-def _step(rows: DataFrame, *keep: str, **columns: Column) -> DataFrame:
-    """Columns of rows and more that are reckoned once, however often and deep in functions later steps read them:
-    the optimizer would put a mere projection's expressions into those functions."""
-    return rows.select(F.inline(F.array(F.struct(*keep, *(c.alias(n) for n, c in columns.items())))))
-
-
-def _first(last: str, k: Column) -> Column:
-    """The first place of the k-th run; last: the runs' last places."""
-    return F.when(k > 0, F.get(last, k - 1) + 1).otherwise(F.lit(0))
-
-
-def _held(value: str, fn: Callable[[Column], Column]) -> Column:
-    """fn of a binary column that is read once: each mention of the column itself would copy all of it."""
+def _held(value: Column | str, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is reckoned once, however often and deep in functions fn reads it. Unlike a projection of its
+    own, it copies nothing into a row, and unlike a column's mention, reading it makes no object for each element."""
     return F.get(F.transform(F.array(value), fn), F.lit(0))
 
 
-def _part(text: Column, to: str, k: Column, end: Column) -> Column:
+def _part(text: Column, to: Column, k: Column, end: Column) -> Column:
     """The k-th of the parts that end, with a separator each, at `to` in a text."""
     start = F.when(k > 0, F.get(to, k - 1)).otherwise(F.lit(0))
     return F.substring(text, start + 1, end - start - 1)
 
 
+def _at(places: Column, values: Column | str) -> Column:
+    """The values at some places."""
+    return _held(values, lambda v: F.transform(places, lambda i: F.get(v, i)))
+
+
 def aligned(tokens: DataFrame, *keep: str) -> DataFrame:
     """Of a row's units: links (a * 2^32 + b of each place where both tokenizations end), how often each stands (times), each unit's
-    last link (u_at) and its groups (u_text)."""
-    texts = ("a_text", "b_text")
-    at = _step(tokens, *keep, *texts, "a", "b", "a_of", "b_of", "a_to", "b_to", "a_times", "a_last", "u_to", cuts=F.array_intersect("a_ends", "b_ends"))
-    token = lambda of: F.transform("cuts", lambda c: F.get(of, c - 1))
-    at = _step(at, *keep, *texts, "a", "b", "a_to", "b_to", "a_times", "a_last", "u_to", a_at=token("a_of"), b_at=token("b_of"))
-    links = F.transform("a_at", lambda i, g: F.get("a", i).cast("long") * F.lit(PAIR) + F.get("b", F.get("b_at", g)))
-    of = lambda x: F.transform("a_at", lambda i: F.get(x, i))
-    to = {"a_to": of("a_to"), "b_to": F.transform("b_at", lambda i: F.get("b_to", i))}
-    last = F.filter(F.transform("a_at", lambda i, g: F.when(F.get("a_last", i), g)), lambda g: g.isNotNull())  # a unit's end is a cut, so each unit has a link
-    at = _step(at, *keep, *texts, "u_to", links=links, times=of("a_times"), u_at=last, **to)
-    group = lambda a, b: F.transform("a_to", lambda end, g: F.concat(_part(a, "a_to", g, end), F.lit(b"|"), _part(b, "b_to", g, F.get("b_to", g))).cast("string"))
-    groups = _held("a_text", lambda a: _held("b_text", lambda b: group(a, b)))
-    at = _step(at, *keep, "u_to", "links", "times", "u_at", text=F.array_join(groups, ";").cast("binary"))  # as long as both texts of ids up to the same place
-    u_text = _held("text", lambda t: F.transform("u_to", lambda end, k: _part(t, "u_to", k, end).cast("string")))
-    return at.select(*keep, "links", "times", "u_at", u_text.alias("u_text"))
-
-
-def _whole(rows: DataFrame, *names: str) -> DataFrame:
-    """One row with the arrays of all rows joined in the rows' order."""
-    listed = rows.agg(F.array_sort(F.collect_list(F.struct("row", *names))).alias("v"))
-    return listed.select(*(F.flatten(f"v.{c}").alias(f"often_{c}") for c in names), F.lit(1).alias("one"))
-
-
-def hashed(batches: DataFrame, often: DataFrame) -> DataFrame:
-    """The batches' docs with groups_sha256; frequent units' groups come from one broadcast row."""
-    met = batches.withColumn("one", F.lit(1)).join(F.broadcast(_whole(often, "u_text")), "one")
-    met = _step(met, "links", "times", "u_at", "docs", "often", texts=F.concat("often_u_text", "u_text"))
-    text = lambda d: F.array_join(F.transform(d["codes"], lambda c: F.get("texts", c)), ";")
-    digest = lambda d: F.when(F.size(d["codes"]) > 0, F.sha2(text(d), 256)).otherwise(F.lit(""))
-    docs = F.transform("docs", lambda d: F.struct(d["doc_id"].alias("doc_id"), d["n_a"].alias("n_a"), d["n_b"].alias("n_b"), digest(d).alias("groups_sha256"), d["codes"].alias("codes")))
-    return met.select("links", "times", "u_at", "often", docs.alias("docs"))
+    last link (u_at), all units' groups (text) and where each unit's end in it, with a separator (u_to)."""
+
+    def groups(a_text: Column, b_text: Column, a_to: Column, b_to: Column) -> Column:
+        group = lambda end, g: F.concat(_part(a_text, a_to, g, end), F.lit(b"|"), _part(b_text, b_to, g, F.get(b_to, g))).cast("string")
+        return F.array_join(F.transform(a_to, group), ";").cast("binary")  # as long as both texts of ids up to the same place
+
+    def row(a_at: Column, b_at: Column) -> Column:
+        pair = lambda a, b: F.transform(a, lambda x, g: x.cast("long") * F.lit(PAIR) + F.get(b, g))
+        links = _held(_at(a_at, "a"), lambda a: _held(_at(b_at, "b"), lambda b: pair(a, b)))
+        ends = _held("a_last", lambda x: F.transform(a_at, lambda i, g: F.when(F.get(x, i), g)))
+        last = F.filter(ends, lambda g: g.isNotNull())  # a unit's end is a cut, so each unit has a link
+        to = lambda fn: _held(_at(a_at, "a_to"), lambda x: _held(_at(b_at, "b_to"), lambda y: fn(x, y)))
+        text = _held("a_text", lambda a: _held("b_text", lambda b: to(lambda x, y: groups(a, b, x, y))))
+        return F.struct(*keep, links.alias("links"), _at(a_at, "a_times").alias("times"), last.alias("u_at"), "u_to", text.alias("text"))
+
+    token = lambda cuts, of: _held(of, lambda x: F.transform(cuts, lambda c: F.get(x, c - 1)))
+    at = lambda cuts: _held(token(cuts, "a_of"), lambda a_at: _held(token(cuts, "b_of"), lambda b_at: row(a_at, b_at)))
+    return tokens.select(F.inline(F.array(_held(F.array_intersect("a_ends", "b_ends"), at))))
+
+
+def unit_groups(text: bytes, to: list[int]) -> list[bytes]:
+    """Each unit's groups."""
+    return [text[a : b - 1] for a, b in zip([0, *to], to)]  # noqa: B905
 
 
 def pair_counts(links: DataFrame) -> DataFrame:
@@ -403,11 +390,12 @@ def with_counts(links: DataFrame, counts: DataFrame, limit: int | None = None) -
 
 
 def joined(base: DataFrame, counts: DataFrame, limit: int | None) -> DataFrame:
-    """row, u_at, docs, n, best (of each link of a row's units, in order), however many counts there are; a row's links come together by its number."""
+    """base with n, best (of each link of a row's units, in order) for links, however many counts there are; a row's links come together by its number."""
     links = base.select("row", F.posexplode("links").alias("pos", "pair"))
     met = with_counts(links, counts, limit).repartition("row")
     each = met.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "n", F.col("best").cast("long").alias("best")))).alias("v"))
-    return base.select("row", "u_at", "docs").join(each, "row", "left").select("row", "u_at", "docs", F.col("v.n").alias("n"), F.col("v.best").alias("best"))
+    names = [c for c in base.columns if c not in ("links", "times")]
+    return base.select(*names).join(each, "row", "left").select(*names, F.col("v.n").alias("n"), F.col("v.best").alias("best"))
 
 
 class Counts:
@@ -435,14 +423,21 @@ def unit_sums(row: pa.RecordBatch, counts: Counts | None) -> list[np.ndarray]:
     return [np.diff(x, prepend=0) for x in (to.astype(np.int64), upto(best), upto(n))]
 
 
-def summed(base: DataFrame, often: DataFrame, counts: DataFrame, limit: int | None, id_type: str) -> DataFrame:
-    """A row a document: its units' sums. Where all counts fit a broadcast, links find them in it; else rows bring them."""
+def digests(flat: np.ndarray, edges: np.ndarray, groups: list[bytes]) -> list[str]:
+    """SHA-256 of each text's groups; flat: units' numbers of one text after the other, edges: where texts begin and end."""
+    codes, at = flat.tolist(), edges.tolist()
+    own = (codes[a:b] for a, b in zip(at[:-1], at[1:], strict=True))
+    return [hashlib.sha256(b";".join(map(groups.__getitem__, c))).hexdigest() if c else "" for c in own]
+
+
+def summed(base: DataFrame, often: DataFrame, groups: list[bytes], counts: DataFrame, limit: int | None, id_type: str) -> DataFrame:
+    """A row a document: its units' sums and the digest of their groups; groups: frequent units'. Where all counts fit a broadcast, links find them in it; else rows bring them."""
     context = base.sparkSession.sparkContext
     table, rows, known = None, joined(base, counts, limit), joined(often, counts, limit)
     if counts.count() * PAIR_BYTES <= (BROADCAST_BYTES if limit is None else limit):
         found = counts.toArrow()
         table = context.broadcast([found[c].to_numpy() for c in ("pair", "n", "best")])
-        rows, known = base.select("row", "links", "u_at", "docs"), often.select("row", "links", "u_at")
+        rows, known = base, often
 
     def held() -> Counts | None:
         return Counts(*table.value) if table else None
@@ -456,36 +451,42 @@ def summed(base: DataFrame, often: DataFrame, counts: DataFrame, limit: int | No
 
     units = sorted(known.mapInArrow(of_units, "row long, sums array<long>").collect())  # MEMORY units at most
     first = [np.concatenate([np.empty(0, np.int64), *(np.split(np.array(r["sums"], np.int64), 3)[k] for r in units)]) for k in range(3)]
-    shared = context.broadcast(first)
+    shared = context.broadcast((first, groups))
 
     def of_docs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held()
+        sums, texts = shared.value
         for batch in batches:
             for k in range(batch.num_rows):
                 row = batch.slice(k, 1)
-                doc_id, n_a, n_b, digest, codes = row["docs"].flatten().flatten()
+                doc_id, n_a, n_b, codes = row["docs"].flatten().flatten()
                 flat = codes.flatten().to_numpy()
                 edges = np.cumsum(np.concatenate([[0], codes.value_lengths().to_numpy(zero_copy_only=False)])).astype(np.int64)
                 out = []
-                for x, y in zip(shared.value, unit_sums(row, own), strict=True):
+                for x, y in zip(sums, unit_sums(row, own), strict=True):
                     upto = np.concatenate([[0], np.cumsum(np.concatenate([x, y])[flat])])
                     out.append(pa.array(upto[edges[1:]] - upto[edges[:-1]]))
-                yield pa.record_batch([doc_id, n_a, n_b, out[0], *out, digest], ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"])
+                digest = digests(flat, edges, texts + unit_groups(row["text"][0].as_py(), row["u_to"].flatten().to_pylist()))
+                names = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
+                yield pa.record_batch([doc_id, n_a, n_b, out[0], *out, pa.array(digest, pa.string())], names)
         trim()
 
-    return rows.mapInArrow(of_docs, f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    out = rows.mapInArrow(of_docs, f"doc_id {id_type}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string")
+    return stored(out, "alignments", heavy=True)
 
 
 def alignments(docs: DataFrame, paths: tuple[str, str] | None = None, limit: int | None = None) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row of docs."""
     row = F.monotonically_increasing_id().alias("row")
-    often = stored(aligned(frequent(docs, paths), "units", "u_a", "u_b").select(row, "*"), "often", "zstd")
-    known = sorted(often.select("row", "units", "u_a", "u_b").collect())  # MEMORY units at most
+    often = stored(aligned(frequent(docs, paths), "units", "u_a", "u_b").select(row, "*"), "often", "zstd", heavy=True)
+    known = sorted(often.select("row", "units", "u_a", "u_b", "text", "u_to").collect())  # MEMORY units at most
     sizes = [np.concatenate([np.empty(0, np.int32), *(r[c] for r in known)]).astype(np.int32) for c in ("u_a", "u_b")]
     batches = tokenised(docs, ([u for r in known for u in r["units"]], sizes), paths)
-    base = stored(hashed(aligned(batches, "docs", "often"), often).select(row, "*"), "aligned", "zstd")
+    base = stored(aligned(batches, "docs", "often").select(row, "*"), "aligned", "zstd", heavy=True)
     met = base.select(F.inline("often")).groupBy("code").agg(F.sum("times").alias("times"))
     pairs = lambda rows, of: rows.select(F.inline(F.arrays_zip(F.col("links").alias("pair"), F.col("times").alias(of))))
     links = pairs(base, "times").select("pair", F.col("times").cast("long")).unionByName(pairs(often, "code").join(met, "code").select("pair", "times"))
     counts = stored(pair_counts(links), "pairs")
-    return summed(base, often.withColumn("docs", F.lit(0)), counts, limit, docs.schema["doc_id"].dataType.simpleString())
+    groups = [g for r in known for g in unit_groups(bytes(r["text"]), r["u_to"])]
+    names = ("row", "links", "times", "u_at")
+    return summed(base.select(*names, "docs", "text", "u_to"), often.select(*names), groups, counts, limit, docs.schema["doc_id"].dataType.simpleString())

@@ -4,12 +4,15 @@ import hashlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from gridweave.llm import common
 from gridweave.llm import token_alignment as ta
 from gridweave.llm.bpe import byte_alphabet
 
@@ -111,3 +114,53 @@ def test_frequent_units_are_aligned_once_for_all_batches(spark):
     for r in batches:
         met.update({units[x["code"]]: x["times"] for x in r["often"]})
     assert met == dict.fromkeys(units, 40)
+
+
+def test_heavy_rows_go_to_python_and_to_files_a_few_at_a_time(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch({"text": batch["text"], "held": [batch.num_rows] * batch.num_rows})
+
+    before = {k: spark.conf.get(k, None) for k in common.HEAVY}
+    rows = spark.range(40, numPartitions=1).select(F.repeat(F.sha2(F.col("id").cast("string"), 256), 16_000).alias("text"))  # 1 MB each
+    out = common.stored(rows.mapInArrow(sizes, "text string, held long"), "heavy", heavy=True)
+    assert {k: spark.conf.get(k, None) for k in common.HEAVY} == before
+    assert out.count() == 40 and max(r["held"] for r in out.select("held").collect()) <= 5
+    for f in out.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:")).metadata
+        assert max(meta.row_group(k).num_rows for k in range(meta.num_row_groups)) <= 6
+
+
+def test_settings_come_back_after_a_failure(spark):
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    before = spark.conf.get(key)
+    with pytest.raises(RuntimeError), common.settings(spark, {key: "7", "gridweave.unset": "x"}):
+        assert spark.conf.get(key) == "7"
+        raise RuntimeError
+    assert spark.conf.get(key) == before and spark.conf.get("gridweave.unset", None) is None
+
+
+def test_a_batch_is_copied_into_one_row_and_stored_alone(spark, libraries, monkeypatch):
+    monkeypatch.setitem(common.HEAVY_FILES, "parquet.block.size", 64 << 10)
+    seen, real = {}, ta.stored
+
+    def stored(df, tag, *a, **k):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        seen[tag] = plan, real(df, tag, *a, **k)
+        return seen[tag][1]
+
+    monkeypatch.setattr(ta, "stored", stored)
+    r = np.random.default_rng(11)
+    texts = [" ".join(x.tobytes().decode() for x in r.integers(97, 123, (1200, 7), np.uint8)) for _ in range(400)]  # 3.8 MB, three batches
+    texts[::50] = [t[:800] for t in texts[::50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    got = {r["doc_id"]: r for r in ta.alignments(docs).collect()}
+    assert sorted(got) == list(range(400))
+    own = [c for c in NAMES if c not in ("n_best", "count_sum")]  # the others need all texts
+    for k, want in zip(range(0, 400, 50), brute(libraries, texts[::50]), strict=True):
+        assert {c: got[k][c] for c in own} == {c: x for c, x in zip(NAMES, want, strict=True) if c in own}
+    plan, base = seen["aligned"]
+    assert "Join" not in plan and plan.count("Generate") == 1
+    for f in base.inputFiles():
+        meta = pq.ParquetFile(f.removeprefix("file:")).metadata
+        assert meta.num_rows >= 4 and meta.num_row_groups >= 3

@@ -4,8 +4,8 @@ Tasks tokenise: a text is cut where a space follows a character that isn't white
 tokenizer's tokens cross, so a text is a list of units. Units that are frequent in a bounded sample of texts are aligned
 once for the whole table; a batch of texts holds the tokens of each other distinct unit once,
 with how often it stands, and each text as its units' numbers, frequent ones first. The alignment is higher-order functions:
-array_intersect of both tokenizations' ends gives a unit's cuts, from whose places groups and links are built, and
-a text's groups are its units' by their numbers. Links are counted over all texts, a unit's as
+array_intersect of both tokenizations' ends gives a unit's cuts, from whose places groups and links are built in one step that
+copies a batch into one row, and a text's groups are its units' by their numbers, put together and hashed in the last step. Links are counted over all texts, a unit's as
 often as it stands, with map-side sums. While the pairs' counts fit a broadcast, tasks look links up in sorted arrays; beyond that
 the most frequent pairs are broadcast and a rare pair's links meet its count by a shuffled join in which no pair is hot.
 
